@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("line_dedup", "minhash", "quality", "mixing")
+MODULES = ("packing", "line_dedup", "minhash", "quality", "mixing")
 
 
 def queries() -> dict:

@@ -179,7 +179,8 @@ def _oracle() -> str:
     text = r"""
 words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), WORD) AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, WORD)) AS lines, row_number() OVER () AS r FROM {documents}),
-windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS times FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+grams AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest([concat_ws(chr(32), w[k], w[k + 1], w[k + 2]) for k in range(1, len(w) - 1)]) AS gram FROM words),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS times FROM grams),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY r),
 counts AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
