@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("packing", "line_dedup", "minhash", "quality", "mixing")
+MODULES = ("warc", "packing", "line_dedup", "minhash", "quality", "html_text", "mixing")
 
 
 def queries() -> dict:
