@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("warc", "packing", "line_dedup", "minhash", "quality", "html_text", "toxicity", "topk", "mixing")
+MODULES = ("warc", "chat", "packing", "line_dedup", "minhash", "quality", "html_text", "toxicity", "topk", "mixing")
 
 
 def queries() -> dict:
