@@ -1,10 +1,61 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage: quality, repeated lines, near-duplicates, mixture, sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a table. All but the last return the columns of documents; what a stage
+decides is in what it returns: rejected and duplicate documents are gone, repeated lines are cut out of the texts, and the
+mixture holds a document as often as it takes it. Other columns of docs are carried along. Rows of one doc_id are one
+document in the stages that drop documents; a null doc_id is never dropped as a duplicate. An empty table passes through.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import materialize, read
+from tidemark.llm.line_dedup import apply_bitmaps, line_bitmaps
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.mixing import mix
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import judge
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the robust outlier test keep."""
+    rejected = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them share (the one with the largest doc_id keeps its own)."""
+    kept = apply_bitmaps(docs, line_bitmaps(docs))
+    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
+    dropped = near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it, rounded to whole documents."""
+    copies = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_copies"))
+    held = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc"))).filter("_copies > 0")
+    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("minhash_near_dedup", minhash_near_dedup), ("mixing", mixing), ("packing", packing)]
+#: Tokenizing, verified similarity and the packing rule are not SQL; tests/llm/test_pipeline.py holds every stage against one of its own.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
