@@ -57,7 +57,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
         .withColumn("open_weight", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("level", (F.lit(share) * F.col("total") - F.col("full")) / F.col("open_weight"))
-        .withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
+        .withColumn("at", F.row_number().over(by_ratio))
+        .withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("at", "level"))).over(everything)["level"])
     )
     return level.select(
         "src", "source", "source_size",
@@ -128,12 +129,12 @@ base AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS src FROM sized GROUP BY source)),
 levels AS (
   SELECT *, (CAST(1.5 AS DOUBLE) * total - filled) / open_weight AS level FROM (
-    SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled,
+    SELECT *, row_number() OVER (ORDER BY cap / weight, src) AS place_no, coalesce(sum(cap) OVER (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled,
            sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
            CAST(sum(source_size) OVER () AS BIGINT) AS total FROM base)),
 wanted AS (
   SELECT src, source, source_size, least(cap, weight * coalesce(water, level)) AS target FROM (
-    SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS water FROM levels)),
+    SELECT *, arg_min(level, CASE WHEN level <= cap / weight THEN place_no END) OVER () AS water FROM levels)),
 conf AS (SELECT *, CAST(ceil(floor(total) / block) AS BIGINT) AS n FROM (
   SELECT total, greatest(1, least(2048, CAST(floor(total) AS BIGINT) // 262144)) AS block FROM (SELECT coalesce(sum(target), 0.0) AS total FROM wanted))),
 hi AS (SELECT src, CAST(round(sum(target) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * {FIB_46}) AS BIGINT) AS hi FROM wanted),
