@@ -27,7 +27,7 @@ P = 5
 KEPT_PART = 0.75  # of a group, in a concentration step
 STEPS = 4
 PRIOR = 100.0  # documents' worth of the language's moments in a group's
-REACH = 9.0  # largest distance of a kept document
+REACH = 7.5  # largest distance of a kept document
 #: Least standard deviations, in thousandths: ln words, characters a word, symbols, repeated words, repeated lines.
 FLOORS = (300.0, 250.0, 200.0, 80.0, 120.0)
 BINS = 16.0  # of the histogram of distances, per unit of its logarithm
