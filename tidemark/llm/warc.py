@@ -200,7 +200,7 @@ def record(id_: Column, uri: Column, payload: Column, digest: Column, refers_to:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 100,
-               date: str = "1970-01-01T00:00:00Z", records_per_file: int = 200_000, compression: str = "none") -> None:
+               date: str = "1970-01-01T00:00:00Z", records_per_file: int = 200_000, compression: str = "gzip") -> None:
     """Write a record per row. Of rows with equal payloads of at least least_bytes, that with the smallest id is the response."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
