@@ -4,9 +4,11 @@ Rows with equal shingle sets form a class, represented by its smallest doc_id. R
 band's bucket a hub is compared with all members, which is linear in the bucket. The pair's signatures are compared
 batch by batch: under a uniform prior the similarity after m matches of n is Beta(m + 1, n - m + 1), and a pair is
 pruned once the probability of reaching the threshold falls below `miss`. Survivors are confirmed on full shingle sets.
-Buckets whose members are still in several components get further hubs, and what then remains is compared in full,
-member by member across components, in blocks. So no link between different components of a bucket goes unexamined,
-and no bucket is ever gathered in one task or expanded into all its pairs.
+The first batch is one bit of each hash, which travels with the bucket's rows, so most pairs end before signatures are
+fetched; the last is a longer signature for pairs that the others leave open. Buckets whose members are still in several
+components get another hub, and what then remains is compared in full, member by member across components, in blocks. So
+no link between different components of a bucket goes unexamined, and no bucket is ever gathered in one task or expanded
+into all its pairs.
 
 With 25 bands of 5 hashes a pair of similarity 0.85 shares no bucket with probability 4e-7 (0.8: 5e-5).
 
@@ -33,25 +35,31 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 BATCH = 25  # hashes compared before each look at the posterior
 MISS = 1e-5  # largest posterior probability at which a pair is pruned
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+LONG = 640  # hashes of the longer signature, of which 8 bits each are kept
 SPOKES = 64  # texts confirmed against one hub in one group
 LEFT, RIGHT = 512, 2048  # sizes of blocks in the full comparison
 
 
-def _coefficients():
-    draw = np.random.Generator(np.random.PCG64(20240229))
-    return draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 2**63, HASHES, np.uint64)
+def _coefficients(n: int, seed: int):
+    draw = np.random.Generator(np.random.PCG64(seed))
+    return draw.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 2**63, n, np.uint64)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    a, b = _A, _B
-    low = np.full(HASHES, np.uint64(2**64 - 1))
+_SHORT_HASHES, _LONG_HASHES = _coefficients(HASHES, 20240229), _coefficients(LONG, 20240301)
+
+
+def signature(hashes: np.ndarray, coefficients=_SHORT_HASHES) -> np.ndarray:
+    a, b = coefficients
+    low = np.full(len(a), np.uint64(2**64 - 1))
     for k in range(0, len(hashes), 1024):
         low = np.minimum(low, (hashes[k : k + 1024, None] * a + b).min(axis=0))
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-_A, _B = _coefficients()
+def bits(sig: np.ndarray) -> np.ndarray:
+    """One bit of each hash, in two integers."""
+    return np.packbits(np.append((sig & 1).astype(np.uint8), np.zeros(-HASHES % 128, np.uint8))).view(np.int64)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -61,40 +69,76 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
-    """For 25, 50, ... compared hashes: the fewest matches at which P(similarity >= threshold) is at least miss."""
+def reaching(m: int, n: int, threshold: float) -> float:
+    """P(Beta(m + 1, n - m + 1) >= threshold), which is P(Binomial(n + 1, threshold) <= m)."""
+    return sum(exp(lgamma(n + 2) - lgamma(j + 1) - lgamma(n + 2 - j) + j * log(threshold) + (n + 1 - j) * log1p(-threshold)) for j in range(m + 1))
 
-    def reaching(m: int, n: int) -> float:  # P(Beta(m + 1, n - m + 1) >= t) = P(Binomial(n + 1, t) <= m)
-        return sum(exp(lgamma(n + 2) - lgamma(j + 1) - lgamma(n + 2 - j) + j * log(threshold) + (n + 1 - j) * log1p(-threshold)) for j in range(m + 1))
 
-    return [next(m for m in range(n + 1) if reaching(m, n) >= miss) for n in range(BATCH, HASHES + 1, BATCH)]
+def fewest(n: int, threshold: float, miss: float) -> int:
+    """The fewest matches of n compared hashes at which reaching the threshold has at least the probability miss."""
+    return next(m for m in range(n + 1) if reaching(m, n, threshold) >= miss)
 
 
-SKETCH = "doc_id long, n_shingles long, same binary, sig binary, bands array<long>"
+def least_matches(threshold: float, miss: float) -> list[int]:
+    """fewest() after 25, 50, ... compared hashes."""
+    return [fewest(n, threshold, miss) for n in range(BATCH, HASHES + 1, BATCH)]
+
+
+SKETCH = "doc_id long, n_shingles long, same binary, sig binary, lo long, hi long, bands array<long>"
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, same (128-bit hash of the set; null if empty), sig, bands."""
+    """Per row: doc_id, n_shingles, same (128-bit hash of the set; null if empty), sig, lo and hi (one bit of each hash), bands."""
 
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            n, same, sigs, bands = [], [], [], []
+            n, same, sigs, lo, hi, bands = [], [], [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), words, ids)
                 n.append(len(found))
                 if not len(found):
-                    same.append(None), sigs.append(None), bands.append(None)
+                    [x.append(None) for x in (same, sigs, lo, hi, bands)]
                     continue
                 sig = signature(found)
                 same.append(xxhash.xxh3_128_digest(found.tobytes())), sigs.append(sig.tobytes()), bands.append(band_keys(sig))
+                for x, half in zip((lo, hi), bits(sig).tolist(), strict=True):
+                    x.append(half)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "same", "sig", "bands"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()),
+                 pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "same", "sig", "lo", "hi", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
+def bits_differ(lo1, hi1, lo2, hi2):
+    return F.bit_count(lo1.bitwiseXOR(lo2)) + F.bit_count(hi1.bitwiseXOR(hi2))
+
+
+def still_plausible(pairs: DataFrame, texts: DataFrame, words: int, threshold: float, miss: float) -> DataFrame:
+    """The pairs that longer signatures, made for their documents only, do not prune."""
+    least = [(n, fewest(n, threshold, miss)) for n in range(LONG // 4, LONG + 1, LONG // 4)]
+
+    def make(batches):
+        ids = WordIds()
+        for batch in batches:
+            sigs = [(signature(shingle_set(x.as_py(), words, ids), _LONG_HASHES) & 255).astype(np.uint8).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["doc_id", "long_sig"])
+
+    def compare(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, LONG) for k in (2, 3))
+            same = (left == right).cumsum(axis=1)
+            stay = np.logical_and.reduce([same[:, n - 1] >= m for n, m in least])
+            yield batch.select([0, 1]).filter(pa.array(stay))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sigs = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(make, "doc_id long, long_sig binary"), "long-signatures")
+    one, two = (sigs.select(F.col("doc_id").alias(c), F.col("long_sig").alias(f"sig_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long")
+
+
 def plausible(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) that the sequential comparison of signatures does not prune."""
     least = least_matches(threshold, miss)
@@ -103,10 +147,10 @@ def plausible(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float)
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3))
             open_, found = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for k, fewest in enumerate(least):
+            for k, enough in enumerate(least):
                 at = slice(k * BATCH, (k + 1) * BATCH)
                 found = found + (left[open_, at] == right[open_, at]).sum(axis=1)
-                stay = found >= fewest
+                stay = found >= enough
                 open_, found = open_[stay], found[stay]
             yield batch.select([0, 1]).take(pa.array(open_))
 
@@ -158,9 +202,10 @@ def across_components(banded: DataFrame, sigs: DataFrame, threshold: float, miss
     columns = ["band", "i", "j", "side", "doc_id", "component"]
     rows = left.select(columns).unionByName(right.select(columns)).join(sigs.select("doc_id", "sig"), "doc_id")
 
-    def run(frame):
+    def run(key, frame):
         import pandas as pd
 
+        band = key[0]
         one, two = frame[frame.side == 0], frame[frame.side == 1]
         if not len(one) or not len(two):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -171,11 +216,14 @@ def across_components(banded: DataFrame, sigs: DataFrame, threshold: float, miss
             own_sig = np.frombuffer(sig, np.uint32)
             open_ = np.flatnonzero(parts != part)
             found = np.zeros(len(open_), np.int64)
-            for k, fewest in enumerate(least):
+            for k, enough in enumerate(least):
                 at = slice(k * BATCH, (k + 1) * BATCH)
                 found = found + (right_sig[open_, at] == own_sig[at]).sum(axis=1)
-                stay = found >= fewest
+                stay = found >= enough
                 open_, found = open_[stay], found[stay]
+            # Each pair is told by the first of the bands that it shares.
+            shared = (right_sig[open_] == own_sig).reshape(-1, BANDS, ROWS).all(axis=2)
+            open_ = open_[band_keys(own_sig)[shared.argmax(axis=1)] == band] if len(open_) else open_
             a.append(np.minimum(ids[open_], doc)), b.append(np.maximum(ids[open_], doc))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
@@ -194,39 +242,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     copies = members.filter("doc_id <> representative").select("doc_id")
     reps = named.join(copies, "doc_id", "left_anti")
     texts = docs.filter("doc_id is not null")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-    buckets = materialize(banded.join(crowded, "band").select("band", "doc_id", "n", "hub"), "buckets")
-    in_bucket = buckets.select("doc_id").distinct()
-    sigs = materialize(reps.join(in_bucket, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
-
-    def link(pairs: DataFrame) -> DataFrame:
-        likely = materialize(pairs if "likely" in pairs.columns else plausible(pairs, sigs, threshold, miss), "likely-pairs")
-        return materialize(confirmed(likely.select("a", "b"), texts, words, percent), "links")
-
-    ordered = lambda df: df.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    tested = ordered(buckets.filter("doc_id <> hub"))
-    links = link(tested)
-    remaining = buckets.filter("n > 2").select("band", "doc_id")
+    banded = reps.select("doc_id", "lo", "hi", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("hub")).filter("n > 1")
+    buckets = materialize(banded.join(crowded, "band").select("band", "doc_id", "lo", "hi", "n", "hub"), "buckets")
+    sigs = materialize(reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
+    most_bits = HASHES - fewest(HASHES, (1 + threshold) / 2, miss / 10)
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        close = rows.filter(bits_differ(F.col("lo"), F.col("hi"), F.col("hub.lo"), F.col("hub.hi")) <= most_bits)
+        return close.select(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).distinct()
+
+    def link(likely: DataFrame) -> DataFrame:
+        return materialize(confirmed(materialize(likely.select("a", "b"), "likely-pairs"), texts, words, percent), "links")
+
+    tested = materialize(pairs_of(buckets.filter("doc_id <> hub.doc_id")), "tested-pairs")
+    links = link(plausible(tested, sigs, threshold, miss))
+    remaining = buckets.filter("n > 2").select("band", "doc_id", "lo", "hi")
     found = components(links)
     for k in range(HUB_ROUNDS):
         # Members that are settled with the rest of their bucket drop out; the others get another hub.
-        labelled = remaining.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_ = labelled.groupBy("band").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("at"), F.col("doc_id").alias("id"), F.col("component").alias("c"))).alias("next"),
-        ).filter("lo <> hi").select("band", F.col("next.id").alias("hub"), F.col("next.c").alias("own"))
+        labelled = remaining.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "lo", "hi", F.coalesce("component", "doc_id").alias("component"))
+        hub = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("at"), "doc_id", "lo", "hi", "component")
+        open_ = labelled.groupBy("band").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min(hub).alias("hub")).filter("first <> last").select("band", "hub")
         labelled = materialize(labelled.join(open_, "band"), "open-buckets")
         if labelled.isEmpty():
-            return _labelled(members, found)
+            break
         if k < HUB_ROUNDS - 1:
-            pairs = ordered(labelled.filter("component <> own")).join(tested, ["a", "b"], "left_anti")
-            tested = materialize(tested.unionByName(pairs), "tested-pairs")
+            new = pairs_of(labelled.filter("component <> hub.component")).join(tested, ["a", "b"], "left_anti")
+            tested = materialize(tested.unionByName(new), "tested-pairs")
+            likely = plausible(new, sigs, threshold, miss)
         else:
-            pairs = across_components(labelled.select("band", "doc_id", "component"), sigs, threshold, miss).join(tested, ["a", "b"], "left_anti").withColumn("likely", F.lit(True))
-        more = link(pairs)
-        links = links.unionByName(more)
+            rest = across_components(labelled.select("band", "doc_id", "component"), sigs, threshold, miss).join(tested, ["a", "b"], "left_anti")
+            likely = still_plausible(materialize(rest, "rest-pairs"), texts, words, threshold, miss)
+        links = links.unionByName(link(likely))
         found = components(links)
-        remaining = labelled.select("band", "doc_id")
+        remaining = labelled.select("band", "doc_id", "lo", "hi")
     return _labelled(members, found)
 
 
