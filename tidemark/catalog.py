@@ -1,9 +1,25 @@
 """All queries of the package, with the SQL that each must agree with."""
 
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES
+
+MODULES = (
+    "sources.frames", "sources.landing", "functions.scalars", "functions.windows", "operators.asof", "operators.aggregates", "operators.relational",
+    "operators.data_quality", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.engines", "plans.alerts", "streaming.alert_state",
+)
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"tidemark.{module}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(ORACLES)
