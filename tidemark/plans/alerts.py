@@ -57,13 +57,16 @@ def compiled(tree: dict, metric=F.col, w=None, depth: int = 0) -> Column:
     if kind in ("cross_above", "cross_below"):
         line = metric(tree["metric_b"]) if "metric_b" in tree else F.lit(float(tree["value"]))
         before = F.lag(v).over(w)
-        return (before <= line) & (v > line) if kind == "cross_above" else (before >= line) & (v < line)
+        crossed = (before <= line) & (v > line) if kind == "cross_above" else (before >= line) & (v < line)
+        return F.when(before.isNotNull() & v.isNotNull() & line.isNotNull(), crossed)
     if kind == "state_change":
         before = F.lag(v).over(w)
         changed = before != v
         if tree.get("from"):
             changed = changed & (before == tree["from"])
-        return changed & (v == tree["to"]) if tree.get("to") else changed
+        if tree.get("to"):
+            changed = changed & (v == tree["to"])
+        return F.when(before.isNotNull() & v.isNotNull(), changed)
     raise ValueError(f"unknown condition {tree['type']}")
 
 
