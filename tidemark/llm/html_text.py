@@ -13,6 +13,7 @@ own; null ids and urls are kept. An empty table gives an empty result. Other col
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from math import e, log
 
@@ -67,11 +68,12 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "noise", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "noise", "link", "article", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag, parent, noise=False):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.link = tag == "a" or parent is not None and parent.link
+        self.article = tag in ("article", "main") or parent is not None and parent.article
         self.children, self.chars, self.tags, self.link_chars, self.link_tags = [], 0, 1, 0, int(tag == "a")
         if parent is not None:
             parent.children.append(self)
@@ -80,7 +82,7 @@ class _Node:
 def _tree(html: str) -> _Node:
     """Children are nodes and strings; noise has been left out."""
     root = node = _Node("html", None)
-    at = 0
+    at, opened = 0, Counter()  # opened: how often each tag was, so that an end tag without a beginning needs no search
     for token in _TOKEN.finditer(html):
         if token.start() > at and not node.noise:
             node.children.append(html[at : token.start()])
@@ -89,33 +91,33 @@ def _tree(html: str) -> _Node:
         if not tag:
             continue
         if token[2]:
-            up = node
+            up = node if opened[tag] else None
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                while node is not up.parent:
+                    opened[node.tag] -= 1
+                    node = node.parent
             elif tag == "p" and not node.noise:
                 node.children.append("\n")
             continue
         up = node
         while up.parent is not None and up.tag not in _STOPS:
             if tag in _CLOSES.get(up.tag, ()):
-                node = up.parent
                 break
             up = up.parent
-        else:
-            if tag in _CLOSES.get(up.tag, ()) and up.parent is not None:
-                node = up.parent
+        if tag in _CLOSES.get(up.tag, ()) and up.parent is not None:
+            while node is not up.parent:
+                opened[node.tag] -= 1
+                node = node.parent
         if tag in _VOID:
             if tag in ("br", "hr") and not node.noise:
                 _Node(tag, node)
             continue
-        inside, up = False, node
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        child = _Node(tag, node, node.noise or _noise(tag, token[4] or "", inside))
+        child = _Node(tag, node, node.noise or _noise(tag, token[4] or "", node.article))
         if not (token[4] or "").rstrip().endswith("/"):
             node = child
+            opened[tag] += 1
     if at < len(html) and not node.noise:
         node.children.append(html[at:])
     return root
