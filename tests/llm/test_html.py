@@ -40,3 +40,31 @@ def test_nulls_repeats_and_other_columns(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>t</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id is None, r.url, r.text) for r in extract(pages).collect()) == [(False, None, ""), (False, None, ""), (True, "u", "t")]
     assert extract(pages.limit(0)).count() == 0
+
+
+def long(k):
+    return f"Paragraph {k} of the article says one thing after another, so that it is long enough to be told from a menu" + " and more" * (k % 4) + "."
+
+
+def paragraphs(ks, tag="p"):
+    return "".join(f"<{tag}>{long(k)}</{tag}>" for k in ks)
+
+
+ALL = "\n".join(map(long, range(35)))
+MENU = "<ul>" + "".join(f"<li><a href='/{k}'>Place {k}</a></li>" for k in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("links", ["", MENU])
+@pytest.mark.parametrize("tag", ["p", "div"])
+@pytest.mark.parametrize("page", [
+    "<body>{links}<h1>The headline</h1><div>{a}</div><div>{b}</div></body>",
+    "<body>{links}<div><h1>The headline</h1><div>{a}</div><div>{b}</div></div><div>(c) 2020</div></body>",
+    "<body><div>{links}</div><div><div><h1>The headline</h1></div><section><div>{a}</div></section><div>{b}</div></div></body>",
+])
+def test_article_split_over_containers(page, tag, links):
+    assert main_text(page.format(links=links, a=paragraphs(range(20), tag), b=paragraphs(range(20, 35), tag))) == f"The headline\n{ALL}"
+
+
+def test_paragraphs_beside_the_content():
+    page = f"<body><div>{MENU}</div><div><p>Lead.</p>Bare <b>words</b>.<div>{paragraphs(range(35))}</div><p>The end.</p><div><a href=/>Next page of the list</a></div></div></body>"
+    assert main_text(page) == f"Lead.\nBare words.\n{ALL}\nThe end."

@@ -3,8 +3,11 @@
 A page becomes a tree of its tags, without scripts, styles, comments and what its tag, class, id or role names as menu,
 header, footer, sidebar, notice, advert, form or reader comment. Every node's density is its characters per tag, adjusted
 by the share of its characters and tags that are links; a node's sum is that of its children's densities. The node with the
-largest sum holds the article. The smallest density on its path to the body is the threshold at which its siblings and its
-ancestors' other children belong to the article too. Mostly linked children are left out; no other text is dropped.
+largest sum holds the article; inside an <article> or <main>, the outermost of these is the article. Otherwise its siblings
+and its ancestors' other children, up to those of the body, belong to it too if they are headings, or if they are not mostly
+links and are mostly paragraphs or have at least half as many unlinked characters a tag as the sparsest node on the path to
+the body (composite density grows with size, so it does not compare them). Mostly linked children are left out; no other
+text is dropped.
 
 Nulls and repeats: a null or empty html gives an empty text; a page without tags is one block. Each row is a page of its
 own; null ids and urls are kept. An empty table gives an empty result. Other columns are not read and may clash.
@@ -48,6 +51,8 @@ _NOISE_WORDS = frozenset(
 _TEXT_WORDS = frozenset("content article main story entry".split())
 _REMARKS = frozenset("comment comments commentlist reply replies respond disqus".split())
 _WHOLE = frozenset("html body article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | frozenset("p blockquote pre li dt dd".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -68,12 +73,14 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "noise", "link", "article", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "noise", "link", "article", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_prose", "prose")
 
     def __init__(self, tag, parent, noise=False):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.link = tag == "a" or parent is not None and parent.link
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.in_prose = tag in _PROSE or parent is not None and parent.in_prose
+        self.prose = 0  # characters in paragraphs, outside links
         self.children, self.chars, self.tags, self.link_chars, self.link_tags = [], 0, 1, 0, int(tag == "a")
         if parent is not None:
             parent.children.append(self)
@@ -135,8 +142,10 @@ def _measure(root: _Node) -> list[_Node]:
         own = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
         node.chars += own
         node.link_chars += own if node.link else 0
+        node.prose += own if node.in_prose and not node.link else 0
         if node.parent is not None:
             up = node.parent
+            up.prose += node.prose
             up.chars, up.tags, up.link_chars, up.link_tags = up.chars + node.chars, up.tags + node.tags, up.link_chars + node.link_chars, up.link_tags + node.link_tags
     all_chars, all_links = max(1, root.chars), root.link_chars
     for node in order:
@@ -170,21 +179,52 @@ def _blocks(node: _Node, keep) -> list[str]:
     return [x for x in found if x]
 
 
+def _leave_out(best: _Node, order: list[_Node]) -> None:
+    """Cut off what does not belong to the article, beside the path from best to the body."""
+    path, up = {x for x in order if x.tag in ("html", "body")}, best
+    while up is not None:
+        path.add(up)
+        up = up.parent
+    within = best.tag in ("html", "body")  # then the body's children are the article's
+    threshold = min(((x.chars - x.link_chars) / x.tags for x in path if x.chars), default=0.0) / 2
+
+    def belongs(x: _Node) -> bool:
+        plain = x.chars - x.link_chars
+        if within or x.tag in _HEADINGS:
+            return True
+        return plain >= x.link_chars and (2 * x.prose >= x.chars or plain / x.tags >= threshold)
+
+    for node in path:
+        if node is best and not within:
+            continue
+        kept, run = [], []  # run: text and inline elements that stand together
+        for x in [*node.children, None]:
+            if isinstance(x, str) or x is not None and x.tag not in _BLOCKS and x not in path:
+                run.append(x)
+                continue
+            linked = sum(0 if isinstance(y, str) else y.link_chars for y in run)
+            if within or sum(len("".join(y.split())) if isinstance(y, str) else y.chars for y in run) >= 2 * linked:
+                kept += run
+            run = []
+            if x is not None and (x in path or belongs(x)):
+                kept.append(x)
+        node.children = kept
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = _tree(html)
     order = _measure(root)
     best = max(order, key=lambda x: x.sum)
-    path, top = [best], best
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-        if path[-1].tag in ("article", "main"):
-            top = path[-1]
-    threshold = min(x.density for x in path if x.chars)  if best.chars else 0.0
-    if top is best and best.tag not in ("article", "main"):
-        while top.parent is not None and sum(x is not top and not isinstance(x, str) and x.sum >= threshold and x.density >= threshold and x.tag not in ("html", "body") for x in top.parent.children) and top.parent.tag not in ("html", "body"):
-            top = top.parent
+    up, top = best, None
+    while up is not None:
+        if up.tag in ("article", "main"):
+            top = up
+        up = up.parent
+    if top is None:
+        _leave_out(best, order)
+        top = root
 
     def keep(x: _Node) -> bool:
         return x is top or x.link or 2 * x.link_chars <= x.chars or x.chars - x.link_chars > 100 or x.tag not in _BLOCKS
