@@ -68,3 +68,14 @@ def test_article_split_over_containers(page, tag, links):
 def test_paragraphs_beside_the_content():
     page = f"<body><div>{MENU}</div><div><p>Lead.</p>Bare <b>words</b>.<div>{paragraphs(range(35))}</div><p>The end.</p><div><a href=/>Next page of the list</a></div></div></body>"
     assert main_text(page) == f"Lead.\nBare words.\n{ALL}\nThe end."
+
+
+@pytest.mark.parametrize("page", ["<body>{links}<article>{text}</article></body>", "<body>{links}<div>{text}</div></body>"])
+def test_linked_blocks_of_the_article_stay(page):
+    text = f"<h1><a href=/t>The title</a></h1>{paragraphs(range(35))}<h2><a href=/s>Sources</a></h2><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul><p>See <a href=/r>the full report</a>.</p>"
+    assert main_text(page.format(links=f"<nav>{MENU}</nav>", text=text)) == f"The title\n{ALL}\nSources\nOne\nTwo\nSee the full report."
+
+
+def test_linked_blocks_in_the_body_itself():
+    page = f"<body><div>{MENU}</div><h1><a href=/t>The title</a></h1>{paragraphs(range(35))}<p>See <a href=/r>the full report</a>.</p></body>"
+    assert main_text(page) == f"The title\n{ALL}\nSee the full report."

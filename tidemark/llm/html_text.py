@@ -6,8 +6,9 @@ by the share of its characters and tags that are links; a node's sum is that of
 largest sum holds the article; inside an <article> or <main>, the outermost of these is the article. Otherwise its siblings
 and its ancestors' other children, up to those of the body, belong to it too if they are headings, or if they are not mostly
 links and are mostly paragraphs or have at least half as many unlinked characters a tag as the sparsest node on the path to
-the body (composite density grows with size, so it does not compare them). Mostly linked children are left out; no other
-text is dropped.
+the body (composite density grows with size, so it does not compare them). In the article itself nothing is dropped. Where
+the paragraphs are the body's own, of its children only blocks that are mostly links, no headings or paragraphs and with at
+most 100 other characters are left out.
 
 Nulls and repeats: a null or empty html gives an empty text; a page without tags is one block. Each row is a page of its
 own; null ids and urls are kept. An empty table gives an empty result. Other columns are not read and may clash.
@@ -161,7 +162,7 @@ def _measure(root: _Node) -> list[_Node]:
     return order
 
 
-def _blocks(node: _Node, keep) -> list[str]:
+def _blocks(node: _Node) -> list[str]:
     blocks: list[list[str]] = [[]]
     stack: list = [node]
     while stack:
@@ -170,7 +171,7 @@ def _blocks(node: _Node, keep) -> list[str]:
             blocks.append([])
         elif isinstance(x, str):
             blocks[-1].append(x)
-        elif keep(x):
+        else:
             if x.tag in _BLOCKS:
                 blocks.append([])
                 stack.append(None)
@@ -190,8 +191,10 @@ def _leave_out(best: _Node, order: list[_Node]) -> None:
 
     def belongs(x: _Node) -> bool:
         plain = x.chars - x.link_chars
-        if within or x.tag in _HEADINGS:
+        if x.tag in _HEADINGS or within and (x.tag == "p" or plain > 100):
             return True
+        if within:
+            return plain >= x.link_chars
         return plain >= x.link_chars and (2 * x.prose >= x.chars or plain / x.tags >= threshold)
 
     for node in path:
@@ -226,10 +229,7 @@ def main_text(html: str | None) -> str:
         _leave_out(best, order)
         top = root
 
-    def keep(x: _Node) -> bool:
-        return x is top or x.link or 2 * x.link_chars <= x.chars or x.chars - x.link_chars > 100 or x.tag not in _BLOCKS
-
-    return "\n".join(_blocks(top, keep))
+    return "\n".join(_blocks(top))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
