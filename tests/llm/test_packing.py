@@ -58,3 +58,25 @@ def test_rule_on_known_gaps():
     # 6 opens gap 4; 4 closes it; 5 opens gap 5; another 5 closes it.
     sequence, offset = packing.sum_of_squares(np.array([6, 4, 5, 5]), 10)
     assert sequence.tolist() == [0, 0, 1, 1] and offset.tolist() == [0, 6, 0, 5]
+
+
+def test_special_tokens_as_the_plain_call_gives_them(spark, tmp_path):
+    """The query and the pipeline's stage against tokenizers as it is, without encode_special_tokens."""
+    import corpus_pipeline
+
+    end = "<|endoftext|>"
+    texts = [f"{end} a", f"a {end}", end, end * 3, f"  {end}  b\n{end}\n", f"don{end}'t", f"x{end[:-1]} {end} é{end}漢", f"<{end}>", f"word {end} " * 700, "none", "", None, end.upper(), f"1{end}2 3"]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [50256, 257]
+    assert {t.content: k for k, t in tok.get_added_tokens_decoder().items()} == packing.SPECIAL
+    want = {}
+    for k, text in enumerate(texts):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        want |= {(k, i): zlib.crc32(ids[max(0, first + 1024 * (i - 1)) : first + 1024 * i].tobytes()) for i in range(-(-len(ids) // 1024))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (packing.op3_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packing(spark, docs, "").collect()):
+        assert {(r.doc_id, r.piece): r.ids_crc32 for r in rows} == want
+    a, b = (packing.pieces(docs, public_tokenizers.path(f"byte_bpe_50k.{kind}"), special=True).orderBy("doc_id", "piece").collect() for kind in ("json", "tiktoken"))
+    assert a == b

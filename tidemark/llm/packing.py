@@ -8,7 +8,8 @@ bound of total tokens; 1 % with all longest first). Sorting makes the result a f
 task that runs again gives the same places.
 
 The tokenizer is a file: *.json is read by tokenizers, *.tiktoken (ranks of the same vocabulary) by tiktoken, which gives
-the same ids five times as fast and is the default. Strings of special tokens are ordinary text.
+the same ids five times as fast and is the default. The query and the pipeline take the ids that tokenizers gives for *.json
+with add_special_tokens=False alone: a special token's string in a text becomes its id. Without `special` it is ordinary text.
 
 Nulls and repeats: a null text is empty, so its only token is the end token; a null doc_id is kept. Repeated rows are
 documents of their own. An empty table gives an empty result. Only doc_id and text are read, so other columns may clash.
@@ -16,6 +17,8 @@ documents of their own. An empty table gives an empty result. Only doc_id and te
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +27,23 @@ from pyspark.sql import functions as F
 from .common import read
 
 CAPACITY, END = 1024, 2
+SPECIAL = {"<|endoftext|>": 50256}  # the added tokens of byte_bpe_50k.json, which the ranks do not have
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 GROUP_DOCS = 50_000  # documents whose pieces one task packs
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def encoder(path: str):
-    """texts -> lists of ids."""
+def with_special(encode, text: str) -> list[int]:
+    """Ids of a text, cut where a special token stands, so that none is merged across it."""
+    ids: list[int] = []
+    for k, part in enumerate(_SPECIAL.split(text)):
+        ids += [SPECIAL[part]] if k % 2 else encode(part)
+    return ids
+
+
+def encoder(path: str, special: bool = False):
+    """texts -> lists of ids. special: strings of SPECIAL become their ids."""
     if path.endswith(".tiktoken"):
         import base64
 
@@ -40,19 +53,21 @@ def encoder(path: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if special:
+            return lambda texts: [with_special(own.encode_ordinary, x) for x in texts]
         return lambda texts: [own.encode_ordinary(x) for x in texts]
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not special
     return lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, special: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
 
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 docs_, texts = (batch.column(c).slice(k, 256).to_pylist() for c in (0, 1))
@@ -121,15 +136,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Join pieces() on doc_id and piece for the ids."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, group_docs: int = GROUP_DOCS, special: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Join pieces(), with the same `special`, on doc_id and piece for the ids."""
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer or default_tokenizer(), capacity, end)
+    cut = pieces(docs, tokenizer or default_tokenizer(), capacity, end, special)
     return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), groups, capacity)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents"), special=True)
 
 
 QUERIES = {"op3_packing": op3_packing}
