@@ -258,6 +258,16 @@ def test_ingest_counts_each_file_once(spark, tmp_path):
 
 # --- sources, checks, scalars ---
 
+def test_report_counts_invalid_rows(spark):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    bars = [("good", start + datetime.timedelta(hours=k), 1.0, 2.0, 1.0, 1.5, 1.0) for k in range(10)]
+    bars += [("negative", t, -1.0, -1.0, -2.0, -1.5, v) for _, t, *_, v in bars[:10]] + [("crossed", t, 1.5, 1.0 if k < 4 else 2.0, 1.5, 1.5, v) for k, (_, t, *_, v) in enumerate(bars[:10])]
+    rows = data_quality.report(spark.createDataFrame(bars, "symbol string, time timestamp_ntz, open double, high double, low double, close double, volume double")).collect()
+    assert {r.symbol: (round(r.validity, 9), round(r.overall, 9), r.status) for r in rows} == {"good": (100, 100, "OK"), "negative": (0, 70, "WARNING"), "crossed": (60, 88, "WARNING")}
+
+
 def test_partitioned_bars(spark, tmp_path):
     b = bars_of(spark, wave(90))
     landing.write_bars(b, str(tmp_path / "bars"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.frames import HOURLY, MULTI, PROVIDERS, bars_hourly, bars_multi, provider_prices, rounded, table
+from .relational import problems
 
 QUALITY_ORDER = {"INVALID": 0, "STALE": 1, "CONFLICT": 2, "ESTIMATED": 3, "VERIFIED": 4}
 
@@ -167,15 +168,20 @@ def q_gate(spark, sf_dir):
   SELECT symbol, round(plausibility, 5) AS plausibility, round(continuity, 5) AS continuity, round(uniqueness, 5) AS uniqueness, round(overall, 5) AS overall,
     CASE WHEN overall >= 90 THEN 'OK' WHEN overall >= 70 THEN 'WARNING' WHEN overall >= 50 THEN 'ERROR' ELSE 'CRITICAL' END AS status FROM o""")
 def q_report(spark, sf_dir):
-    """Weighted scores per series and the level of the whole."""
-    g = gappy(spark, sf_dir)
+    """The SQL has 100 for validity, which is right while problems() finds nothing in the bars."""
+    return rounded(report(gappy(spark, sf_dir)).drop("validity"), 5)
+
+
+def report(g: DataFrame) -> DataFrame:
+    """Weighted scores per series of hourly bars and the level of the whole; validity is the share of rows without problems()."""
     out = z_outliers(g, "close", ["symbol"]).groupBy("symbol").agg(F.count("*").alias("outliers"))
-    n = g.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("time").alias("d"))
+    valid = F.when(F.size(problems(g.columns)) == 0, 1.0).otherwise(0.0)
+    n = g.withColumn("valid", valid).groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("time").alias("d"), (100 * F.avg("valid")).alias("validity"))
     r = n.join(completeness(g, ["symbol"], 3600), "symbol").join(out, "symbol", "left").select(
-        "symbol", F.lit(100.0).alias("validity"), (100 * (1 - F.coalesce("outliers", F.lit(0)) / F.col("n"))).alias("plausibility"), F.col("percent").alias("continuity"), (100 * F.col("d") / F.col("n")).alias("uniqueness"))
+        "symbol", "validity", (100 * (1 - F.coalesce("outliers", F.lit(0)) / F.col("n"))).alias("plausibility"), F.col("percent").alias("continuity"), (100 * F.col("d") / F.col("n")).alias("uniqueness"))
     overall = 0.3 * F.col("validity") + 0.25 * F.col("plausibility") + 0.25 * F.col("continuity") + 0.2 * F.col("uniqueness")
     status = F.when(F.col("overall") >= 90, "OK").when(F.col("overall") >= 70, "WARNING").when(F.col("overall") >= 50, "ERROR").otherwise("CRITICAL")
-    return rounded(r.withColumn("overall", overall).withColumn("status", status).drop("validity"), 5)
+    return r.withColumn("overall", overall).withColumn("status", status)
 
 
 @query("quality_staleness", f"""WITH {MULTI} SELECT symbol, CAST(date_diff('day', max(time), (SELECT max(time) FROM bars)) AS INT) AS age, CASE WHEN date_diff('day', max(time), (SELECT max(time) FROM bars)) <= 1 THEN 'FRESH' ELSE 'STALE' END AS grade FROM bars GROUP BY symbol""")
