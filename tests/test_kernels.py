@@ -256,6 +256,19 @@ def test_ingest_counts_each_file_once(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(dst).collect()) == [0, 1]
 
 
+def test_levels_of_a_hot_user(spark):
+    values = [("hot", float(k % 700)) for k in range(5000)] + [("few", 1.5), ("few", None), (None, 2.0), ("none", None)] + [("same", 3.25)] * 30
+    events = spark.createDataFrame(values, "user_id string, value double")
+    found = landing.levels(events)
+    want = {}
+    for user in {u for u, _ in values}:
+        own = [v for u, v in values if u == user]
+        known = sorted((v for v in own if v is not None), reverse=True)[:20]
+        want[user] = (len(own), sum(known) if known else None)
+    assert {r.user_id: (r.n, r.top20) for r in found.collect()} == want
+    assert "collect_list" not in landing.q_levels(spark, SF)._jdf.queryExecution().toString()
+
+
 # --- sources, checks, scalars ---
 
 def test_report_counts_invalid_rows(spark):

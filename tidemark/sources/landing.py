@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -99,8 +99,17 @@ def q_pages(spark, sf_dir):
 
 @query("array_levels", """SELECT user_id, count(*) AS n, round(list_sum(list_slice(list_sort(list(value), 'DESC'), 1, 20)), 4) AS top20 FROM events GROUP BY 1""")
 def q_levels(spark, sf_dir):
-    """Depth of the twenty largest levels of a book kept as an array."""
-    book = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value"), asc=False).alias("levels"))
-    return book.select("user_id", F.size("levels").cast("long").alias("n"), F.round(F.aggregate(F.slice("levels", 1, 20), F.lit(0.0), lambda a, x: a + x), 4).alias("top20"))
+    return levels(table(spark, sf_dir, "events"))
+
+
+def levels(events: DataFrame, salts: int = 64) -> DataFrame:
+    """Count and depth of the twenty largest levels per user: the top of each (user, salt), then of the user, so no book is gathered."""
+    e = events.select("user_id", "value").withColumn("salt", F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(salts)))
+    for by in (["user_id", "salt"], ["user_id"]):
+        best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("value")))
+        e = e.withColumn("k", best).filter("k <= 20").drop("k")
+    counts = events.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("top20", F.lit(None).cast("double"))
+    top = e.groupBy("user_id").agg(F.sum("value").alias("top20")).select("user_id", F.lit(0).cast("long").alias("n"), "top20")
+    return counts.unionByName(top).groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.max("top20"), 4).alias("top20"))
 
 
