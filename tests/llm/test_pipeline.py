@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pandas as pd
 
 import corpus_pipeline
@@ -47,6 +49,27 @@ def test_every_stage(spark):
         docs = after
 
 
+def test_packing_stage_gives_every_piece(spark):
+    """On the stage's own input, whose documents come several times: all pieces of all copies, their ids and gapless offsets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+    name, packing = corpus_pipeline.STAGES[-1]
+    rows = docs.collect()
+    assert name == "packing" and len(rows) > len({r.doc_id for r in rows})
+    apart = spark.createDataFrame([(k, r.text) for k, r in enumerate(rows)], "doc_id long, text string")
+    pieces = packing(spark, apart, SF).collect()
+    check_places(pieces, {k: r.text for k, r in enumerate(rows)})
+    assert any(r.piece for r in pieces)
+    for last in (packing(spark, docs, SF).collect(), corpus_pipeline.run(spark, SF).collect()):
+        assert Counter(tuple(r)[:5] for r in last) == Counter((rows[r.doc_id].doc_id, *tuple(r)[1:5]) for r in pieces)
+        ends = {}
+        for r in sorted(last, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert max(ends.values()) <= 1024
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
