@@ -1,5 +1,13 @@
+import math
+import random
+import re
+import time
+from html.parser import HTMLParser
+
+import pandas as pd
 import pytest
 
+from tidemark.llm import html_text
 from tidemark.llm.html_text import extract, main_text, op7_html_extraction
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +87,157 @@ def test_linked_blocks_of_the_article_stay(page):
 def test_linked_blocks_in_the_body_itself():
     page = f"<body><div>{MENU}</div><h1><a href=/t>The title</a></h1>{paragraphs(range(35))}<p>See <a href=/r>the full report</a>.</p></body>"
     assert main_text(page) == f"The title\n{ALL}\nSee the full report."
+
+
+def renamed(html, **tags):
+    for old, new in tags.items():
+        html = re.sub(rf"<(/?){old}\b", rf"<\1{new}", html)
+    return html
+
+
+def test_article_tag_is_not_needed():
+    """The given pages with <article> as <div> give the same text, all of it and nothing else."""
+    pages = pd.read_parquet(f"{SF}/pages.parquet").html.dropna()
+    assert pages.str.contains("<article>").sum() > 10
+    for html in pages:
+        want = main_text(html)
+        assert main_text(renamed(html, article="div")) == want
+        body = re.search("<article>(.*)</article>", html, re.S)
+        if body:
+            assert want == main_text(f"<div>{body[1]}</div>")
+
+
+def test_names_do_not_decide_alone():
+    """A form around the page, and classes that sound like noise, leave the article whole; without any names the menu still goes."""
+    text = f"<h1>The headline</h1>{paragraphs(range(35))}"
+    want = f"The headline\n{ALL}"
+    for page in ("<body><form>{menu}<div>{text}</div></form></body>", "<body>{menu}<div class='post hidden-xs'>{text}</div></body>", "<body>{menu}<div class='widget-post'>{text}</div></body>",
+                 "<body><div><div>{menu}</div></div><div>{text}</div><div>(c) 2020 by us</div></body>", "<body>{menu}<article><section>{text}</section></article></body>"):
+        assert main_text(page.format(menu=f"<div>{MENU}</div>", text=text)) == want
+    assert main_text(f"<div><p>One <label>labelled</label> word, and {long(3)}</p></div>") == f"One labelled word, and {long(3)}"
+    assert main_text(f"<article></article><footer>{long(1)}</footer>") == ""
+
+
+def test_sections_and_articles_stay_together():
+    parts = [range(10), range(10, 12), range(12, 35)]
+    for tag in ("section", "article", "div"):
+        page = "<body><div>" + MENU + "</div><div>" + "".join(f"<{tag}><h2>Part {k}</h2>{paragraphs(p)}</{tag}>" for k, p in enumerate(parts)) + "</div></body>"
+        assert main_text(page) == "\n".join(f"Part {k}\n" + "\n".join(map(long, p)) for k, p in enumerate(parts))
+
+
+@pytest.mark.parametrize("page", [
+    "<span>" * 20_000 + "x", "<a " * 33_000, "<a b='" * 20_000, '<a b="c>' * 15_000, "<b><p>" * 15_000, "<p><b>" * 15_000, "<td><table>" + "<b>" * 15_000 + "<td></td>" * 8_000,
+    "<!--" * 25_000, "<script>" * 12_000, "</p>" * 25_000, "<li><p>" * 14_000, "a=" * 50_000, "<a" + " b =" * 25_000 + ">", "<a" + " " * 100_000 + ">", "&" * 100_000, "<div><span>" * 9_000 + "</div>" * 9_000,
+    "<title>" * 14_000 + "<!x" * 10_000, "<" * 100_000,
+])
+def test_hostile_pages_of_100_kb(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 3  # under 1 s on an idle machine
+
+
+class Plain(HTMLParser):
+    """A tree of [tag, children] by the standard library, for pages whose tags all close."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.root = ["html", []]
+        self.stack = [self.root]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.stack[-1][1].append([tag, []])
+        self.stack.append(self.stack[-1][1][-1])
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def plain_main_text(html):
+    """The docstring's rule without noise, written with recursion over nested lists."""
+    root = Plain(html).root
+    chars = lambda s: len("".join(s.split()))
+
+    def measure(node, in_link=False, in_prose=False):
+        tag, kids = node[0], node[1]
+        in_link, in_prose = in_link or tag == "a", in_prose or tag in html_text._PROSE
+        own = sum(chars(k) for k in kids if isinstance(k, str))
+        parts = [measure(k, in_link, in_prose) for k in kids if not isinstance(k, str)]
+        c, t, lc, lt, pr = (sum(p[i] for p in parts) for i in range(5))
+        node += [(c + own, t + 1, lc + own * in_link, lt + (tag == "a"), pr + own * (in_prose and not in_link)), own * (not in_link)]
+        return node[2]
+
+    total = measure(root)
+
+    def density(node):
+        c, t, lc, lt, _ = node[2]
+        if not c:
+            return 0.0
+        base = max(1.0001, math.log(c / max(1, c - lc) * lc + total[2] / max(1, total[0]) * c + math.e))
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / math.log(base)
+
+    def walk(node, path=()):
+        yield node, (*path, node)
+        for k in node[1]:
+            if not isinstance(k, str):
+                yield from walk(k, (*path, node))
+
+    sums = [(sum(density(k) for k in n[1] if not isinstance(k, str)) + n[3], -at, path) for at, (n, path) in enumerate(walk(root))]
+    path = max(sums, key=lambda s: (s[0], s[1]))[2]
+    if path[-1][0] in ("html", "body"):
+        return None
+    # Every node called html or body counts as on the path.
+    least = min((n[2][0] - n[2][2]) / n[2][1] for n in path if n[2][0]) / 2
+
+    def stays(k):
+        c, t, lc, _, pr = k[2]
+        return k[0] in html_text._HEADINGS or c - lc >= lc and (2 * pr >= c or (c - lc) / t >= least)
+
+    def blocks(node):
+        out = [""]
+        on_path = any(node is n for n in path[:-1])
+        sure = [at for at, k in enumerate(node[1]) if not isinstance(k, str) and (any(k is n for n in path) or stays(k))]
+        for at, k in enumerate(node[1]):
+            if isinstance(k, str):
+                out[-1] += k
+            elif not on_path or at in sure or sure and sure[0] < at < sure[-1] and k[2][0] >= 2 * k[2][2]:
+                if k[0] in html_text._BLOCKS:
+                    out += [*blocks(k), ""]
+                else:
+                    inner = blocks(k)
+                    out[-1] += inner[0]
+                    out += inner[1:]
+        return out
+
+    return "\n".join(x for x in (" ".join(b.split()) for b in blocks(root)) if x)
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(1, 6)):
+        kind = rng.random()
+        if kind < 0.35 and depth < 4:
+            tag = rng.choice(["div", "section", "article", "main"])
+            out.append(f"<{tag}>{random_page(rng, depth + 1)}</{tag}>")
+        elif kind < 0.8:
+            tag = rng.choice(["p", "p", "div", "h2"])
+            words = " ".join("".join(rng.choices("abcde", k=5)) for _ in range(rng.randrange(1, 40)))
+            out.append(f"<{tag}>{words} <a>link</a> end &amp; more</{tag}>" if rng.random() < 0.4 else f"<{tag}>{words}</{tag}>")
+        else:
+            out.append("<ul>" + "".join(f"<li><a>item {k}</a></li>" for k in range(rng.randrange(1, 6))) + "</ul>")
+    return "".join(out)
+
+
+def test_against_recursion():
+    rng, compared = random.Random(5), 0
+    for _ in range(400):
+        html = f"<div>{random_page(rng)}</div>"
+        want = plain_main_text(html)
+        if want is not None:
+            assert main_text(html) == want, html
+            compared += 1
+    assert compared > 300
