@@ -14,10 +14,11 @@ def got(frame, **options):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, **options).collect()}
 
 
-def test_whole_table_against_all_pairs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("sf_dir", [SF, SF.replace("0.001", "0.01")])
+def test_whole_table_against_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = near_components([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
-    rows = minhash.op5_minhash_near_dedup(spark, SF).collect()
+    rows = minhash.op5_minhash_near_dedup(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
     assert len({c for _, c in want.values()}) < len(want)
@@ -40,6 +41,23 @@ def test_chains_of_edits(spark, words, percent):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent) == near_components(rows, words, percent)
 
 
+def test_drift_of_a_thousand(spark, monkeypatch):
+    """A thousand texts, each an edit of an earlier one, in blocks far smaller than their bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", 20_000)
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(150)]]
+    while len(texts) < 1000:
+        text = list(rng.choice(texts))
+        for _ in range(rng.choice([2, 3, 5, 9])):
+            text[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        texts.append(text)
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = near_components(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 20
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85) == want
+
+
 def test_nulls_short_texts_copies_and_long_texts(spark):
     long = " ".join(f"x{k % 7919}" for k in range(60_000))
     rows = [(9, None), (8, ""), (7, " \t "), (6, "One two"), (5, "one  TWO"), (4, "one"), (3, "a b c d e f"), (2, "A b C d e\nf"), (20, long), (21, long + " end"), (1, "É b c"), (0, "é b c")]
