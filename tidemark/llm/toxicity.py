@@ -1,12 +1,17 @@
 """Toxicity scores from weak supervision.
 
-Voters are words (a lexicon) and word beginnings of four to eight letters (patterns) that set the toxic documents of a bounded
-sample of labelled rows apart. A generative label model, fitted by expectation maximization over the sample's votes, estimates
-each voter's rates of firing on toxic and on clean texts and, from what these leave unexplained, the voters' correlations, by
-which correlated voters share one vote. Its posterior labels train a logistic regression over the votes, which scores every text.
-
-The sample (SAMPLE rows at most, chosen by hash) and the voters (VOTERS at most) are bounds of the model, not of the texts
-that it scores: all rows, whole texts. Labels are learnt only from rows whose crc32(doc_id) mod 5 is not 0.
+Voters are words (a lexicon) and word beginnings of four to eight letters (patterns). The bounded sample of labelled rows is
+dealt into five parts; the voters of a part are the marks that set toxic documents apart in the other four, so no voter has
+seen the label of a row that it votes on. A generative label model is fitted to the votes alone by expectation maximization:
+it estimates each voter's rates of firing on toxic and on clean texts (starting from, and held near, its rates in the other
+parts, with the weight of ANCHOR rows) and, from what these leave unexplained, the voters' correlations, by which correlated
+voters share one vote. A voter that does not fire abstains, so that one kind of toxic text does not speak against another.
+Labels enter the posterior only as the share of toxic rows, which its mean is. The posterior labels train a logistic
+regression over the marks of whole texts, which scores every document.
+
+SAMPLE (labelled rows, chosen by hash) and VOTERS (marks a part) are sizes of the model, as its number of weights; they keep
+the driver's matrices under 20,000 x 2560 small numbers. All texts that it scores are whole, and all rows are scored. Labels
+are learnt only from rows whose crc32(doc_id) mod 5 is not 0.
 
 Nulls and repeats: a null or empty text has no votes and gets the score of one; null labels and ids teach nothing. Repeated
 rows are scored each. Without labels all scores are the prior 0.01. An empty table gives an empty result. Only the named
@@ -29,7 +34,7 @@ SAMPLE, VOTERS = 20_000, 512
 LENGTHS = (4, 5, 6, 7, 8)  # letters of the word beginnings
 LEAST_TOXIC, LEAST_Z = 4, 5.5  # a voter's toxic documents, and the root of its G statistic against the share of toxic ones
 FOLDS, HELD_OUT = 5, 0
-LABEL_RATES = (0.98, 0.002)  # of annotators who call a toxic and a clean text toxic
+PARTS, ANCHOR, SAME = 5, 50, 0.7  # SAME: the residual correlation from which voters share a vote
 _WORD = re.compile(r"\w+")
 
 
@@ -46,106 +51,154 @@ def marks(text: str | None) -> set[str]:
 def sample_of(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id and toxic of at most about `most` labelled rows outside the held-out fold, by hash."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    part = min(1.0, most / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    ratio = min(1.0, most / max(1, known.count()))
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(ratio * (1 << 20)))
+
+
+def part(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("part")), F.lit(PARTS)).cast("int")
+
+
+class Voters:
+    """The marks, and per part: the places of its voters in marks, and their rates on toxic and clean texts of the other parts."""
 
+    def __init__(self, rows):
+        self.marks = sorted({r.mark for r in rows})
+        place = {m: k for k, m in enumerate(self.marks)}
+        self.of_part, self.rates = [], []
+        for f in range(PARTS):
+            own = sorted((place[r.mark], r.on_toxic, r.on_clean) for r in rows if r.part == f)
+            self.of_part.append(np.array([x[0] for x in own], np.int64))
+            self.rates.append(np.array([x[1:] for x in own], float).reshape(-1, 2))
 
-def voters_of(texts: DataFrame, most: int = VOTERS) -> list[str]:
-    """The marks of texts (text, toxic) that speak most clearly for toxicity."""
+
+def voters_of(texts: DataFrame, most: int = VOTERS) -> Voters:
+    """Per part, the marks of the other parts of texts (text, toxic, part) that speak most clearly for toxicity."""
 
     def count(batches):
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen: Counter = Counter()
 
         def flush():
-            rows = [(m, n, toxic) for toxic, c in seen.items() for m, n in c.items()]
-            for c in seen.values():
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32()))], names=["mark", "n", "toxic"])
+            rows = [(m, n, f, toxic) for (m, f, toxic), n in seen.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["mark", "n", "part", "toxic"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[int(toxic > 0)].update(marks(text.as_py()))
-            if sum(map(len, seen.values())) > 500_000:
-                yield flush()
+            for text, toxic, f in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen.update((m, f, int(toxic > 0)) for m in marks(text.as_py()))
+                if len(seen) > 500_000:
+                    yield flush()
         yield flush()
 
-    sizes = texts.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.count("*")).first()
-    toxic, clean = sizes[0] or 0, sizes[1] - (sizes[0] or 0)
-    if not toxic or not clean:
-        return []
-    counted = texts.select("text", "toxic").mapInArrow(count, "mark string, n long, toxic int").groupBy("mark").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    a, b, share = F.col("a"), F.col("b"), toxic / (toxic + clean)
-    g = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0))
-    scored = counted.filter((a >= LEAST_TOXIC) & (a >= 4 * b)).withColumn("z", F.sqrt(g)).filter(F.col("z") >= LEAST_Z)
-    return [r.mark for r in scored.orderBy(F.desc("z"), "mark").limit(most).collect()]
-
-
-def votes_of(texts: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the bounded sample: one row of 0 and 1 per text, and the texts' labels."""
-    place = {v: k for k, v in enumerate(voters)}
+    sizes = {(r.part, r.toxic > 0): r.n for r in texts.groupBy("part", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    total = [sum(n for (_, t), n in sizes.items() if t == toxic) for toxic in (True, False)]
+    n_if = lambda *on: F.sum(F.when(F.lit(True) if not on else on[0], F.col("n")).otherwise(0))
+    toxic = F.col("toxic") == 1
+    sums = [n_if(toxic).alias("a_all"), n_if(~toxic).alias("b_all")]
+    for f in range(PARTS):
+        sums += [n_if(toxic & (F.col("part") == f)).alias(f"a{f}"), n_if(~toxic & (F.col("part") == f)).alias(f"b{f}")]
+    counted = texts.select("text", "toxic", "part").mapInArrow(count, "mark string, n long, part int, toxic int").groupBy("mark").agg(*sums).filter(f"a_all >= {LEAST_TOXIC}")
+    counted = materialize(counted, "marks")
+    rows = []
+    a, b = F.col("a"), F.col("b")
+    for f in range(PARTS):
+        n_toxic, n_clean = total[0] - sizes.get((f, True), 0), total[1] - sizes.get((f, False), 0)
+        if not n_toxic or not n_clean:
+            continue
+        share = n_toxic / (n_toxic + n_clean)
+        g = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0))
+        others = counted.select("mark", (F.col("a_all") - F.col(f"a{f}")).alias("a"), (F.col("b_all") - F.col(f"b{f}")).alias("b"))
+        scored = others.filter((a >= LEAST_TOXIC) & (a >= 4 * b)).withColumn("z", F.sqrt(g)).filter(F.col("z") >= LEAST_Z)
+        rows += scored.select("mark", F.lit(f).alias("part"), "z", ((a + 0.1) / (n_toxic + 1)).alias("on_toxic"), ((b + 0.02) / (n_clean + 1)).alias("on_clean")).orderBy(F.desc("z"), "mark").limit(most).collect()
+    return Voters(rows)
+
+
+def votes_of(texts: DataFrame, voters: Voters) -> list[np.ndarray]:
+    """Of the bounded sample, per part: one row of 0 and 1 per text, a column per mark."""
+    place = {v: k for k, v in enumerate(voters.marks)}
 
     def run(batches):
         for batch in batches:
             found = [sorted(place[m] for m in marks(x.as_py()) if m in place) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["votes", "toxic"])
-
-    rows = texts.select("text", "toxic").mapInArrow(run, "votes array<int>, toxic int").collect()
-    rows.sort(key=lambda r: (r.votes, r.toxic))  # the order of rows says nothing, so let it be the same each time
-    matrix = np.zeros((len(rows), len(voters)), np.float32)
-    for k, row in enumerate(rows):
-        matrix[k, row.votes] = 1
-    return matrix, np.array([r.toxic > 0 for r in rows])
-
-
-def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 10) -> np.ndarray:
-    """Posterior probability of toxicity of each row of votes.
-
-    The annotators are one more voter, of known rates (LABEL_RATES): they tie the model's two classes to toxic and clean.
-    """
-    annotated = np.where(labels, np.log(LABEL_RATES[0] / LABEL_RATES[1]), np.log((1 - LABEL_RATES[0]) / (1 - LABEL_RATES[1])))
-    p = labels * 0.98 + 0.01
-    on_toxic, on_clean = (np.clip((q @ votes + 0.1) / (q.sum() + 1), 1e-4, 0.99) for q in (p, 1 - p))
-    share = np.ones(votes.shape[1])
-    for _ in range(rounds):
-        logit = np.log(prior / (1 - prior)) + annotated + votes @ (share * np.log(on_toxic / on_clean)) + (1 - votes) @ (share * np.log((1 - on_toxic) / (1 - on_clean)))
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        on_toxic = np.clip((p @ votes + 0.1) / (p.sum() + 1), 1e-3, 0.99)
-        on_clean = np.clip(((1 - p) @ votes + 0.02) / ((1 - p).sum() + 1), 1e-6, 0.5)
-        left = votes - np.outer(p, on_toxic) - np.outer(1 - p, on_clean)  # what the rates leave unexplained
-        size = np.sqrt((left**2).sum(axis=0)) + 1e-9
-        correlation = (left.T @ left) / np.outer(size, size)
-        share = 1 / np.where(correlation > 0.3, correlation, 0).sum(axis=1).clip(1)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["votes", "part"])
+
+    rows = texts.select("text", "part").mapInArrow(run, "votes array<int>, part int").collect()
+    rows.sort(key=lambda r: (r.part, r.votes))  # the order of rows says nothing, so let it be the same each time
+    out = []
+    for f in range(PARTS):
+        own = [r.votes for r in rows if r.part == f]
+        matrix = np.zeros((len(own), len(place)), np.float32)
+        for k, found in enumerate(own):
+            matrix[k, found] = 1
+        out.append(matrix)
+    return out
+
+
+def with_mean(evidence: np.ndarray, mean: float) -> np.ndarray:
+    """Probabilities whose log odds are the evidence and one constant, so that they have the given mean."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(evidence + middle, -30, 30)))
+        low, high = (low, middle) if len(p) and p.mean() > mean else (middle, high)
     return p
 
 
-def logistic(votes: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent on the cross entropy."""
+def label_model(votes: list[np.ndarray], voters: Voters, prior: float, rounds: int = 10) -> list[np.ndarray]:
+    """Posterior probability of toxicity of each row of votes, part by part, from the votes of the part's own voters."""
+    m = len(voters.marks)
+    asked = [v[:, at] for v, at in zip(votes, voters.of_part, strict=True)]
+    start = np.zeros((m, 3))  # sums of a voter's rates in the other parts, and how many parts ask it
+    for at, rates in zip(voters.of_part, voters.rates, strict=True):
+        start[at] += np.column_stack([rates, np.ones(len(at))])
+    start = np.clip(start[:, :2] / start[:, 2:], 1e-6, 0.99)
+    rate, share = start.copy(), np.ones(m)
+    for _ in range(rounds):
+        posterior, up, down, left, seen = [], np.zeros((m, 2)), np.zeros((m, 2)), np.zeros((m, m)), np.zeros((m, m))
+        for v, at in zip(asked, voters.of_part, strict=True):
+            p = with_mean(v @ (share[at] * np.log(rate[at, 0] / rate[at, 1])), prior)
+            posterior.append(p)
+            both = np.column_stack([p, 1 - p])
+            up[at] += v.T @ both
+            down[at] += both.sum(axis=0)
+            # Sums of products of what the rates leave unexplained, v - both @ rate', without ever writing that out.
+            cross, fit = (v.T @ both) @ rate[at].T, rate[at] @ (both.T @ both) @ rate[at].T
+            left[np.ix_(at, at)] += v.T @ v - cross - cross.T + fit
+            seen[np.ix_(at, at)] += 1
+        rate = np.clip((up + ANCHOR * start) / (down + ANCHOR), 1e-6, 0.99)
+        size = np.sqrt(np.diag(left).clip(1e-9))
+        correlation = left / np.outer(size, size) * (seen > 0)
+        np.fill_diagonal(correlation, 1)
+        share = 1 / np.where(correlation > SAME, correlation, 0).sum(axis=1).clip(1)
+    return posterior
+
+
+def logistic(votes: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's method on the cross entropy, whose sum the squared weights are added to (times ridge)."""
     x = np.hstack([votes, np.ones((len(votes), 1), votes.dtype)])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 0
-    step = 4.0 / (np.linalg.norm(x[:, :-1], axis=1).max() ** 2 + 1)
-    balance = np.where(target > 0.5, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6))
-    w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    w[-1] = v[-1] = -2
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (balance * (p - target)) / len(x) * 4 + penalty * v / len(x) ** 0.5)
-        v, w = new + k / (k + 3) * (new - w), new
+    penalty = np.full(x.shape[1], 2 * ridge)
+    penalty[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log(np.clip(target.mean(), 1e-4, 0.9999) / (1 - np.clip(target.mean(), 1e-4, 0.9999)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        bend = (x * (p * (1 - p)).clip(1e-4).astype(x.dtype)[:, None]).T @ x + np.diag(penalty)
+        w = w - np.linalg.solve(bend, x.T @ (p - target) + penalty * w)
     return w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int = VOTERS) -> tuple[dict[str, float], float]:
-    """Weights of the voters, and the bias."""
-    texts = materialize(docs.select("doc_id", "text").join(sample_of(labels, sample), "doc_id").select("text", "toxic"), "toxic-sample")
-    chosen = voters_of(texts, voters)
+    """Weights of the marks, and the bias."""
+    known = docs.select("doc_id", "text").join(sample_of(labels, sample), "doc_id").select("text", "toxic", part(F.col("doc_id")).alias("part"))
+    texts = materialize(known, "toxic-sample")
     toxic = texts.agg(F.avg(F.when(F.col("toxic") > 0, 1.0).otherwise(0.0))).first()[0]
     prior = min(0.5, max(0.01, toxic or 0.0))
-    if not chosen:
+    chosen = voters_of(texts, voters)
+    if not chosen.marks:
         return {}, float(np.log(prior / (1 - prior)))
-    votes, known = votes_of(texts, chosen)
-    weights, bias = logistic(votes, label_model(votes, known, prior))
-    return dict(zip(chosen, weights.tolist(), strict=True)), bias
+    votes = votes_of(texts, chosen)
+    weights, bias = logistic(np.concatenate(votes), np.concatenate(label_model(votes, chosen, prior)))
+    return dict(zip(chosen.marks, weights.tolist(), strict=True)), bias
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
