@@ -47,10 +47,58 @@ def test_bounds_hold_and_prune():
     rng = np.random.default_rng(6)
     x, q = rng.normal(size=(3000, 6)), rng.normal(size=(20, 6))
     tree = topk.Tree(x)
-    assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(3000)) and max(map(len, tree.leaves)) <= topk.LEAF_ROWS
+    leaves = [r for r in tree.rows if r is not None]
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(3000)) and max(map(len, leaves)) <= topk.LEAF_ROWS
     bounds = tree.bounds(q)
-    for k, rows in enumerate(tree.leaves):
-        assert ((q @ x[rows].T).max(axis=1) <= bounds[:, k] + 1e-9).all()
+
+    def below(node):
+        return tree.rows[node] if tree.rows[node] is not None else np.concatenate([below(c) for c in tree.children[node]])
+
+    for node in range(len(tree.rows)):
+        assert ((q @ x[below(node)].T).max(axis=1) <= bounds[:, node] + 1e-9).all()
+        for child in tree.children[node] or ():
+            assert (bounds[:, child] <= bounds[:, node] + 1e-9).all()
+
+
+def test_far_nodes_are_not_visited(monkeypatch):
+    """Of vectors in clusters, a query reads a few leaves only."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 50, (2000, 3)) + c for c in ([0, 0, 0], [900, 0, 0], [0, 900, 0], [0, 0, 900])]).astype(np.int64)
+    read = []
+    real = topk.Tree.__init__
+
+    def counted(self, *args, **options):
+        real(self, *args, **options)
+
+        class Rows(list):
+            def __getitem__(self, k):
+                found = super().__getitem__(k)
+                if found is not None:
+                    read.append(len(found))
+                return found
+
+        self.rows = Rows(self.rows)
+
+    monkeypatch.setattr(topk.Tree, "__init__", counted)
+    best = topk.search(np.arange(8000), x, np.array([-1]), np.array([[1, 0, 0]], dtype=np.int64), np.array([topk.LEAST]), 10)
+    scores = x[:, 0].copy()
+    assert [s for s, _ in best[0]] == sorted(scores, reverse=True)[:10] and sum(read) < 2000
+
+
+def test_regions_and_a_common_vector(spark):
+    """Most rows are one vector: its region is dealt into parts, and the ties go by id."""
+    rng = np.random.default_rng(9)
+    rows = [(k, [1.0, 2.0, 0.5] if k % 3 else [float(t) for t in rng.normal(size=3)]) for k in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shards = topk.dealt(topk.integer_vectors(frame), 100).groupBy("dim", "region", "part").count().collect()
+    assert len({r.region for r in shards}) > 3 and max(r["count"] for r in shards) < 200
+    assert got(frame, 50, shard_rows=100) == brute(rows, 50)
+
+
+def test_components_beyond_64_bits(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(frame) == [(0, 1, 1, topk.MOST), (0, 2, 3, 2 * 1024 * 1024), (0, 3, 2, topk.LEAST)]
 
 
 def test_large_components_are_exact():
