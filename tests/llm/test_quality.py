@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import quality
 
@@ -26,6 +27,67 @@ def test_against_sql(spark):
     assert same_rows(quality.op6_quality_rules(spark, SF), duck(documents=docs), quality.SQL)
 
 
+def numpy_verdicts(rows):
+    """The docstring's method in NumPy. rows: (doc_id, lang, source, n, chars, symbols, dup lines, repeats, failed, lines)."""
+    vector = lambda r: [int(np.floor(1000 * t + 0.5)) for t in (np.log(1 + r[3]), r[4] / r[3], np.log(1 + 20 * (r[5] / r[3])), r[7] / r[3], r[6] / max(1, r[9]))]
+    good = [r for r in rows if not r[8]]
+    x, groups = np.array([vector(r) for r in good], float), [(r[1], r[2]) for r in good]
+    floors, names = np.array(quality.FLOORS), sorted(set(groups), key=str)
+    at = {g: np.array([k for k, h in enumerate(groups) if h == g]) for g in names}
+
+    def estimates(chosen):
+        """Mean and covariance per group from the chosen rows and the language's."""
+        out = {}
+        for g in names:
+            own, whole = x[chosen[g]], np.concatenate([x[chosen[h]] for h in names if h[0] == g[0]])
+            n = len(own) + quality.PRIOR
+            mean = (own.sum(axis=0) + quality.PRIOR * whole.mean(axis=0)) / n
+            second = (own.T @ own + quality.PRIOR * (whole.T @ whole) / len(whole)) / n
+            out[g] = mean, quality.consistency() * (second - np.outer(mean, mean)) + np.diag(floors**2)
+        return out
+
+    def distance(g, model, rows):
+        gone = x[rows] - model[0]
+        return (gone @ np.linalg.inv(model[1]) * gone).sum(axis=1)
+
+    median = {g: np.median(x[at[g]], axis=0) for g in names}
+    mad = {g: np.median(np.abs(x[at[g]] - median[g]), axis=0) for g in names}
+    starts = [{g: (median[g], np.diag(np.maximum(1.4826 * mad[g], floors) ** 2)) for g in names}, {g: (median[g], np.diag(floors**2)) for g in names}, estimates(at)]
+    best = {}
+    for model in starts:
+        for _ in range(quality.STEPS):
+            chosen = {}
+            for g in names:
+                bucket = np.floor(quality.BINS * np.log(distance(g, model[g], at[g]) + 0.001))
+                chosen[g] = at[g][bucket <= np.sort(bucket)[int(np.ceil(quality.KEPT_PART * len(bucket))) - 1]]
+            model = estimates(chosen)
+        for g in names:
+            det = np.linalg.det(model[g][1])
+            if g not in best or det < best[g][0] * (1 - 1e-9):
+                best[g] = det, model[g]
+    kept = {r[0]: False for r in rows}
+    for g in names:
+        for k, d2 in zip(at[g], distance(g, best[g][1], at[g]), strict=True):
+            kept[good[k][0]] = d2 <= quality.REACH**2
+    return kept
+
+
+@pytest.mark.parametrize("sf_dir", [SF, SF.replace("0.001", "0.01")])
+def test_against_numpy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.lang, r.source, *counted(r.text), sum(bool(WORD.search(x)) for x in (r.text or "").split("\n"))) for r in docs.collect()]
+    want = numpy_verdicts(rows)
+    got = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert got == want and 0 < sum(want.values()) < sum(not r[8] for r in rows)
+
+
+def test_cut_is_a_quantile():
+    sample = np.random.default_rng(1).normal(size=(400_000, quality.P))
+    d2 = (sample**2).sum(axis=1)
+    assert abs((d2 > quality.quantile(0.99)).mean() - 0.01) < 0.001
+    assert abs(quality.REACH**2 - 35.888) < 0.01
+
+
 def test_counts(spark):
     rng = random.Random(1)
     texts = [None, "", " \n ", "a", "a b c a b c", "x y\nx y\n x y\n\nz", "\U0001f600é #*$%&|<> \x0b\fq"] + [

@@ -1,14 +1,20 @@
 """Quality rules: base rules, then robust multivariate outliers per language and source (DataFrame and SQL only).
 
-Each document has a vector of five transformed statistics. Per (lang, source) group a minimum-covariance-determinant
-estimate is found by concentration steps from a deterministic start (median and MAD): take the three quarters of the
-group with the smallest Mahalanobis distances, estimate mean and covariance from them, repeat. A document whose
-distance under the last estimate exceeds `reach` is rejected.
-
-The vectors are integers (thousandths), so all sums are exact and do not depend on the order of rows; the three
-quarters are found from a histogram of distances, so no group is sorted or gathered. A group's moments are joined by
-those of its language as `prior` further documents, and the covariance by a small diagonal, which keeps it regular for
-small groups and for statistics that are mostly zero; both are the same at every size.
+Each document has a vector of five transformed statistics. Per (lang, source) group the minimum-covariance-determinant
+estimate is sought from three starts: median with MAD, median with the least deviations (FLOORS), and the moments of all
+documents. From each, concentration steps (take the three quarters of the group with the smallest Mahalanobis distances,
+estimate mean and covariance from them) are repeated until nothing changes, at most STEPS times; of the three estimates that
+with the least determinant stands. A document whose distance under it exceeds `reach` is rejected; REACH is the distance that
+one in a million of normally distributed documents exceeds (TAIL).
+
+The vectors are integers (thousandths), so all sums are exact and do not depend on the order of rows; the three quarters
+are found from a histogram of distances, so no group is sorted or gathered (a subset is whole buckets, at least three
+quarters). The medians of a group hold its distinct integers, some ten thousand at most, whatever its size.
+
+Two things are shrunk, alike at every size. A group's moments are joined by those of its language as PRIOR further documents:
+a group of a few documents has no regular covariance of its own. And the squares of FLOORS are added to the variances: most
+documents have no symbols, repeats or equal lines at all, so the nearest three quarters often vary by nothing, and without
+that any fluent text with one repeated line would be rejected. FLOORS is how far ordinary texts go in these statistics.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of their own. Repeated
 rows count each for itself. An empty table gives an empty result. Other columns are not read and may clash.
@@ -25,9 +31,9 @@ from .common import SPACES, materialize, read
 
 P = 5
 KEPT_PART = 0.75  # of a group, in a concentration step
-STEPS = 4
+STARTS, STEPS = 3, 12
 PRIOR = 100.0  # documents' worth of the language's moments in a group's
-REACH = 7.5  # largest distance of a kept document
+TAIL = 1e-6  # share of normally distributed documents beyond the largest distance of a kept one
 #: Least standard deviations, in thousandths: ln words, characters a word, symbols, repeated words, repeated lines.
 FLOORS = (300.0, 250.0, 200.0, 80.0, 120.0)
 BINS = 16.0  # of the histogram of distances, per unit of its logarithm
@@ -80,10 +86,14 @@ _cols = lambda form: ", ".join(form.format(i=i) for i in _ALL)
 
 MEDIANS = f"SELECT g, {_cols('median(x{i}) AS m{i}')} FROM {{fit}} GROUP BY g"
 SPREADS = f"SELECT f.g, {_cols('median(abs(f.x{i} - s.m{i})) AS s{i}')} FROM {{fit}} f JOIN {{medians}} s ON f.g = s.g GROUP BY f.g"
-#: The start: centre and lower triangle of the Cholesky factor, here a diagonal.
-START = f"""SELECT m.g, {_cols('CAST(m{i} AS DOUBLE) AS m{i}')}, {', '.join(
-    f"greatest(1.4826 * s{i}, CAST({FLOORS[i - 1]} AS DOUBLE)) AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in _PAIRS)}
-  FROM {{medians}} m JOIN {{spreads}} s ON m.g = s.g"""
+#: Every start works on rows of its own: languages and groups end in its number.
+OF_STARTS = " UNION ALL ".join(f"SELECT concat(l, '#{k}') AS l, concat(g, '#{k}') AS g, {_cols('x{i}')} FROM {{fit}}" for k in range(STARTS))
+
+
+def _start(k: int, deviation: str) -> str:
+    """Centre and lower triangle of the Cholesky factor, here a diagonal."""
+    factor = ", ".join(f"greatest({deviation.format(i=i)}, CAST({FLOORS[i - 1]} AS DOUBLE)) AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in _PAIRS)
+    return f"SELECT concat(m.g, '#{k}') AS g, {_cols('CAST(m{i} AS DOUBLE) AS m{i}')}, {factor} FROM {{medians}} m JOIN {{spreads}} s ON m.g = s.g"
 
 
 def distances(rows: str, model: str) -> str:
@@ -117,13 +127,18 @@ def _gamma_p(a: float, x: float) -> float:
     return total * math.exp(a * math.log(x) - x - math.lgamma(a))
 
 
-def consistency(part: float = KEPT_PART, p: int = P) -> float:
-    """What the covariance of the nearest part of a normal sample is multiplied by."""
-    lo, hi = 0.0, 100.0
+def quantile(part: float, p: int = P) -> float:
+    """The squared distance that this part of a normal sample keeps within."""
+    lo, hi = 0.0, 200.0
     for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _gamma_p(p / 2, mid / 2) < part else (lo, mid)
-    return part / _gamma_p(p / 2 + 1, lo / 2)
+    return lo
+
+
+def consistency(part: float = KEPT_PART, p: int = P) -> float:
+    """What the covariance of the nearest part of a normal sample is multiplied by."""
+    return part / _gamma_p(p / 2 + 1, quantile(part, p) / 2)
 
 
 def model_of(moments: str) -> str:
@@ -144,18 +159,33 @@ def model_of(moments: str) -> str:
     return f"SELECT g, {_cols('m{i}')}, {', '.join(f'l{i}{j}' for i, j in _PAIRS)} FROM {sql} w"
 
 
+REACH = math.sqrt(quantile(1 - TAIL))
+#: Moments of all rows of the last start, as if all were near.
+ALL_MOMENTS = f"""SELECT concat(l, '#2') AS l, concat(g, '#2') AS g, CAST(count(*) AS DOUBLE) AS n, {_cols('CAST(sum(x{i}) AS DOUBLE) AS a{i}')}, {', '.join(f'CAST(sum(x{i} * x{j}) AS DOUBLE) AS a{i}{j}' for i, j in _PAIRS)}
+  FROM {{fit}} GROUP BY l, g"""
+BEGIN = f"{_start(0, '1.4826 * s{i}')} UNION ALL {_start(1, '0')} UNION ALL {model_of('({all_moments})')}"
+#: The estimate of least determinant; the determinant is the squared product of the factor's diagonal.
+LEAST = f"""SELECT substring(g, 1, length(g) - 2) AS g, {_cols('m{i}')}, {', '.join(f'l{i}{j}' for i, j in _PAIRS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY substring(g, 1, length(g) - 2) ORDER BY {' * '.join(f'l{i}{i}' for i in _ALL)}, g) AS place FROM {{model}} f) o WHERE place = 1"""
+
+
 def verdicts(stats: DataFrame, reach: float = REACH) -> DataFrame:
     """stats (as of statistics(), materialized) with distance and kept."""
     spark = stats.sparkSession
     sql = lambda text, **tables: spark.sql(text.replace("EXCLUDING", "EXCEPT"), **tables)
     vectors = sql(VECTOR, stats=stats)
     fit = vectors.filter(~F.col("base_failed")).select("l", "g", *[f"x{i}" for i in _ALL])
-    medians = sql(MEDIANS, fit=fit)
-    model = materialize(sql(START, medians=medians, spreads=sql(SPREADS, fit=fit, medians=medians)), "quality-start")
+    medians = materialize(sql(MEDIANS, fit=fit), "quality-medians")
+    begin = sql(BEGIN.replace("{all_moments}", ALL_MOMENTS), medians=medians, spreads=sql(SPREADS, fit=fit, medians=medians), fit=fit)
+    model = materialize(begin, "quality-start")
+    rows = sql(OF_STARTS, fit=fit)
     for step in range(STEPS):
-        near = sql(bucketed("{fit}", "{model}"), fit=fit, model=model)
+        near = sql(bucketed("{fit}", "{model}"), fit=rows, model=model)
         moments = sql(MOMENTS, bucketed=near, nearest=sql(NEAREST, bucketed=near))
-        model = materialize(sql(model_of("{moments}"), moments=moments), f"quality-step{step}")
+        before, model = model, materialize(sql(model_of("{moments}"), moments=moments), f"quality-step{step}")
+        if model.exceptAll(before).isEmpty():
+            break
+    model = sql(LEAST, model=model)
     judged = sql(distances("{rows}", "{model}"), rows=vectors.filter(~F.col("base_failed")), model=model)
     good = judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", F.col("d2") <= reach * reach)
     failed = vectors.filter("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
@@ -188,10 +218,12 @@ counts AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(
 stats_of AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 vectors AS MATERIALIZED (""".replace("WORD", word) + VECTOR.format(stats="stats_of") + """),
 fit AS MATERIALIZED (SELECT l, g, x1, x2, x3, x4, x5 FROM vectors WHERE NOT base_failed),
-medians AS (""" + MEDIANS.format(fit="fit") + "), spreads AS (" + SPREADS.format(fit="fit", medians="medians") + "),\nmodel0 AS MATERIALIZED (" + START.format(medians="medians", spreads="spreads") + ")"
+medians AS MATERIALIZED (""" + MEDIANS.format(fit="fit") + "), spreads AS (" + SPREADS.format(fit="fit", medians="medians") + "),\nrows_ AS MATERIALIZED (" + OF_STARTS.format(fit="fit")
+    text += "),\nmodel0 AS MATERIALIZED (" + BEGIN.format(medians="medians", spreads="spreads", all_moments=ALL_MOMENTS.format(fit="fit")) + ")"
     for k in range(STEPS):
-        text += f",\nnear{k} AS MATERIALIZED ({bucketed('fit', f'model{k}')}), nearest{k} AS ({NEAREST.format(bucketed=f'near{k}')}), moments{k} AS ({MOMENTS.format(bucketed=f'near{k}', nearest=f'nearest{k}')}),\nmodel{k + 1} AS MATERIALIZED ({model_of(f'moments{k}')})"
-    judged = f",\nall_judged AS (SELECT *, d2 <= {REACH * REACH} AS kept FROM ({distances('(SELECT * FROM vectors WHERE NOT base_failed)', f'model{STEPS}')}) UNION ALL BY NAME SELECT *, FALSE AS kept FROM vectors WHERE base_failed)"
+        text += f",\nnear{k} AS MATERIALIZED ({bucketed('rows_', f'model{k}')}), nearest{k} AS ({NEAREST.format(bucketed=f'near{k}')}), moments{k} AS ({MOMENTS.format(bucketed=f'near{k}', nearest=f'nearest{k}')}),\nmodel{k + 1} AS MATERIALIZED ({model_of(f'moments{k}')})"
+    text += f",\nleast AS MATERIALIZED ({LEAST.format(model=f'model{STEPS}')})"
+    judged = f",\nall_judged AS (SELECT *, d2 <= {REACH * REACH!r} AS kept FROM ({distances('(SELECT * FROM vectors WHERE NOT base_failed)', 'least')}) UNION ALL BY NAME SELECT *, FALSE AS kept FROM vectors WHERE base_failed)"
     return (text + judged).replace("EXCLUDING", "EXCLUDE")
 
 
