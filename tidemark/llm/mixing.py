@@ -3,8 +3,9 @@
 Slots of the mix are points of the golden-ratio sequence, taken as fractions of a large Fibonacci number so that
 they are exact integers. A point falls into one interval of the cumulative target weights, which names the slot's
 source. Slots are ranked per source, and rank r takes block r mod n of the source's n blocks. A source's blocks are
-equal stretches of its words, with its documents in the order of md5(doc_id), so a document may lie in several
-blocks and a block may hold many documents.
+equal stretches of its words (BLOCK_WORDS at every size, the last one shorter), with its documents in the order of
+md5(doc_id), so a document may lie in several blocks and a block may hold many documents. A source's last slot is cut where
+its target is reached, so each source takes its target to the word.
 
 Nulls: a null source is a source of its own (last in order); a null or empty text has size 0 and is never taken;
 a null doc_id orders as the empty string. Repeated rows are documents of their own. Rows that tie on md5, doc_id and
@@ -25,6 +26,7 @@ BINS = 1024
 BIN_WIDTH = FIB_46 // BINS + 1
 #: Weights of the sources in order, repeating, and the share of all words that the mix takes.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+BLOCK_WORDS = 2048
 
 
 def sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -66,11 +68,6 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
-def block_words(total: float, most: int = 2048, slots: int = 1 << 18) -> int:
-    """Words of a block: at most `most`, and less where the mix would have fewer than `slots` slots."""
-    return max(1, min(most, int(total) // slots))
-
-
 def slot_schedule(spark, wanted: DataFrame, total: float, block: int) -> DataFrame:
     """Per slot of the mix: slot, src, rank (0, 1, ... within the source)."""
     n = -(-int(total) // block)
@@ -89,28 +86,42 @@ def slot_schedule(spark, wanted: DataFrame, total: float, block: int) -> DataFra
     return exclusive_prefix(slots, ["src"], "chunk", ["slot"], "one", "rank").select("slot", "src", "rank")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, most_block_words: int = 2048) -> DataFrame:
+def slot_times(slots: DataFrame, wanted: DataFrame, block: int) -> DataFrame:
+    """Per source and block: times that whole slots take it, and cut, the words that the source's last slot takes of it.
+
+    The slots of a source take its blocks in turn until its target is reached to the word. Where the points gave it too few
+    slots the missing ones come last; the schedule's discrepancy bounds how many they are.
+    """
+    per = wanted.filter("source_size > 0").select(
+        "src", "source_size", F.floor(F.col("target") + 0.5).cast("long").alias("goal"), F.expr(f"(source_size + {block - 1}) div {block}").alias("n_blocks"))
+    before = lambda r: F.expr(f"({r} div n_blocks) * source_size + ({r} % n_blocks) * {block}")
+    enough = F.expr(f"(goal div source_size) * n_blocks + ((goal % source_size) + {block - 1}) div {block}")
+    given = slots.groupBy("src").agg(F.count("*").alias("given"))
+    missing = (
+        per.join(given, "src", "left").withColumn("given", F.coalesce("given", F.lit(0))).filter(F.col("given") < enough)
+        .select("src", F.explode(F.sequence("given", enough - 1)).alias("rank"))
+    )
+    told = slots.select("src", "rank").unionByName(missing).join(per, "src").withColumn("left", F.col("goal") - before("rank")).filter("left > 0")
+    length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.expr(f"(rank % n_blocks) * {block}"))
+    return told.groupBy("src", F.expr("rank % n_blocks").alias("block")).agg(
+        F.sum(F.when(F.col("left") >= length, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("left") < length, F.col("left"))).alias("cut"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's), taken (words that the mix takes of it)."""
     spark = docs.sparkSession
     sized = materialize(sizes(docs), "mix-sizes")
     wanted = materialize(targets(sized, weights, share, most), "mix-targets")
     total = wanted.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    block = block_words(total, most_block_words)
     known = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select(
         "doc_id", sized["source"], "size", "place", "src", "source_size", "target", F.substring("place", 1, 3).alias("bucket"))
     placed = exclusive_prefix(known.filter("size > 0"), ["src"], "bucket", ["place", "doc_id", "size"], "size", "start")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    blocks = wanted.select(F.col("src"), F.expr(f"(source_size + {block} - 1) div {block}").alias("n_blocks")).filter("n_blocks > 0")
-    times = (
-        slot_schedule(spark, wanted, total, block).join(blocks, "src")
-        .filter(F.col("rank") < most * F.col("n_blocks"))  # the last of a full source's slots would exceed a document's limit
-        .groupBy("src", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
-    )
+    ends = lambda words: F.least(F.col("start") + F.col("size"), F.col("block") * block + words) - F.greatest(F.col("start"), F.col("block") * block)
     taken = (
-        pieces.withColumn("words", words).join(times, ["src", "block"], "left")
-        .groupBy("src", "start", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+        pieces.join(slot_times(slot_schedule(spark, wanted, total, block), wanted, block), ["src", "block"], "left")
+        .withColumn("words", ends(F.lit(block)) * F.coalesce("times", F.lit(0)) + F.greatest(F.lit(0), ends(F.coalesce("cut", F.lit(0)))))
+        .groupBy("src", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
     )
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return taken.select(columns).unionByName(known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
@@ -135,16 +146,18 @@ levels AS (
 wanted AS (
   SELECT src, source, source_size, least(cap, weight * coalesce(water, level)) AS target FROM (
     SELECT *, arg_min(level, CASE WHEN level <= cap / weight THEN place_no END) OVER () AS water FROM levels)),
-conf AS (SELECT *, CAST(ceil(floor(total) / block) AS BIGINT) AS n FROM (
-  SELECT total, greatest(1, least(2048, CAST(floor(total) AS BIGINT) // 262144)) AS block FROM (SELECT coalesce(sum(target), 0.0) AS total FROM wanted))),
+conf AS (SELECT 2048 AS block, CAST(ceil(floor(coalesce(sum(target), 0.0)) / 2048) AS BIGINT) AS n FROM wanted),
 hi AS (SELECT src, CAST(round(sum(target) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * {FIB_46}) AS BIGINT) AS hi FROM wanted),
 spans AS (SELECT src, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo, hi FROM hi),
 slots AS (SELECT i AS slot, (i % {FIB_46}) * {FIB_45} % {FIB_46} AS point FROM (SELECT unnest(range(n)) AS i FROM conf)),
 ranked AS (SELECT s.src, row_number() OVER (PARTITION BY s.src ORDER BY slot) - 1 AS rank FROM slots JOIN spans s ON point >= s.lo AND point < s.hi),
+per AS (SELECT src, source_size, CAST(floor(target + 0.5) AS BIGINT) AS goal, (source_size + block - 1) // block AS n_blocks, block FROM wanted, conf WHERE source_size > 0),
+needed AS (SELECT src, unnest(range((goal // source_size) * n_blocks + (goal % source_size + block - 1) // block)) AS rank FROM per),
+used AS (
+  SELECT p.src, rank % n_blocks AS block_no, goal - (rank // n_blocks) * source_size - (rank % n_blocks) * block AS room, least(block, source_size - (rank % n_blocks) * block) AS length
+  FROM (SELECT src, rank FROM ranked UNION SELECT src, rank FROM needed) r JOIN per p ON r.src = p.src),
 times AS (
-  SELECT r.src, rank % n_blocks AS block, count(*) AS times FROM ranked r
-  JOIN (SELECT src, (source_size + block - 1) // block AS n_blocks FROM wanted, conf) b ON r.src = b.src
-  WHERE rank < 2 * n_blocks GROUP BY 1, 2),
+  SELECT src, block_no, sum(CASE WHEN room >= length THEN 1 ELSE 0 END) AS times, max(CASE WHEN room < length THEN room END) AS cut FROM used WHERE room > 0 GROUP BY 1, 2),
 placed AS (
   SELECT s.doc_id, s.source, s.size, w.src, w.source_size, w.target,
          CAST(coalesce(sum(s.size) OVER (PARTITION BY w.src ORDER BY place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
@@ -152,8 +165,9 @@ placed AS (
 pieces AS (SELECT p.*, unnest(range(start // c.block, (start + size - 1) // c.block + 1)) AS piece, c.block AS width FROM placed p, conf c),
 taken AS (
   SELECT p.doc_id, p.source, p.size, p.source_size, p.target, p.start, p.src,
-         CAST(sum((least(start + size, (piece + 1) * width) - greatest(start, piece * width)) * coalesce(times, 0)) AS BIGINT) AS taken
-  FROM pieces p LEFT JOIN times t ON t.src = p.src AND t.block = p.piece GROUP BY ALL),
+         CAST(sum((least(start + size, (piece + 1) * width) - greatest(start, piece * width)) * coalesce(times, 0)
+           + greatest(0, least(start + size, piece * width + coalesce(cut, 0)) - greatest(start, piece * width))) AS BIGINT) AS taken
+  FROM pieces p LEFT JOIN times t ON t.src = p.src AND t.block_no = p.piece GROUP BY ALL),
 mixed AS (
   SELECT doc_id, source, size, source_size, target, taken FROM taken
   UNION ALL SELECT s.doc_id, s.source, s.size, w.source_size, w.target, 0 FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source WHERE s.size = 0)
