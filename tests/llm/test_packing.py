@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -44,12 +45,56 @@ def test_whole_table(spark):
 def test_hard_texts(spark):
     texts = {1: None, 2: "", 3: "<|endoftext|> a", 4: "x" * 5000, 5: "ÄÖ 漢字 \U0001f600" * 900, 6: " \n\t ", 7: "same", 8: "same"}
     docs = spark.createDataFrame([(k, v, 0) for k, v in texts.items()], "doc_id long, text string, length int")
-    check_places(packing.pack_documents(docs, group_docs=3).collect(), texts)
+    check_places(packing.pack_documents(docs, group_pieces=3).collect(), texts)
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def naive(lengths, capacity):
+    """The rule by its definition: of all gaps, and a new sequence, the one after which the sum of squares is smallest (the smallest gap; a sequence of its own only if strictly better)."""
+    gaps, places = [], []
+    for length in lengths:
+        def after(gap):
+            counts = Counter(g for g in gaps if g)
+            if gap is not None:
+                counts[gap] -= 1
+            counts[(capacity if gap is None else gap) - length] += 1
+            return sum(n * n for g, n in counts.items() if g)
+
+        fits = sorted({g for g in gaps if g >= length})
+        best = min(fits, key=lambda g: (after(g), g), default=None)
+        if best is None or after(None) < after(best):
+            gaps.append(capacity)
+            best, at = capacity, len(gaps) - 1
+        else:
+            at = max((k for k, g in enumerate(gaps) if g == best), key=lambda k: stamp[k])
+        places.append((at, capacity - best))
+        gaps[at] = best - length
+        stamp[at] = len(places)
+    return gaps, places
+
+
+stamp = {}
+
+
+def test_whole_runs_against_the_naive_rule():
+    rng = np.random.default_rng(3)
+    for capacity, n in ((10, 60), (64, 200), (37, 150)):
+        for _ in range(5):
+            lengths = rng.integers(1, capacity + 1, n)
+            stamp.clear()
+            gaps, places = naive(lengths.tolist(), capacity)
+            sequence, offset = packing.sum_of_squares(lengths, capacity)
+            assert list(zip(sequence.tolist(), offset.tolist(), strict=True)) == places and sequence.max() + 1 == len(gaps)
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 600, "doc_id long, text string")
+    rows = packing.pack_documents(docs, group_pieces=100).collect()
+    assert len(rows) == 600 and len({r.sequence_id >> 32 for r in rows}) > 3
+
+
 def test_both_libraries_agree(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(200)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (packing.pieces(docs, public_tokenizers.path(f"byte_bpe_50k.{kind}")).orderBy("doc_id", "piece").collect() for kind in ("json", "tiktoken"))
     assert a == b
 

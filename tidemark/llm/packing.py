@@ -1,7 +1,7 @@
 """Pack tokenized documents into sequences by the sum-of-squares rule.
 
-Documents longer than a sequence are cut into full pieces, with the remainder as their first piece. The pieces are dealt
-by hash into groups of bounded size. In a group each piece goes where the sum over all gaps of the squared number of open
+Documents longer than a sequence are cut into full pieces, with the remainder as their first piece. The pieces are counted
+and dealt by hash into groups of about GROUP_PIECES; repeated rows, alike in all that is packed, are spread over the groups. In a group each piece goes where the sum over all gaps of the squared number of open
 sequences with that gap becomes smallest: into an open sequence, or into a new one. Pieces of a quarter sequence or more
 come first, longest first; the others follow in the order of a hash, so that all gaps meet all lengths (0.1 % above the
 bound of total tokens; 1 % with all longest first). Sorting makes the result a function of the group's rows alone, so a
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 
 CAPACITY, END = 1024, 2
 SPECIAL = {"<|endoftext|>": 50256}  # the added tokens of byte_bpe_50k.json, which the ranks do not have
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
-GROUP_DOCS = 50_000  # documents whose pieces one task packs
+GROUP_PIECES = 100_000  # about as many one task packs, of less than 100 bytes each
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -93,10 +93,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     made = 0
     for i, length in enumerate(lengths.tolist()):
         rest = capacity - length
-        # Half the growth of the sum: one more sequence of gap g - length and one fewer of gap g; a new one has g = capacity.
-        growth = counts[: rest + 1] - counts[length:] + (np.arange(rest + 1) > 0)
+        # Growth of the sum: one more sequence of gap g - length (none if that is full) and one fewer of gap g; a new one has g = capacity.
+        growth = 2 * (counts[: rest + 1] - counts[length:]) + 2
+        growth[0] -= 1
         growth = np.where(counts[length:] > 0, growth, np.iinfo(np.int64).max)
-        new = counts[rest] + 0.5 if rest else 0.0
+        new = 2 * counts[rest] + 1 if rest else 0
         best = int(growth.argmin())
         if growth[best] <= new:
             gap = best + length
@@ -113,7 +114,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """cut (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """cut (doc_id, piece, start, length, ids_crc32, nr) with sequence_id and offset; nr is what equal rows are told apart by."""
 
     def run(key, table):
         table = table.drop_columns("group")
@@ -125,7 +126,7 @@ def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         number = pa.array(sequence + (key[0].as_py() << 32))
         return table.append_column("sequence_id", number).append_column("offset", pa.array(offset))
 
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("group")
+    group = F.pmod(F.xxhash64("doc_id", "piece", "nr"), F.lit(groups)).alias("group")
     place = F.xxhash64("doc_id", "piece", "length", "ids_crc32").alias("place")
     return cut.select("doc_id", "piece", "start", "length", "ids_crc32", place, group).groupBy("group").applyInArrow(run, PLACES)
 
@@ -136,11 +137,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, group_docs: int = GROUP_DOCS, special: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, group_pieces: int = GROUP_PIECES, special: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Join pieces(), with the same `special`, on doc_id and piece for the ids."""
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer or default_tokenizer(), capacity, end, special)
-    return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), groups, capacity)
+    cut = pieces(docs, tokenizer or default_tokenizer(), capacity, end, special).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    # The number is written down with the piece, so it stays when a task runs again.
+    cut = materialize(cut.withColumn("nr", F.monotonically_increasing_id()), "pieces")
+    return pack(cut, max(1, -(-cut.count() // group_pieces)), capacity)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
