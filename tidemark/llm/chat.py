@@ -6,8 +6,9 @@ the turn before, or insert an empty turn before it (or at the end). Of equally c
 moves' list is taken, so the result depends on the turns alone.
 
 Conversations of any length are handled in bounded tasks: rows are range-partitioned and sorted by (conversation, turn) and cut
-into segments of about SEGMENT rows. A segment's effect is a matrix of costs from state to state; for the few conversations that
+into segments of SEGMENT rows. A segment's effect is a matrix of costs from state to state; for the few conversations that
 span segments these matrices are combined first, which fixes the states at the cuts, and then each segment is repaired alone.
+The repair sees roles only; texts are joined back by segment and place.
 
 Nulls and repeats: null or unknown roles are relabelled, a null text is empty, null turns come first, and rows with a null
 conversation id are one conversation. Rows of one turn number are turns of their own, in the order of role and a hash of the text. An empty
@@ -29,7 +30,6 @@ ENDS = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 MERGE, INSERT, RELABEL = 1.0, 2.0, 3.0
 SEGMENT = 4096
 NO_ID = -(2**63)
-OUT = "conv_id long, seq long, turn long, role string, source_role string, action string, text string"
 
 
 def moves(role: int | None) -> list[tuple[int, int, float, str, tuple[int, ...]]]:
@@ -105,30 +105,13 @@ def _slices(ids: np.ndarray):
 
 
 def segmented(turns: DataFrame) -> DataFrame:
-    """turns sorted, with seg (the segment) and pos (the place in it)."""
-
-    def run(frames):
-        from pyspark import TaskContext
-
-        seg, pos, last = TaskContext.get().partitionId() << 32, 0, None
-        for frame in frames:
-            ids = frame.conv_id.to_numpy()
-            segs, places = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-            for a, b in _slices(ids):
-                if pos >= SEGMENT and ids[a] != last:
-                    seg, pos = seg + 1, 0
-                while a < b:
-                    if pos >= 2 * SEGMENT:
-                        seg, pos = seg + 1, 0
-                    n = min(b - a, 2 * SEGMENT - pos)
-                    segs[a : a + n], places[a : a + n] = seg, np.arange(pos, pos + n)
-                    a, pos = a + n, pos + n
-                last = ids[b - 1]
-            yield frame.assign(seg=segs, pos=places)
-
+    """turns sorted, with seg (the segment) and pos (the place in it). Written down at once, as they follow from the sorted partitions."""
     order = ["conv_id", "turn", "role", "h"]
     sorted_ = turns.withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("h")
-    return sorted_.mapInPandas(run, "conv_id long, turn long, role string, text string, seg long, pos long")
+    at = sorted_.withColumn("_at", F.monotonically_increasing_id())  # the partition above 33 bits of the row in it
+    row = F.col("_at").bitwiseAND((1 << 33) - 1)
+    seg = F.shiftleft(F.shiftright("_at", 33), 32) + F.floor(row / SEGMENT)
+    return materialize(at.withColumn("seg", seg).withColumn("pos", row % SEGMENT).drop("_at"), "turns")
 
 
 def edge_effects(rows: DataFrame) -> DataFrame:
@@ -180,7 +163,7 @@ def repair_turns(conversations: DataFrame) -> DataFrame:
     """
     turns = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(segmented(turns.withColumn("turn", F.col("turn"))), "turns")
+    rows = segmented(turns)
     found = materialize(cuts(edge_effects(rows)), "turn-cuts")
 
     def run(frame):
@@ -193,24 +176,26 @@ def repair_turns(conversations: DataFrame) -> DataFrame:
             entry, leave = part.entry.iloc[0], part.leave.iloc[0]
             spans = not pd.isna(entry)
             path, last = repair([_NUMBER.get(r) for r in part.role], int(entry) if spans else START, int(leave) if spans and not pd.isna(leave) else None)
-            conv, at = part.conv_id.iloc[0], 0
-            for (_, state, _, action, extra), turn, role, text, seg, pos in zip(path, part.turn, part.role, part.text, part.seg, part.pos, strict=True):
-                at = ((int(seg) >> 32 << 22) + (int(seg) & 0x3FFFFF)) * (8 * SEGMENT) + 4 * int(pos)
+            conv, seg, at = part.conv_id.iloc[0], int(part.seg.iloc[0]), 0
+            for (_, state, _, action, extra), pos in zip(path, part.pos.tolist(), strict=True):
+                at = 4 * int(pos)
                 for k, e in enumerate(extra):
-                    out.append((conv, at + k, None, ROLES[e - 1], None, "insert", ""))
-                source, known = (None if pd.isna(role) else role), ROLES[state - 1]
-                out.append((conv, at + 1, None if pd.isna(turn) else int(turn), known, source, action, text))
+                    out.append((conv, seg, None, at + k, ROLES[e - 1], "insert"))
+                out.append((conv, seg, pos, at + 1, ROLES[state - 1], action))
             if not spans or pd.isna(leave):
                 for k, e in enumerate(ENDS[last]):
-                    out.append((conv, at + 2 + k, None, ROLES[e - 1], None, "insert", ""))
-        return pd.DataFrame(out, columns=["conv_id", "seq", "turn", "role", "source_role", "action", "text"]).astype({"turn": "Int64"})
-
-    told = rows.join(found, ["conv_id", "seg"], "left")
-    fixed = told.groupBy("seg").applyInPandas(run, OUT)
+                    out.append((conv, seg, None, at + 2 + k, ROLES[e - 1], "insert"))
+        return pd.DataFrame(out, columns=["conv_id", "seg", "pos", "at", "role", "action"]).astype({"pos": "Int64"})
+
+    told = rows.select("conv_id", "seg", "pos", "role").join(found, ["conv_id", "seg"], "left")
+    fixed = told.groupBy("seg").applyInPandas(run, "conv_id long, seg long, pos long, at long, role string, action string")
+    seq = (F.shiftleft(F.shiftright("seg", 32), 22) + F.col("seg").bitwiseAND(0x3FFFFF)) * (8 * SEGMENT) + F.col("at")
+    source = rows.select("seg", "pos", "turn", F.col("role").alias("source_role"), "text")
+    known = fixed.join(source, ["seg", "pos"], "left").select("conv_id", seq.alias("seq"), "turn", "role", "source_role", "action", F.coalesce("text", F.lit("")).alias("text"))
     relabelled = (F.col("action") != "insert") & ~F.col("source_role").eqNullSafe(F.col("role"))
     cost = F.when(F.col("action") == "insert", INSERT).otherwise(0.0) + F.when(F.col("action") == "merge", MERGE).otherwise(0.0) + F.when(relabelled, RELABEL).otherwise(0.0)
     rendered = F.when(F.col("action") == "merge", F.concat(F.lit("\n"), "text")).otherwise(F.concat(F.lit("\n<|"), "role", F.lit("|>\n"), "text"))
-    return fixed.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id"))).withColumn("cost", cost).withColumn("rendered", rendered)
+    return known.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id"))).withColumn("cost", cost).withColumn("rendered", rendered)
 
 
 def render(repaired: DataFrame) -> DataFrame:
