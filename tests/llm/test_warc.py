@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import io
+import random
 
 import pytest
 
@@ -93,3 +95,42 @@ def test_plain_and_gzip_files_and_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(none, str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_member_per_record_and_ranges_of_them(spark, archive, tmp_path):
+    """Every cut of a file into ranges gives every record once; headers alone leave payloads packed."""
+    path, rows = archive
+    big = [(k, f"http://c/{k}", f"<p>{k} " + "".join(chr(32 + (k * 7919 + j * j) % 5000) for j in range(40 * (k % 90)))) for k in range(300)]
+    warc.write_warc(spark.createDataFrame(big, "page_id long, url string, html string").coalesce(1), str(tmp_path / "big"))
+    (file,) = (tmp_path / "big").glob("*.warc.gz")
+    data = file.read_bytes()
+    plain = gzip.decompress(data)
+    assert plain.count(b"WARC/1.1\r\nWARC-Type: response") == 300 and not list((tmp_path / "big").glob("_*"))
+    for size in (997, 20_000, len(data) + 1):
+        reader = warc.WarcReader(warc.read_warc(spark, str(tmp_path / "big"), "record_id string, payload binary").schema, {"path": str(tmp_path / "big"), "partitionBytes": str(size)})
+        got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted((r["record_id"], r["payload"].decode()) for r in got) == sorted((f"<urn:x-record:{k}>", html) for k, _, html in big)
+
+    class Counting(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            found = super().read(n)
+            Counting.total += len(found)
+            return found
+
+    noise = random.Random(1).randbytes(3_000_000)
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3000000\r\n\r\n" + noise + b"\r\n\r\n"
+    packed = warc.member(one) * 3
+    assert gzip.decompress(packed) == one * 3
+    kinds = [row for m in warc.members(Counting(packed), 0, len(packed)) for row in warc.records(m, ["record_type"], [])]
+    assert kinds == [("response",)] * 3 and Counting.total <= 3 * warc.CHUNK
+    whole = [row[0] for m in warc.members(io.BytesIO(packed), 0, len(packed)) for row in warc.records(m, ["payload"], [])]
+    assert whole == [noise] * 3
+
+
+def test_files_end_by_size_and_runs_add_up(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, f"{k} " * 500) for k in range(200)], "page_id long, url string, html string")
+    for _ in range(2):
+        warc.write_warc(pages, str(tmp_path / "parts"), file_bytes=5000)
+    assert len(list((tmp_path / "parts").glob("*.gz"))) > 8 and warc.read_warc(spark, str(tmp_path / "parts")).count() == 400
