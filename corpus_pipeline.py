@@ -27,8 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three or more of them share (the one with the largest doc_id keeps its own)."""
-    kept = apply_bitmaps(docs, line_bitmaps(docs))
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    apart = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_of_{k}") for k, c in enumerate(rest)])  # names of the user's own are none of the operator's
+    kept = apply_bitmaps(apart, line_bitmaps(docs))
+    back = {c: F.col(f"_of_{k}").alias(c) for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")}
+    back["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select([back[c] for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
