@@ -5,8 +5,8 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES
 
 MODULES = (
-    "sources.frames", "sources.landing", "functions.scalars", "functions.windows", "operators.asof", "operators.aggregates", "operators.relational",
-    "operators.data_quality", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.engines", "plans.alerts", "streaming.alert_state",
+    "sources.frames", "sources.landing", "functions.scalars", "functions.windows", "functions.ranks", "functions.records", "operators.asof", "operators.aggregates", "operators.relational",
+    "operators.data_quality", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.engines", "plans.factors", "plans.alerts", "streaming.alert_state",
 )
 
 
