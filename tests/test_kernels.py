@@ -158,17 +158,26 @@ def test_sweep_gives_a_row_per_run_and_symbol(spark):
 
 # --- portfolio ---
 
-def test_holdings():
-    d = Decimal
-    n, btc, avg, cost, pnl, bought, sold, fees = portfolio.fold_holdings([("BUY", d(100), d(10), None, d(1)), ("SELL", d(60), d(12), d(5), d(0)), ("SELL", d(60), d(12), d(5), d(0)), ("BUY", d(50), d(5), None, d(0))])
-    assert (n, btc, avg, cost) == (4, d(10), d(5), d("50.00"))
-    assert (pnl, bought, sold, fees) == (d("19.00"), d("151.00"), d("120.00"), d("1.00"))
+def test_holdings(spark):
+    rows = [("u", 1, "BUY", 100, 10, 1), ("u", 2, "SELL", 60, 12, 0), ("u", 3, "SELL", 60, 12, 0), ("u", 4, "BUY", 50, 5, 0), ("v", 1, "SELL", 10, 5, 1), ("v", 2, "BUY", 30, 3, 0), ("v", 3, "SELL", 20, 4, 2), ("v", 4, "BUY", None, None, None)]
+    df = spark.createDataFrame([(u, datetime(2024, 1, k), k, side, *(None if x is None else float(x) for x in (a, p, f))) for u, k, side, a, p, f in rows],
+                               "user_id string, time timestamp_ntz, event_id long, side string, amount double, price double, fee double")
+    got = {r.user_id: tuple(round(x, 6) for x in tuple(r)[1:]) for r in portfolio.holdings(df).collect()}
+    # u: 10 coins for 101, sold at 12 in two halves (9.5 each), then 10 coins for 50. v: a sale of nothing, 10 coins for 30, 5 of them sold for 20.
+    assert got == {"u": (4, 10, 5, 50, 19, 151, 120, 1), "v": (4, 5, 3, 15, 9 + 3, 30, 27, 3)}
 
 
 def test_plan_rules(spark):
     df = spark.createDataFrame([(100.0, -10.0), (100.0, -60.0), (320000.0, -60.0), (360000.0, -1.0), (None, None)], "price double, drawdown_pct double")
     assert [r[0] for r in df.select(portfolio.plan_amount(100.0, portfolio.PLAN)).collect()] == [100.0, 200.0, 100.0, 10.0, 100.0]
     assert [r[0] for r in df.select(portfolio.plan_amount(100.0, [{"priority": 1, "condition": {"type": "threshold", "metric": "price", "operator": "gt", "value": 1}, "action": "skip"}])).collect()] == [0.0, 0.0, 0.0, 0.0, 100.0]
+    # Whatever its priority, a skip that holds stands, a fixed amount comes next, and multipliers compound.
+    always = {"type": "threshold", "metric": "price", "operator": "gt", "value": 1}
+    rule = lambda p, action, value=None: {"priority": p, "condition": always, "action": action, "value": value}
+    spent = lambda *rules: df.select(portfolio.plan_amount(100.0, list(rules))).first()[0]
+    assert spent(rule(1, "skip"), rule(2, "fix", 50.0), rule(3, "multiply", 2.0)) == 0.0
+    assert spent(rule(1, "fix", 50.0), rule(2, "multiply", 2.0)) == 50.0
+    assert spent(rule(1, "multiply", 3.0), rule(1, "multiply", 2.0), rule(2, "multiply", 0.5)) == 100.0
 
 
 # --- engines ---

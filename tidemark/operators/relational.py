@@ -39,18 +39,32 @@ def filters(spark, sf_dir):
                     & (F.abs(F.col("o_totalprice") - 100000) > 1e-9 * 100000) & (F.col("o_totalprice") >= 1000)).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("row_validity", f"""WITH {HOURLY}, h AS (SELECT *, CASE WHEN hour(time) = 3 THEN low - 1 ELSE high END AS h2, CASE WHEN hour(time) = 5 THEN -1.0 ELSE volume END AS v2 FROM hours)
-  SELECT symbol, time, CAST((CASE WHEN h2 < low THEN 1 ELSE 0 END) + (CASE WHEN h2 >= low AND (open > h2 OR open < low) THEN 1 ELSE 0 END) + (CASE WHEN h2 >= low AND (close > h2 OR close < low) THEN 1 ELSE 0 END) + (CASE WHEN v2 < 0 THEN 1 ELSE 0 END) + (CASE WHEN h2 < 0 THEN 1 ELSE 0 END) AS INT) AS problems FROM h""")
+@query("row_validity", f"""WITH {HOURLY}, h AS (SELECT *, CASE WHEN hour(time) = 3 THEN low - 1 ELSE high END AS h2, CASE WHEN hour(time) = 5 THEN -1.0 ELSE volume END AS v2, CASE WHEN hour(time) = 7 THEN 0.0 ELSE close END AS c2 FROM hours)
+  SELECT symbol, time, CAST((CASE WHEN h2 < low THEN 1 ELSE 0 END) + (CASE WHEN h2 >= low AND (open > h2 OR open < low) THEN 1 ELSE 0 END) + (CASE WHEN h2 >= low AND (c2 > h2 OR c2 < low) THEN 1 ELSE 0 END) + (CASE WHEN v2 < 0 THEN 1 ELSE 0 END) + (CASE WHEN h2 <= 0 THEN 1 ELSE 0 END) + (CASE WHEN open <= 0 THEN 1 ELSE 0 END) + (CASE WHEN low <= 0 THEN 1 ELSE 0 END) + (CASE WHEN c2 <= 0 THEN 1 ELSE 0 END) AS INT) AS problems,
+  CASE WHEN h2 < low OR v2 < 0 OR h2 <= 0 OR open <= 0 OR low <= 0 OR c2 <= 0 THEN 'HIGH' WHEN open > h2 OR c2 > h2 OR open < low OR c2 < low THEN 'MEDIUM' END AS severity FROM h""")
 def row_validity(spark, sf_dir):
     """Range and consistency rules as an array of messages per row."""
-    h = bars_hourly(spark, sf_dir).withColumn("high", F.when(F.hour("time") == 3, F.col("low") - 1).otherwise(F.col("high"))).withColumn("volume", F.when(F.hour("time") == 5, -1.0).otherwise(F.col("volume").cast("double")))
-    return h.select("symbol", "time", F.size(problems(h.columns)).alias("problems"))
+    h = bars_hourly(spark, sf_dir).withColumn("high", F.when(F.hour("time") == 3, F.col("low") - 1).otherwise(F.col("high"))).withColumn("volume", F.when(F.hour("time") == 5, -1.0).otherwise(F.col("volume").cast("double"))).withColumn("close", F.when(F.hour("time") == 7, 0.0).otherwise(F.col("close")))
+    found = problems(h.columns)
+    return h.select("symbol", "time", F.size(found).alias("problems"), severity(found).alias("severity"))
+
+
+PRICES = ("open", "high", "low", "close", "price", "bid", "ask")
+
+
+def severity(found):
+    """Of the messages of problems(): values out of range and crossed bounds are HIGH, a price outside its bar MEDIUM."""
+    grave = F.exists(found, lambda m: m.contains(" 0: ") | m.isin("high below low", "bid above ask"))
+    return F.when(grave, "HIGH").when(F.size(found) > 0, "MEDIUM")
 
 
 def problems(columns: list[str]):
-    """Messages about a row's values, by the columns that it has."""
+    """Messages about a row's values, by the columns that it has. Prices must be above 0, amounts not below it."""
     rules = []
-    for c in ("open", "high", "low", "close", "price", "bid", "ask", "volume", "open_interest"):
+    for c in PRICES:
+        if c in columns:
+            rules.append(F.when(F.col(c) <= 0, F.concat(F.lit(f"{c} not above 0: "), F.col(c).cast("string"))))
+    for c in ("volume", "open_interest"):
         if c in columns:
             rules.append(F.when(F.col(c) < 0, F.concat(F.lit(f"{c} below 0: "), F.col(c).cast("string"))))
     if {"open", "high", "low", "close"} <= set(columns):

@@ -382,10 +382,10 @@ SQL_REGIME = f"""{SQL_RISK}, g0 AS (SELECT *, {', '.join(f'{x} AS state_{d}' for
   g AS (SELECT *, 0.3 + 0.7 * ({' + '.join(f"CASE WHEN scalar_{d} * CASE WHEN round(regime, 9) >= 0 THEN 1 ELSE -1 END >= -0.05 THEN {w} ELSE 0 END" for d, w in REGIME_WEIGHTS.items())}) / tw AS consistency FROM g2)"""
 
 
-@query("engine_cycle_factors", f"WITH {SQL_CYCLE} SELECT symbol, time, {', '.join(f'round(cyc_{k}, 4) AS {k}' for k in _CYC)}, round(cycle, 4) AS cycle FROM c")
+@query("engine_cycle_factors", f"WITH {SQL_CYCLE} SELECT symbol, time, {', '.join(f'round(cyc_{k}, 4) + 0.0 AS {k}' for k in _CYC)}, round(cycle, 4) + 0.0 AS cycle FROM c")
 def q_cycle_factors(spark, sf_dir):
     f = cycle_scores(valuation_dimensions(metrics(bars_multi(spark, sf_dir))))
-    return rounded(f.select("symbol", "time", *[c(f"cyc_{k}").alias(k) for k in _CYC], "cycle"), 4)
+    return f.select("symbol", "time", *[(F.round(f"cyc_{k}", 4) + 0.0).alias(k) for k in _CYC], (F.round("cycle", 4) + 0.0).alias("cycle"))
 
 
 @query("engine_valuation_dimensions", f"WITH {SQL_VALUATION} SELECT symbol, time, {', '.join(f'round(val_{k}, 3) AS {k}' for k in VALUATION_WEIGHTS)}, round(valuation, 3) AS valuation, {_named('round(valuation, 9)', VALUATION_LIMITS, VALUATION_LEVELS)} AS valuation_level FROM v")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,52 +11,38 @@ from ..sources.frames import FILLS, MULTI, bars_multi, fills, rounded
 from .alerts import compiled
 from .backtest import SIMULATOR_DIP_STEPS, is_investment_day
 
-HOLDINGS = "user_id long, n int, btc decimal(20,8), avg_cost decimal(20,8), total_cost decimal(20,2), realized_pnl decimal(20,2), total_buy decimal(20,2), total_sell decimal(20,2), fees decimal(20,2)"
-COIN, PRICE, CENT = Decimal("1e-8"), Decimal("1e-8"), Decimal("0.01")
-
+def positions(transactions: DataFrame) -> DataFrame:
+    """Per transaction: coins held and average cost after it, coins sold by it, and what it realized. All by running sums.
 
-def fold_holdings(rows) -> tuple:
-    """rows of (side, amount, price, qty, fee) in time order: n, btc, avg_cost, total_cost, realized_pnl, total_buy, total_sell, fees.
-
-    A buy adds amount and fee to the cost base; a sale realizes against the average cost and shrinks the base in proportion; a
-    portfolio that is sold out starts anew.
+    Coins never go below zero: they are the running sum of what comes and goes, lifted by the deepest point it reached below zero.
+    Between two times at which nothing is held, every sale leaves a share of coins and of cost; with K the product of the shares
+    left so far, the cost is K times the sum of what each purchase cost divided by its own K. So no row waits for another's result.
     """
-    zero = Decimal(0)
-    round_ = lambda x, q: x.quantize(q, ROUND_HALF_UP)
-    btc = avg = base = base_btc = pnl = bought = sold = fees = zero
-    n = 0
-    for side, amount, price, qty, fee in rows:
-        amount, price, qty, fee = (x or zero for x in (amount, price, qty, fee))
-        if not qty and price > 0 and amount > 0:
-            qty = amount / price
-        n, fees = n + 1, fees + fee
-        if side == "BUY":
-            base, base_btc, bought = base + amount + fee, base_btc + qty, bought + amount + fee
-            btc = round_(btc + qty, COIN)
-            avg = round_(base / base_btc, PRICE) if base_btc > 0 else avg
-        else:
-            part = min(qty, btc)
-            pnl += round_(amount - fee - part * avg, CENT)
-            sold += round_(amount - fee, CENT)
-            btc = round_(btc - part, COIN)
-            if base_btc > 0:
-                base, base_btc = max(base * (1 - part / base_btc), zero), max(base_btc - part, zero)
-            if btc <= 0:
-                btc = base = base_btc = avg = zero
-    return n, btc, avg, round_(btc * avg, CENT), round_(pnl, CENT), round_(bought, CENT), round_(sold, CENT), round_(fees, CENT)
+    w = Window.partitionBy("user_id").orderBy("time", "event_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    buy = F.col("side") == "BUY"
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    t = transactions.withColumns({"_amount": number("amount"), "_fee": number("fee"), "_price": number("price")})
+    t = t.withColumn("_qty", F.when(F.col("_price") > 0, F.col("_amount") / F.col("_price")).otherwise(0.0))
+    t = t.withColumn("_net", F.sum(F.when(buy, F.col("_qty")).otherwise(-F.col("_qty"))).over(upto))
+    t = t.withColumn("coins", F.round(F.col("_net") - F.least(F.lit(0.0), F.min("_net").over(upto)), 8)).withColumn("_before", F.coalesce(F.lag("coins").over(w), F.lit(0.0)))
+    t = t.withColumn("sold", F.when(buy, 0.0).otherwise(F.col("_before") - F.col("coins")))
+    t = t.withColumn("_run", F.coalesce(F.sum(F.when(F.col("coins") <= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("user_id", "_run").orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.when(~buy & (F.col("coins") > 0), F.log(F.col("coins") / F.col("_before"))).otherwise(0.0)
+    t = t.withColumn("_k", F.sum(share).over(inside))
+    t = t.withColumn("_cost", F.exp("_k") * F.sum(F.when(buy, (F.col("_amount") + F.col("_fee")) * F.exp(-F.col("_k"))).otherwise(0.0)).over(inside))
+    t = t.withColumn("avg_cost", F.when(F.col("coins") > 0, F.col("_cost") / F.col("coins")).otherwise(0.0))
+    earlier = F.coalesce(F.lag("avg_cost").over(w), F.lit(0.0))
+    return t.withColumn("realized", F.when(buy, 0.0).otherwise(F.col("_amount") - F.col("_fee") - F.col("sold") * earlier))
 
 
 def holdings(transactions: DataFrame) -> DataFrame:
-    """Per user: what is held, at what cost, and what was realized. One ordered fold per user."""
-
-    def run(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["time", "event_id"])
-        found = fold_holdings([(s, a, p, None, f) for s, a, p, f in zip(frame.side, frame.amount, frame.price, frame.fee, strict=True)])
-        return pd.DataFrame([(int(frame.user_id.iloc[0]), *found)], columns=[c.split()[0] for c in HOLDINGS.split(", ")])
-
-    return transactions.groupBy("user_id").applyInPandas(run, HOLDINGS)
+    """Per user: what is held, at what cost, and what was realized."""
+    buy, last = F.col("side") == "BUY", F.struct("time", "event_id")
+    return positions(transactions).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.max_by("coins", last).alias("coins"), F.max_by("avg_cost", last).alias("avg_cost"), F.max_by(F.col("coins") * F.col("avg_cost"), last).alias("total_cost"), F.sum("realized").alias("realized_pnl"),
+        F.sum(F.when(buy, F.col("_amount") + F.col("_fee")).otherwise(0.0)).alias("total_buy"), F.sum(F.when(buy, 0.0).otherwise(F.col("_amount") - F.col("_fee"))).alias("total_sell"), F.sum("_fee").alias("fees"))
 
 
 def running_totals(transactions: DataFrame) -> DataFrame:
@@ -85,20 +69,32 @@ def simulate(bars: DataFrame, strategy: str = "DIP_BUY", amount: float = 100.0,
 
 
 def plan_amount(base: float, rules: list[dict], columns=F.col) -> Column:
-    """What a plan spends on a row: rules by falling priority; multipliers compound, a fixed amount overrides them, a skip ends it.
+    """What a plan spends on a row, by the rules that hold there: nothing if one of them is a skip, else the fixed amount of the
+    last priority that fixes one, else the base times all multipliers.
 
     A rule has priority, condition and action (multiply, fix or skip, with value). Of rules of one priority that disagree the
-    smaller amount stands. Unknown conditions do not apply.
+    smaller amount or multiplier stands. Unknown conditions do not hold.
     """
     holds = lambda r: F.coalesce(compiled(r["condition"], columns), F.lit(False))
+    of = lambda action: [r for r in rules if r["action"] == action]
+    smallest = lambda same: F.least(*v) if len(v := [F.when(holds(r), F.lit(float(r.get("value", 1.0)))) for r in same]) > 1 else v[0]
+    by_priority = lambda action: [smallest([r for r in of(action) if r["priority"] == p]) for p in sorted({r["priority"] for r in of(action)})]
     out = F.lit(float(base))
-    for p in sorted({r["priority"] for r in rules}):
-        same = [r for r in rules if r["priority"] == p]
-        results = [F.when(holds(r), {"multiply": out * r.get("value", 1.0), "fix": F.lit(float(r.get("value", 0.0))), "skip": F.lit(0.0)}[r["action"]]) for r in same]
-        out = F.coalesce(F.least(*results) if len(results) > 1 else results[0], out)
+    for factor in by_priority("multiply"):
+        out = out * F.coalesce(factor, F.lit(1.0))
+    if of("fix"):
+        out = F.coalesce(*reversed(by_priority("fix")), out)
+    for r in of("skip"):
+        out = F.when(holds(r), 0.0).otherwise(out)
     return out
 
 
+SKIPPING = [
+    {"priority": 1, "condition": {"type": "threshold", "metric": "price", "operator": "lt", "value": 150000}, "action": "skip"},
+    {"priority": 2, "condition": {"type": "threshold", "metric": "price", "operator": "lt", "value": 200000}, "action": "fix", "value": 25.0},
+    {"priority": 3, "condition": {"type": "threshold", "metric": "drawdown_pct", "operator": "lt", "value": -50}, "action": "multiply", "value": 2.0},
+    {"priority": 3, "condition": {"type": "threshold", "metric": "drawdown_pct", "operator": "lt", "value": -60}, "action": "multiply", "value": 1.5},
+]
 PLAN = [
     {"priority": 1, "condition": {"type": "threshold", "metric": "drawdown_pct", "operator": "lt", "value": -50}, "action": "multiply", "value": 2.0},
     {"priority": 2, "condition": {"type": "threshold", "metric": "price", "operator": "gt", "value": 300000}, "action": "multiply", "value": 0.5},
@@ -118,10 +114,18 @@ def q_cost(spark, sf_dir):
     return fills(spark, sf_dir).filter("side = 'BUY'").groupBy("user_id").agg(F.sum(F.col("amount") + F.col("fee")).alias("spent"), F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
 
 
-@query("portfolio_holdings")
+HELD = f"""RECURSIVE {FILLS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS k, CAST(amount AS DOUBLE) AS a, CAST(fee AS DOUBLE) AS f, CAST(amount AS DOUBLE) / CAST(price AS DOUBLE) AS q FROM fills),
+  h AS (SELECT user_id, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS coins, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS pnl, 0.0::DOUBLE AS bought, 0.0::DOUBLE AS sold, 0.0::DOUBLE AS fees FROM o GROUP BY user_id
+   UNION ALL SELECT o.user_id, o.k, CASE WHEN side = 'BUY' THEN coins + q ELSE coins - least(q, coins) END, CASE WHEN side = 'BUY' THEN cost + a + f WHEN coins - least(q, coins) < 5e-9 THEN 0 ELSE cost * (1 - least(q, coins) / coins) END,
+    CASE WHEN side = 'BUY' THEN pnl ELSE pnl + a - f - CASE WHEN coins > 5e-9 THEN least(q, coins) * cost / coins ELSE 0 END END, CASE WHEN side = 'BUY' THEN bought + a + f ELSE bought END, CASE WHEN side = 'BUY' THEN sold ELSE sold + a - f END, h.fees + f
+   FROM h JOIN o ON h.user_id = o.user_id AND o.k = h.k + 1)"""
+
+
+@query("portfolio_holdings", f"""WITH {HELD} SELECT user_id, k AS n, round(coins, 6) AS coins, round(CASE WHEN coins > 5e-9 THEN cost / coins ELSE 0 END, 3) AS avg_cost, round(cost, 3) AS total_cost, round(pnl, 3) + 0.0 AS realized_pnl, round(bought, 3) AS total_buy, round(sold, 3) AS total_sell,
+  round(fees, 4) AS fees FROM h WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def q_holdings(spark, sf_dir):
-    """Moving average cost needs each sale's own average: a fold, which tests hold against hand-worked cases."""
-    return holdings(fills(spark, sf_dir))
+    h = rounded(holdings(fills(spark, sf_dir)), 3, coins=6, fees=4)
+    return h.withColumn("realized_pnl", F.col("realized_pnl") + 0.0)
 
 
 SIMULATED = f"""{MULTI}, s AS (SELECT *, CASE WHEN isodow(time) = 1 THEN 100.0 * CASE WHEN close / max(close) OVER w - 1 <= -0.4 THEN 2.5 WHEN close / max(close) OVER w - 1 <= -0.3 THEN 2.0 WHEN close / max(close) OVER w - 1 <= -0.2 THEN 1.5
@@ -141,6 +145,15 @@ def q_plan(spark, sf_dir):
     return metrics_frame(bars_multi(spark, sf_dir)).select("symbol", "time", plan_amount(100.0, PLAN).alias("amount"))
 
 
+@query("portfolio_plan_skips", f"""WITH {MULTI}, m AS (SELECT symbol, time, close AS price, (close / max(close) OVER w - 1) * 100 AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time))
+  SELECT symbol, time, CAST(CASE WHEN price < 150000 THEN 0 WHEN price < 200000 THEN 25 WHEN d < -60 THEN 150 WHEN d < -50 THEN 200 ELSE 100 END AS DOUBLE) AS amount FROM m""")
+def q_skips(spark, sf_dir):
+    """A skip stands whatever later rules say, and a fixed amount whatever is multiplied."""
+    from .alerts import metrics_frame
+
+    return metrics_frame(bars_multi(spark, sf_dir)).select("symbol", "time", plan_amount(100.0, SKIPPING).alias("amount"))
+
+
 @query("portfolio_snapshots", f"""WITH {FILLS} SELECT user_id, CAST(time AS DATE) AS day, sum(CASE WHEN side = 'BUY' THEN amount ELSE -amount END) AS net, arg_max(price, (time, event_id)) AS last_price FROM fills GROUP BY 1, 2""")
 def q_snapshots(spark, sf_dir):
     """One row per user and day, so a day's partition can be overwritten on its own."""
