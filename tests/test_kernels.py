@@ -95,7 +95,7 @@ def test_identities(spark):
     assert m.join(n, ["symbol", "time"]).filter(F.abs(F.col("nupl") - (1 - 1 / F.col("value"))) > 1e-9).count() == 0
     d = indicators.calculate(f, "composite.drawdown")
     assert d.filter("value > 0").count() == 0
-    assert len(indicators.INDICATORS) == 23
+    assert len(indicators.codes()) == 28
 
 
 def test_registering_twice_fails():

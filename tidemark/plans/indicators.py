@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_divide
 from ..functions.windows import (
-    UNBOUNDED, W, anchored_sum, expanding_std, log_return, previous, rolling_correlation, rolling_max, rolling_mean, rolling_percentile, rolling_std, running_max, running_sum, simple_return, weighted_mean,
+    UNBOUNDED, W, anchored_sum, expanding_std, log_return, previous, rolling_correlation, rolling_max, rolling_mean, rolling_std, running_max, running_sum, simple_return, weighted_mean,
 )
+from ..functions.ranks import expanding_percent_below, percent_below
 from ..registry import query
 from ..sources.frames import DAILY, MULTI, bars_daily, bars_multi, rounded
+from .recursive import FOLDS, folded
 
 INDICATORS: dict[str, Callable[..., dict[str, Column]]] = {}
 
@@ -34,9 +36,46 @@ def indicator(name: str, *needs: str, **defaults):
     return put
 
 
+#: Inputs that are made of others where they are missing themselves: product or ratio of two columns.
+DERIVED = {
+    "market_cap": ("close", "supply", "product"), "realized_cap": ("realized_price", "supply", "product"), "sopr": ("realized_value", "created_value", "ratio"),
+    "asopr": ("adjusted_realized_value", "adjusted_created_value", "ratio"), "lth_sopr": ("lth_realized_value", "lth_created_value", "ratio"), "hodl_bank": ("close", "hodl_days", "product"),
+}
+
+
+def with_derived(bars: DataFrame, needs: list[str]) -> DataFrame:
+    """bars with the needed columns that can be derived."""
+    made = {}
+    for c in needs:
+        if c not in bars.columns and c in DERIVED and set(DERIVED[c][:2]) <= set(bars.columns):
+            a, b, how = DERIVED[c]
+            made[c] = F.col(a) * F.col(b) if how == "product" else F.try_divide(a, b)
+    return bars.withColumns(made)
+
+
+def framed_rank(bars: DataFrame, lookback: int | None = None, column: str | None = None) -> DataFrame:
+    """Percentile rank of a column (close) among all earlier values, or among the `lookback` before."""
+    c = column or "close"
+    if lookback is None:
+        return expanding_percent_below(bars, "value", c).select("symbol", "time", "value")
+    return percent_below(bars, {"value": c}, lookback + 1, exclude_self=True).select("symbol", "time", "value")
+
+
+#: Indicators that are no column expressions: code -> f(bars, **params) -> symbol, time and the columns.
+FRAMED = {"tech.percentile_rank": framed_rank} | {name: (lambda bars, name=name, **params: folded(bars, name, **params)) for name in FOLDS}
+
+
+def codes() -> list[str]:
+    """All indicators that calculate() knows."""
+    return sorted({*INDICATORS, *FRAMED})
+
+
 def calculate(bars: DataFrame, name: str, **params) -> DataFrame:
     """One indicator's frame."""
+    if name in FRAMED:
+        return FRAMED[name](bars, **params)
     f = INDICATORS[name]
+    bars = with_derived(bars, f.needs)
     used = f.defaults | {k: v for k, v in params.items() if v is not None}
     missing = [c for c in f.needs if c not in bars.columns]
     base = bars.withColumns({c: F.lit(None).cast("double") for c in missing})
@@ -45,13 +84,19 @@ def calculate(bars: DataFrame, name: str, **params) -> DataFrame:
 
 def calculate_batch(bars: DataFrame, names: list[str], params: dict | None = None) -> DataFrame:
     """Several indicators side by side, as columns named code.column; unknown names are skipped."""
+    bars = with_derived(bars, sorted({c for n in names if n in INDICATORS for c in INDICATORS[n].needs}))
     columns, missing = [], {c for n in names if n in INDICATORS for c in INDICATORS[n].needs if c not in bars.columns}
     base = bars.withColumns({c: F.lit(None).cast("double") for c in sorted(missing)})
     for n in names:
         if n in INDICATORS:
             f = INDICATORS[n]
             columns += [c.alias(f"{n.split('.', 1)[1].replace('.', '_')}_{k}") for k, c in f(**(f.defaults | (params or {}).get(n, {}))).items()]
-    return base.select("symbol", "time", *columns)
+    out = base.select("symbol", "time", *columns)
+    for n in names:
+        if n in FRAMED:
+            own = calculate(bars, n, **(params or {}).get(n, {}))
+            out = out.join(own.select("symbol", "time", *[F.col(c).alias(f"{n.split('.', 1)[1].replace('.', '_')}_{c}") for c in own.columns[2:]]), ["symbol", "time"], "left")
+    return out
 
 
 @indicator("tech.sma", "close", period=50)
@@ -85,15 +130,10 @@ def hv(period, days):
     return {"value": value, "hv_percent": value * 100}
 
 
-@indicator("tech.percentile_rank", "close", lookback=90)
-def percentile_rank(lookback):
-    return {"value": rolling_percentile("close", lookback)}
-
-
-@indicator("onchain.mvrv", "market_cap", "realized_cap")
-def mvrv():
+@indicator("onchain.mvrv", "market_cap", "realized_cap", z_window=0)
+def mvrv(z_window):
     cap, realized = F.col("market_cap"), F.col("realized_cap")
-    std = expanding_std("market_cap")
+    std = rolling_std("market_cap", z_window) if z_window else expanding_std("market_cap")
     return {"value": safe_divide(cap, realized), "mvrv_z": F.when(std > 0, (cap - realized) / std)}
 
 
@@ -253,8 +293,20 @@ def indicator_frame(spark, sf_dir):
     return rounded(b.select("symbol", "time", "close", bands["middle"].alias("sma20"), bands["upper"].alias("upper"), bands["lower"].alias("lower"), drawdown(0)["value"].alias("drawdown")), 4, upper=3, lower=3, drawdown=6).orderBy("time")
 
 
-@query("indicator_batch")
+_BATCH = {f"{n.split('.', 1)[1].replace('.', '_')}_{k}": (e, d) for n, columns in sorted(_SQL.items()) for k, (e, d) in columns.items()}
+
+
+@query("indicator_batch", f"WITH {FRAME} SELECT symbol, time, {', '.join(f'round(CAST({e} AS DOUBLE), {d}) AS {k}' for k, (e, d) in _BATCH.items())} FROM g {OVER}")
 def indicator_batch(spark, sf_dir):
     """All window indicators at once: one shuffle and one sort of the bars."""
-    return calculate_batch(research_frame(spark, sf_dir), sorted(INDICATORS))
+    found = calculate_batch(research_frame(spark, sf_dir), sorted(_SQL))
+    return found.select("symbol", "time", *[F.round(k, d).alias(k) for k, (_, d) in _BATCH.items()])
 
+
+@query("indicator_tech_percentile_rank", f"""WITH {MULTI}, l AS (SELECT symbol, time, close, list(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, list(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS b FROM bars)
+  SELECT symbol, time, round(CASE WHEN len(a) >= 2 THEN 100.0 * len(list_filter(a, lambda x: x < close)) / len(a) END, 6) AS value, round(CASE WHEN len(b) >= 1 THEN 100.0 * len(list_filter(b, lambda x: x < close)) / len(b) END, 6) AS last_90 FROM l""")
+def q_percentile_rank(spark, sf_dir):
+    """With its default, all earlier rows, and with a window."""
+    b = bars_multi(spark, sf_dir)
+    whole, part = calculate(b, "tech.percentile_rank"), calculate(b, "tech.percentile_rank", lookback=90).withColumnRenamed("value", "last_90")
+    return rounded(whole.join(part, ["symbol", "time"]), 6)

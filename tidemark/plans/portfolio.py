@@ -25,7 +25,8 @@ def positions(transactions: DataFrame) -> DataFrame:
     t = transactions.withColumns({"_amount": number("amount"), "_fee": number("fee"), "_price": number("price")})
     t = t.withColumn("_qty", F.when(F.col("_price") > 0, F.col("_amount") / F.col("_price")).otherwise(0.0))
     t = t.withColumn("_net", F.sum(F.when(buy, F.col("_qty")).otherwise(-F.col("_qty"))).over(upto))
-    t = t.withColumn("coins", F.round(F.col("_net") - F.least(F.lit(0.0), F.min("_net").over(upto)), 8)).withColumn("_before", F.coalesce(F.lag("coins").over(w), F.lit(0.0)))
+    left = F.col("_net") - F.least(F.lit(0.0), F.min("_net").over(upto))
+    t = t.withColumn("coins", F.when(left < 5e-9, 0.0).otherwise(left)).withColumn("_before", F.coalesce(F.lag("coins").over(w), F.lit(0.0)))
     t = t.withColumn("sold", F.when(buy, 0.0).otherwise(F.col("_before") - F.col("coins")))
     t = t.withColumn("_run", F.coalesce(F.sum(F.when(F.col("coins") <= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("user_id", "_run").orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -121,10 +122,10 @@ HELD = f"""RECURSIVE {FILLS}, o AS (SELECT *, row_number() OVER (PARTITION BY us
    FROM h JOIN o ON h.user_id = o.user_id AND o.k = h.k + 1)"""
 
 
-@query("portfolio_holdings", f"""WITH {HELD} SELECT user_id, k AS n, round(coins, 6) AS coins, round(CASE WHEN coins > 5e-9 THEN cost / coins ELSE 0 END, 3) AS avg_cost, round(cost, 3) AS total_cost, round(pnl, 3) + 0.0 AS realized_pnl, round(bought, 3) AS total_buy, round(sold, 3) AS total_sell,
-  round(fees, 4) AS fees FROM h WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
+@query("portfolio_holdings", f"""WITH {HELD} SELECT user_id, k AS n, round(coins, 6) AS coins, round(CASE WHEN coins > 5e-9 THEN cost / coins ELSE 0 END, 3) AS avg_cost, round(cost, 3) AS total_cost, round(pnl, 3) + 0.0 AS realized_pnl, round(bought, 6) AS total_buy, round(sold, 6) AS total_sell,
+  round(fees, 6) AS fees FROM h WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def q_holdings(spark, sf_dir):
-    h = rounded(holdings(fills(spark, sf_dir)), 3, coins=6, fees=4)
+    h = rounded(holdings(fills(spark, sf_dir)), 3, coins=6, total_buy=6, total_sell=6, fees=6)
     return h.withColumn("realized_pnl", F.col("realized_pnl") + 0.0)
 
 

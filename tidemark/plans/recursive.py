@@ -68,6 +68,38 @@ def all_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 1
     return dict(zip(COLUMNS, (ema(close, 50), np.clip(rsi, 0, 100), line, signal, line - signal, atr, np.where(close > 0, atr / close * 100, np.nan), pdi, mdi, adx), strict=True))
 
 
+#: code -> (columns read, parameters, function of their arrays and the parameters -> columns)
+FOLDS = {
+    "tech.ema": (("close",), {"period": 50}, lambda close, period: {"value": ema(close, period)}),
+    "tech.rsi": (("high", "low", "close"), {"period": 14}, lambda high, low, close, period: {"value": all_of(high, low, close, period)["rsi14"]}),
+    "tech.macd": (("close",), {"fast": 12, "slow": 26, "signal": 9}, lambda close, fast, slow, signal: _macd(close, fast, slow, signal)),
+    "tech.atr": (("high", "low", "close"), {"period": 14}, lambda high, low, close, period: {k: v for k, v in zip(("value", "atr_percent"), (all_of(high, low, close, period)[c] for c in ("atr", "atr_percent")), strict=True)}),
+    "tech.adx": (("high", "low", "close"), {"period": 14}, lambda high, low, close, period: {k: v for k, v in zip(("value", "plus_di", "minus_di"), (all_of(high, low, close, period)[c] for c in ("adx", "plus_di", "minus_di")), strict=True)}),
+}
+FOLD_COLUMNS = {"tech.ema": ("value",), "tech.rsi": ("value",), "tech.macd": ("value", "signal", "histogram"), "tech.atr": ("value", "atr_percent"), "tech.adx": ("value", "plus_di", "minus_di")}
+
+
+def _macd(close, fast, slow, signal):
+    line = ema(close, fast) - ema(close, slow)
+    smoothed = ema(line, signal)
+    return {"value": line, "signal": smoothed, "histogram": line - smoothed}
+
+
+def folded(bars: DataFrame, name: str, **params) -> DataFrame:
+    """One recursive indicator with its parameters: symbol, time and its columns."""
+    needs, defaults, f = FOLDS[name]
+    used, columns = defaults | {k: v for k, v in params.items() if v is not None}, FOLD_COLUMNS[name]
+
+    def run(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("time")
+        found = f(*(frame[c].to_numpy(dtype=float) for c in needs), **used)
+        return pd.DataFrame({"symbol": frame.symbol, "time": frame.time} | {k: pd.Series(found[k], index=frame.index).astype(object).where(np.isfinite(found[k]), None) for k in columns})
+
+    return bars.select("symbol", "time", *needs).groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz, " + ", ".join(f"{c} double" for c in columns))
+
+
 def recursive_frame(bars: DataFrame, period: int = 14) -> DataFrame:
     """symbol, time and all recursive indicators; undefined values are NULL."""
 
@@ -94,7 +126,9 @@ SQL = f"""WITH RECURSIVE {MULTI}, l AS (SELECT *, row_number() OVER w AS rn, clo
    UNION ALL SELECT symbol, time, rn, close, e12, e26, e50, CASE WHEN rn < 26 THEN NULL WHEN rn = 26 THEN e12 - e26 ELSE s * 0.8 + (e12 - e26) * 0.2 END, ag, al, atr, p, m FROM (
     SELECT b.symbol, b.time, b.rn, b.close, r.e12 * (11.0/13) + b.close * (2.0/13) AS e12, r.e26 * (25.0/27) + b.close * (2.0/27) AS e26, r.e50 * (49.0/51) + b.close * (2.0/51) AS e50, r.sig AS s,
      {_w('g', 'ag', 14, 15)} AS ag, {_w('lo', 'al', 14, 15)} AS al, {_w('tr', 'atr', 14, 14)} AS atr, {_w('pdm', 'p', 14, 15)} AS p, {_w('mdm', 'm', 14, 15)} AS m FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.rn + 1))
-  SELECT symbol, time, round(CASE WHEN rn >= 50 THEN e50 END, 4) AS ema50, round(CASE WHEN ag + al > 0 THEN 100 * ag / (ag + al) WHEN ag IS NOT NULL THEN 100 END, 6) AS rsi14, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 4) AS macd_line,
+"""
+_CORE = SQL
+SQL = _CORE + f"""  SELECT symbol, time, round(CASE WHEN rn >= 50 THEN e50 END, 4) AS ema50, round(CASE WHEN ag + al > 0 THEN 100 * ag / (ag + al) WHEN ag IS NOT NULL THEN 100 END, 6) AS rsi14, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 4) AS macd_line,
    round(CASE WHEN rn >= 34 THEN sig END, 4) AS signal_line, round(CASE WHEN rn >= 34 THEN e12 - e26 - sig END, 4) AS histogram, round(atr, 4) AS atr, round(atr / close * 100, 6) AS atr_percent, round(100 * p / atr, 6) AS plus_di, round(100 * m / atr, 6) AS minus_di FROM r"""
 
 
@@ -103,7 +137,22 @@ def indicator_recursive(spark, sf_dir):
     return rounded(recursive_frame(bars_multi(spark, sf_dir)).drop("adx"), 4, rsi14=6, atr_percent=6, plus_di=6, minus_di=6)
 
 
-@query("indicator_tech_adx")
+_ADX = """, d AS (SELECT symbol, time, rn, 100 * p / atr AS pdi, 100 * m / atr AS mdi, CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) END AS dx FROM r),
+  e AS (SELECT *, avg(dx) OVER f AS seed, count(dx) OVER f AS n FROM d WINDOW f AS (PARTITION BY symbol ORDER BY rn ROWS 13 PRECEDING)),
+  z AS (SELECT symbol, rn, CASE WHEN n = 14 THEN seed END AS adx FROM e WHERE rn = 28 UNION ALL SELECT e.symbol, e.rn, CASE WHEN e.dx IS NULL THEN z.adx ELSE z.adx * (13.0 / 14) + e.dx / 14 END FROM z JOIN e ON e.symbol = z.symbol AND e.rn = z.rn + 1)"""
+
+
+@query("indicator_tech_adx", _CORE + _ADX + "\n  SELECT e.symbol, e.time, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(adx, 6) AS adx FROM e LEFT JOIN z ON e.symbol = z.symbol AND e.rn = z.rn")
 def indicator_adx(spark, sf_dir):
-    """Trend strength; its seed depends on the first unbroken run, so tests hold it against a loop of their own."""
-    return rounded(recursive_frame(bars_multi(spark, sf_dir)).select("symbol", "time", "plus_di", "minus_di", "adx"), 6)
+    """Trend strength, smoothed from the mean of the first unbroken run."""
+    return rounded(folded(bars_multi(spark, sf_dir), "tech.adx").withColumnRenamed("value", "adx"), 6)
+
+
+def _register():
+    for name, digits, select in (
+        ("tech.ema", {"value": 4}, "ema50 AS value"), ("tech.rsi", {"value": 6}, "rsi14 AS value"), ("tech.macd", {"value": 4, "signal": 4, "histogram": 4}, "macd_line AS value, signal_line AS signal, histogram"),
+        ("tech.atr", {"value": 4, "atr_percent": 6}, "atr AS value, atr_percent")):
+        query(f"indicator_{name.replace('.', '_')}", f"SELECT symbol, time, {select} FROM ({SQL}) x")(lambda spark, sf_dir, name=name, digits=digits: rounded(folded(bars_multi(spark, sf_dir), name), 4, **digits))
+
+
+_register()

@@ -25,11 +25,11 @@ def trade_statistics(closed: DataFrame, keys: list[str], pnl: str = "pnl", fee:
 @query("portfolio_trade_statistics", f"""WITH {HELD}, s AS (
   SELECT o.user_id, o.k, o.side, o.f, h.pnl - b.pnl AS pnl FROM o JOIN h ON h.user_id = o.user_id AND h.k = o.k JOIN h b ON b.user_id = o.user_id AND b.k = o.k - 1 WHERE o.side = 'SELL')
   SELECT user_id, count(*) AS n_trades, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(CASE WHEN -sum(least(pnl, 0)) > 1e-12 THEN sum(greatest(pnl, 0)) / -sum(least(pnl, 0)) WHEN sum(greatest(pnl, 0)) > 0 THEN 'Infinity'::DOUBLE END, 4) AS profit_factor,
-    round(avg(pnl), 4) + 0.0 AS avg_trade_pnl, round(sum(f), 4) AS fees FROM s GROUP BY 1""")
+    round(avg(pnl), 4) + 0.0 AS avg_trade_pnl, round(sum(f), 6) AS fees FROM s GROUP BY 1""")
 def q_trade_statistics(spark, sf_dir):
     """Of every user's sales, each against the average cost before it."""
     sales = positions(fills(spark, sf_dir)).filter("side = 'SELL'").select("user_id", F.col("realized").alias("pnl"), F.col("fee").cast("double").alias("fee"))
-    return rounded(trade_statistics(sales, ["user_id"]), 4, win_rate=6).withColumn("avg_trade_pnl", F.col("avg_trade_pnl") + 0.0)
+    return rounded(trade_statistics(sales, ["user_id"]), 4, win_rate=6, fees=6).withColumn("avg_trade_pnl", F.col("avg_trade_pnl") + 0.0)
 
 
 def performance(transactions: DataFrame) -> DataFrame:
