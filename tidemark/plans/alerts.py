@@ -169,7 +169,10 @@ def q_rule_backtest(spark, sf_dir):
     return rounded(rule_backtest(bars_multi(spark, sf_dir), TEMPLATES["major_drawdown"]), 6)
 
 
-@query("alert_cooldown")
+@query("alert_cooldown", f"""WITH RECURSIVE {METRICS}, e AS (SELECT symbol, time, coalesce(drawdown_pct < -20, false) AS cond, coalesce(lag(drawdown_pct < -20) OVER (PARTITION BY symbol ORDER BY time), false) AS known FROM m),
+  f AS (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM e WHERE cond AND NOT known),
+  r AS (SELECT symbol, time, k, time AS sent FROM f WHERE k = 1 UNION ALL SELECT f.symbol, f.time, f.k, CASE WHEN f.time - r.sent >= INTERVAL 14 DAY THEN f.time ELSE r.sent END FROM r JOIN f ON f.symbol = r.symbol AND f.k = r.k + 1)
+  SELECT symbol, time FROM r WHERE time = sent""")
 def q_cooldown(spark, sf_dir):
     m = metrics_frame(bars_multi(spark, sf_dir)).withColumn("cond", compiled(TEMPLATES["major_drawdown"]))
     return cooled_down(episodes(m).filter("fired"), 14 * 86_400)

@@ -5,6 +5,8 @@ Dates are rows of one wide frame of window features; scores are arithmetic on th
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,44 +88,50 @@ def scores(bars: DataFrame) -> DataFrame:
     trend_risk = fuse([(F.col("volatility_risk"), 0.5), (F.col("drawdown_risk"), 0.5)])
     overall = fuse([(trend_risk, RISK_WEIGHTS["trend_risk"]), (F.col("valuation"), RISK_WEIGHTS["valuation_risk"])])
     f = f.withColumn("cycle", cycle).withColumn("risk", floored(overall, [F.col("volatility_risk"), F.col("drawdown_risk"), F.col("valuation")]))
-    f = f.withColumn("phase", level(F.col("cycle"), PHASE_LIMITS, PHASES)).withColumn("valuation_level", level(F.col("valuation"), VALUATION_LIMITS, VALUATION_LEVELS)).withColumn("risk_level", level(F.col("risk"), RISK_LIMITS, RISK_LEVELS))
+    f = f.withColumn("phase", level(F.round("cycle", 9), PHASE_LIMITS, PHASES)).withColumn("valuation_level", level(F.round("valuation", 9), VALUATION_LIMITS, VALUATION_LEVELS)).withColumn("risk_level", level(F.round("risk", 9), RISK_LIMITS, RISK_LEVELS))
     scalar = F.create_map(*[F.lit(x) for kv in RISK_SCALARS.items() for x in kv])
     regime = fuse([(F.col("trend"), 0.6), (F.try_element_at(scalar, "risk_level"), 0.4)])
     f = f.withColumn("regime", regime)
-    return f.select("symbol", "time", "trend", "valuation", "valuation_level", "volatility_risk", "drawdown_risk", "risk", "risk_level", "cycle", "phase", "regime", level(F.col("regime"), REGIME_LIMITS, REGIME_LABELS).alias("regime_label"))
+    return f.select("symbol", "time", "trend", "valuation", "valuation_level", "volatility_risk", "drawdown_risk", "risk", "risk_level", "cycle", "phase", "regime", level(F.round("regime", 9), REGIME_LIMITS, REGIME_LABELS).alias("regime_label"))
+
+
+#: What a target phase does in a state: nothing new, to be refused, or a move that needs age and confirmations.
+ACTIONS = {state: {target: "stay" if target == state else "move" if target in TRANSITIONS[state] else "refuse" for target in PHASE_CENTERS} for state in PHASE_CENTERS}
+
+
+class Memory(NamedTuple):
+    state: str
+    days: int = 0
+    wanted: str | None = None
+    times: int = 0
+
+
+def advanced(m: Memory, target: str, elapsed: int) -> Memory:
+    """The memory after a target phase that came so many days after the last one."""
+    action = ACTIONS[m.state][target]
+    older = m._replace(days=m.days + elapsed)
+    if action == "stay":
+        return older._replace(wanted=None, times=0)
+    if action == "refuse":  # remembered as wanted, but it confirms nothing
+        return older._replace(wanted=target)
+    least = TOP_RISK_DAYS if m.state == "TOP_RISK" else LEAST_DAYS
+    if max(m.days, elapsed) < least:  # too early: it counts, whatever was wanted before
+        return older._replace(wanted=target, times=m.times + 1)
+    times = 1 + (m.times if m.wanted == target else 0)
+    return Memory(target) if times >= (1 if target in FAST else CONFIRMATIONS) else older._replace(wanted=target, times=times)
 
 
 def debounced(phases: DataFrame) -> DataFrame:
-    """The state machine over daily target phases: legal transitions, least duration, confirmations. One ordered fold per symbol."""
+    """The state machine over daily target phases: legal transitions, least age, confirmations. One ordered fold per symbol."""
 
     def run(frame):
+        memory, last, out = None, None, []
         frame = frame.sort_values("time")
-        state, days, pending, count, last, out = None, 0, None, 0, None, []
-        for phase, time in zip(frame.phase, frame.time, strict=True):
-            if phase is None:
-                out.append((state, days))
-                continue
-            passed = 0 if last is None else max(0, (time - last).days)
-            last = time
-            if state is None:
-                state, days, pending, count = phase, 0, None, 0
-            elif phase == state:
-                days, pending, count = days + passed, None, 0
-            else:
-                least = TOP_RISK_DAYS if state == "TOP_RISK" else LEAST_DAYS
-                if phase not in TRANSITIONS[state]:
-                    pending = phase
-                elif days < least and passed < least:
-                    pending, count = phase, count + 1
-                else:
-                    count = count + 1 if pending == phase else 1
-                    pending = phase
-                    if count >= (1 if phase in FAST else CONFIRMATIONS):
-                        state, days, pending, count = phase, 0, None, 0
-                        out.append((state, days))
-                        continue
-                days += passed
-            out.append((state, days))
+        for target, time in zip(frame.phase, frame.time, strict=True):
+            if target is not None:
+                memory = Memory(target) if memory is None else advanced(memory, target, max(0, (time - last).days))
+                last = time
+            out.append((memory.state, memory.days) if memory else (None, 0))
         return frame.assign(state=[s for s, _ in out], days=[d for _, d in out])[["symbol", "time", "phase", "state", "days"]]
 
     return phases.select("symbol", "time", "phase").groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz, phase string, state string, days int")
@@ -156,16 +164,26 @@ def _level_sql(c, limits, names):
 
 @query("engine_levels", f"""WITH {FEATURES}, l AS (SELECT symbol, time, {_level_sql('round(valuation, 9)', VALUATION_LIMITS, VALUATION_LEVELS)} AS valuation_level,
   (coalesce(trend, 0) * 0.25 + coalesce((50 - valuation) / 50, 0) * 0.10) / nullif(CASE WHEN trend IS NULL THEN 0 ELSE 0.25 END + CASE WHEN valuation IS NULL THEN 0 ELSE 0.10 END, 0) AS cycle FROM f4)
-  SELECT symbol, time, valuation_level, round(cycle, 5) AS cycle, {_level_sql('cycle', PHASE_LIMITS, PHASES)} AS phase FROM l""")
+  SELECT symbol, time, valuation_level, round(cycle, 5) AS cycle, {_level_sql('round(cycle, 9)', PHASE_LIMITS, PHASES)} AS phase FROM l""")
 def q_levels(spark, sf_dir):
     s = scores(bars_multi(spark, sf_dir)).withColumn("valuation_level", level(F.round("valuation", 9), VALUATION_LIMITS, VALUATION_LEVELS))
     return rounded(s.select("symbol", "time", "valuation_level", "cycle", "phase"), 5)
 
 
-@query("engine_scores")
+_RISK_SQL = """, s0 AS (SELECT *, (coalesce(volatility_risk * 0.5, 0) + drawdown_risk * 0.5) / (CASE WHEN volatility_risk IS NULL THEN 0.5 ELSE 1 END) AS tr, greatest(coalesce(volatility_risk, 0), drawdown_risk, coalesce(valuation, 0)) AS worst,
+    CASE WHEN volatility_risk > 70 AND drawdown_risk > 70 AND valuation > 70 THEN 70 ELSE 0 END AS three FROM f4),
+  s1 AS (SELECT *, greatest((tr * 0.20 + coalesce(valuation * 0.15, 0)) / (CASE WHEN valuation IS NULL THEN 0.20 ELSE 0.35 END), CASE WHEN worst > 90 THEN greatest(50, three) ELSE three END) AS risk,
+    (coalesce(trend, 0) * 0.25 + coalesce((50 - valuation) / 50, 0) * 0.10) / nullif(CASE WHEN trend IS NULL THEN 0 ELSE 0.25 END + CASE WHEN valuation IS NULL THEN 0 ELSE 0.10 END, 0) AS cycle FROM s0)"""
+_SCALAR_SQL = f"CASE risk_level {' '.join(f'WHEN {k!r} THEN {v}' for k, v in RISK_SCALARS.items())} END"
+
+
+@query("engine_scores", f"""WITH {FEATURES}{_RISK_SQL}, s2 AS (SELECT *, {_level_sql('round(risk, 9)', RISK_LIMITS, RISK_LEVELS)} AS risk_level FROM s1), s3 AS (SELECT *, (coalesce(trend * 0.6, 0) + {_SCALAR_SQL} * 0.4) / (CASE WHEN trend IS NULL THEN 0.4 ELSE 1 END) AS regime FROM s2)
+  SELECT symbol, time, round(trend, 5) + 0.0 AS trend, round(valuation, 5) + 0.0 AS valuation, {_level_sql('round(valuation, 9)', VALUATION_LIMITS, VALUATION_LEVELS)} AS valuation_level, round(volatility_risk, 5) + 0.0 AS volatility_risk, round(drawdown_risk, 5) + 0.0 AS drawdown_risk, round(risk, 5) + 0.0 AS risk,
+   risk_level, round(cycle, 5) + 0.0 AS cycle, {_level_sql('round(cycle, 9)', PHASE_LIMITS, PHASES)} AS phase, round(regime, 5) + 0.0 AS regime, {_level_sql('round(regime, 9)', REGIME_LIMITS, REGIME_LABELS)} AS regime_label FROM s3""")
 def q_scores(spark, sf_dir):
-    """All scores and levels; tests hold the risk floor and the fusion against plain versions."""
-    return rounded(scores(bars_multi(spark, sf_dir)), 5)
+    """The scores from prices alone, with their levels; plans.factors has those from all metrics."""
+    s = rounded(scores(bars_multi(spark, sf_dir)), 5)
+    return s.withColumns({c: F.col(c) + 0.0 for c, t in s.dtypes if t == "double"})
 
 
 @query("engine_phase_probabilities", f"""WITH {FEATURES}, p AS (SELECT symbol, time, {', '.join(f'exp(-pow(trend - ({c}), 2) / (2 * 0.09)) * {0.15 if p in LATE_PHASES else 1.0} AS {p}' for p, c in PHASE_CENTERS.items())} FROM f4 WHERE trend IS NOT NULL)
@@ -175,11 +193,6 @@ def q_probabilities(spark, sf_dir):
     return rounded(s.select("symbol", "time", *[F.col("p")[p].alias(f"p_{p.lower()}") for p in PHASE_CENTERS]), 6)
 
 
-@query("engine_debounced_phase")
-def q_debounced(spark, sf_dir):
-    return debounced(scores(bars_multi(spark, sf_dir)))
-
-
 @query("engine_similar_periods", f"""WITH {FEATURES}, v AS (SELECT symbol, time, trend, dd, vol, close FROM f4 WHERE trend IS NOT NULL AND vol IS NOT NULL), q AS (SELECT symbol, max(time) AS t, arg_max([trend, dd, vol], time) AS qv FROM v GROUP BY symbol),
   s AS (SELECT v.symbol, v.time, list_cosine_similarity([trend, dd, vol], qv) AS c, list_distance([trend, dd, vol], qv) AS d FROM v JOIN q ON v.symbol = q.symbol AND v.time < q.t - INTERVAL 180 DAY)
   SELECT symbol, time, round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / (2 * sqrt(3))), 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / (2 * sqrt(3))), 9) DESC, time) <= 3""")

@@ -15,7 +15,7 @@ from ..functions.scalars import level, ramp
 from ..functions.windows import W, last_rows, running_max
 from ..registry import query
 from ..sources.frames import MULTI, bars_multi, rounded
-from .engines import PHASE_CENTERS, PHASE_LIMITS, PHASES, REGIME_LABELS, REGIME_LIMITS, RISK_LEVELS, RISK_LIMITS, RISK_WEIGHTS, VALUATION_LEVELS, VALUATION_LIMITS, floored, fuse, phase_probabilities, trend_score
+from .engines import CONFIRMATIONS, FAST, LEAST_DAYS, TOP_RISK_DAYS, TRANSITIONS, debounced, PHASE_CENTERS, PHASE_LIMITS, PHASES, REGIME_LABELS, REGIME_LIMITS, RISK_LEVELS, RISK_LIMITS, RISK_WEIGHTS, VALUATION_LEVELS, VALUATION_LIMITS, floored, fuse, phase_probabilities, trend_score
 
 # Weights of factors and dimensions, and the scalars of the regime's states.
 CYCLE_WEIGHTS = {"price_trend": 0.25, "onchain": 0.20, "capital_flow": 0.15, "derivative": 0.12, "macro": 0.10, "sentiment": 0.08, "valuation_anchor": 0.10}
@@ -423,6 +423,23 @@ def q_posterior_phase(spark, sf_dir):
     return f.select("symbol", "time", posterior_phase(phase_probabilities(c("cycle")), c("_prior"), c("ruled_phase")).alias("posterior"))
 
 
+_LEGAL = ", ".join(f"'{a}>{b}'" for a, to in TRANSITIONS.items() for b in sorted(to))
+_OLD = f"(greatest(r.days, n.gap) >= CASE WHEN r.state = 'TOP_RISK' THEN {TOP_RISK_DAYS} ELSE {LEAST_DAYS} END)"
+_MOVES = f"(n.phase <> r.state AND n.legal AND {_OLD} AND CASE WHEN r.wanted = n.phase THEN r.times + 1 ELSE 1 END >= CASE WHEN n.phase IN ({', '.join(map(repr, sorted(FAST)))}) THEN 1 ELSE {CONFIRMATIONS} END)"
+
+
+@query("engine_debounced_phase", f"""WITH RECURSIVE {SQL_PHASES}, t AS (SELECT symbol, time, ruled_phase AS phase, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k, date_diff('day', lag(time) OVER (PARTITION BY symbol ORDER BY time), time) AS gap FROM ph WHERE ruled_phase IS NOT NULL),
+  r AS (SELECT symbol, time, phase, k, phase AS state, CAST(0 AS BIGINT) AS days, CAST(NULL AS VARCHAR) AS wanted, CAST(0 AS BIGINT) AS times FROM t WHERE k = 1
+   UNION ALL SELECT n.symbol, n.time, n.phase, n.k, CASE WHEN {_MOVES} THEN n.phase ELSE r.state END, CASE WHEN {_MOVES} THEN 0 ELSE r.days + n.gap END, CASE WHEN n.phase = r.state OR {_MOVES} THEN NULL ELSE n.phase END,
+     CASE WHEN n.phase = r.state OR {_MOVES} THEN 0 WHEN NOT n.legal THEN r.times WHEN NOT {_OLD} THEN r.times + 1 WHEN r.wanted = n.phase THEN r.times + 1 ELSE 1 END
+   FROM r JOIN (SELECT t.*, p.state AS s_, concat(p.state, '>', t.phase) IN ({_LEGAL}) AS legal FROM t, (SELECT unnest([{', '.join(repr(x) for x in TRANSITIONS)}]) AS state) p) n ON n.symbol = r.symbol AND n.k = r.k + 1 AND n.s_ = r.state)
+  SELECT symbol, time, phase, state, CAST(days AS INT) AS days FROM r""")
+def q_debounced(spark, sf_dir):
+    """The debounced phases of the whole cycle engine."""
+    f = ruled_phase(cycle_scores(valuation_dimensions(metrics(bars_multi(spark, sf_dir)))))
+    return debounced(f.select("symbol", "time", c("ruled_phase").alias("phase")))
+
+
 @query("engine_regime", f"""WITH {SQL_REGIME}, b AS (SELECT *, {', '.join(f'lag(scalar_{d}) OVER w AS b_{d}' for d in STATES)} FROM g {_W})
   SELECT symbol, time, {', '.join(f'state_{d}' for d in STATES)}, round(regime, 4) + 0.0 AS regime, CASE WHEN ruled_phase = 'TOP_RISK' AND regime > 0 THEN 'Euphoria' ELSE {_named('round(regime, 9)', REGIME_LIMITS, REGIME_LABELS)} END AS label, round(consistency, 4) AS consistency,
   round(consistency, 9) < 0.55 AS divergence, concat_ws(',', {', '.join(f"CASE WHEN round(abs(scalar_{d} - b_{d}), 9) > 0.3 THEN '{d}' END" for d in STATES)}) AS shifted FROM b""")

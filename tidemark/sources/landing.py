@@ -91,10 +91,14 @@ def q_upsert(spark, sf_dir):
     return upsert(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
 
 
-@query("page_table_rows")
+@query("page_table_rows", """SELECT n_regionkey AS page_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS row, [CAST(n_nationkey AS VARCHAR), n_name || ' & co', CASE WHEN n_nationkey % 2 = 0 THEN '(1.2)' ELSE '' END] AS cells FROM nation
+  UNION ALL SELECT DISTINCT n_regionkey, 0, ['Key', 'Name', 'Flow'] FROM nation""")
 def q_pages(spark, sf_dir):
-    """Table rows in web pages (tests use pages that have some)."""
-    return page_tables(table(spark, sf_dir, "pages"))
+    """Rows of tables in web pages: a page per region with a table of its nations, written here as pages have them."""
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.format_string("<TR class='x'><td>%s<td> <b>%s</b>\n &amp; co</td><td>%s</td></tr>", F.col("n_nationkey").cast("string"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, "(1.2)").otherwise("")).alias("tr"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "tr"))), lambda r: r["tr"]), "\n")
+    pages = n.groupBy(F.col("n_regionkey").alias("page_id")).agg(F.concat(F.lit("<html><p>Flows</p><table><tr><th>Key</th><th>Name</th><th>Flow</th></tr>"), rows, F.lit("</table></html>")).alias("html"))
+    return page_tables(pages)
 
 
 @query("array_levels", """SELECT user_id, count(*) AS n, round(list_sum(list_slice(list_sort(list(value), 'DESC'), 1, 20)), 4) AS top20 FROM events GROUP BY 1""")
