@@ -5,7 +5,7 @@ Expressions built on the same WindowSpec share one shuffle and one sort. Undefin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -72,12 +72,6 @@ def weighted_mean(c: str, n: int, w=None) -> Column:
     return full(total / (n * (n + 1) / 2), c, n, last_rows(n, w))
 
 
-def rolling_percentile(c: str, n: int, w=None) -> Column:
-    """Share of the n rows before that are strictly below, in percent."""
-    before = F.collect_list(c).over((w or W()).rowsBetween(-n, -1))
-    return F.when(F.size(before) > 0, F.aggregate(before, F.lit(0), lambda a, x: a + F.when(x < F.col(c), 1).otherwise(0)) / F.size(before) * 100)
-
-
 def rolling_correlation(x: str, y: str, n: int, w=None) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
@@ -122,7 +116,10 @@ def window_weighted_mean(spark, sf_dir):
 @query("window_percentile", f"""WITH {MULTI}, p AS (SELECT symbol, time, close, list(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS before FROM bars)
   SELECT symbol, time, round(CASE WHEN len(before) > 0 THEN len(list_filter(before, lambda x: x < close)) / len(before) * 100 END, 6) AS pct90 FROM p""")
 def window_percentile(spark, sf_dir):
-    return rounded(bars_multi(spark, sf_dir).select("symbol", "time", rolling_percentile("close", 90).alias("pct90")), 6)
+    """Share of the 90 rows before that are strictly below, in percent."""
+    from .ranks import percent_below
+
+    return rounded(percent_below(bars_multi(spark, sf_dir), {"pct90": "close"}, 91, exclude_self=True).select("symbol", "time", "pct90"), 6)
 
 
 @query("window_correlation", f"""WITH {MULTI}, r AS (SELECT symbol, time, close / lag(close) OVER w - 1 AS rc, volume / CAST(lag(volume) OVER w AS DOUBLE) - 1 AS rv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time))
@@ -159,15 +156,27 @@ def window_volatility(spark, sf_dir):
   FROM (SELECT symbol, time, list(close) OVER (PARTITION BY symbol ORDER BY time ROWS 99 PRECEDING) AS l FROM bars)""")
 def window_decayed_mean(spark, sf_dir):
     """Mean of the last 100 values, each older one weighing 5 % less."""
-    b = bars_multi(spark, sf_dir).withColumn("l", F.collect_list("close").over(last_rows(100)))
-    weight = lambda i: F.pow(F.lit(0.95), F.size("l") - 1 - i)
-    sums = lambda f: F.aggregate(F.transform("l", f), F.lit(0.0), lambda a, x: a + x)
-    return rounded(b.select("symbol", "time", (sums(lambda x, i: x * weight(i)) / sums(lambda x, i: weight(i))).alias("decayed")))
+    return rounded(decayed_mean(bars_multi(spark, sf_dir), "close", 100, 0.95).select("symbol", "time", F.col("decayed")))
+
+
+def decayed_mean(bars: DataFrame, value: str, n: int, factor: float, span: int = 1000) -> DataFrame:
+    """bars with the mean of the last n values, weighing factor^age. Weights factor^-place make it two sums of one window frame;
+    rows are cut into stretches of `span`, which carry the n - 1 rows before them along, so that no weight grows beyond measure."""
+    numbered = bars.withColumn("_rn", F.row_number().over(W()) - 1)
+    own = F.expr(f"_rn div {span}")
+    dealt = numbered.withColumn("_b", F.explode(F.when(F.col("_rn") % span >= span - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))))
+    last = Window.partitionBy("symbol", "_b").orderBy("_rn").rowsBetween(-(n - 1), 0)
+    weight = F.pow(F.lit(factor), -(F.col("_rn") - F.col("_b") * span))
+    out = dealt.withColumn("decayed", F.sum(F.col(value) * weight).over(last) / F.sum(weight).over(last))
+    return out.filter(F.col("_b") == own).drop("_rn", "_b")
 
 
 @query("window_latest_two", f"""WITH {MULTI} SELECT symbol, arg_max(time, time) AS time, arg_max(close, time) AS current, arg_max(prev, time) AS previous, count(*) AS n FROM (
   SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS prev FROM bars) GROUP BY symbol""")
 def window_latest_two(spark, sf_dir):
-    """Current and previous value per key, without a window over the whole series."""
-    two = bars_multi(spark, sf_dir).groupBy("symbol").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("time", "close")))), 1, 2).alias("l"), F.count("*").alias("n"))
-    return two.select("symbol", F.col("l")[0]["time"].alias("time"), F.col("l")[0]["close"].alias("current"), F.get("l", 1)["close"].alias("previous"), "n")
+    """Current and previous value per key: each task keeps two rows of a key before the shuffle."""
+    b = bars_multi(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("time")))
+    two = b.select("symbol", "time", "close", place.alias("k")).filter("k <= 2").groupBy("symbol").agg(
+        F.max(F.when(F.col("k") == 1, F.col("time"))).alias("time"), F.max(F.when(F.col("k") == 1, F.col("close"))).alias("current"), F.max(F.when(F.col("k") == 2, F.col("close"))).alias("previous"))
+    return two.join(b.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percent_below
 from ..functions.scalars import clamp, level, ramp
 from ..functions.windows import W, full, last_rows, log_return, rolling_mean, running_max
 from ..registry import query
@@ -39,8 +40,7 @@ def features(bars: DataFrame) -> DataFrame:
     f = bars.withColumns({
         "ma200": rolling_mean("close", 200), "peak": running_max("close"), "r": log_return("close"), "n": F.row_number().over(w)})
     f = f.withColumns({"ma_before": F.coalesce(F.lag("ma200", 29).over(w), F.col("ma200")), "dd": F.col("close") / F.col("peak") - 1, "vol": full(F.stddev_pop("r").over(last_rows(30)) * F.sqrt(F.lit(365.0)), "r", 30, last_rows(30))})
-    below = F.collect_list("vol").over(w.rowsBetween(-364, 0))
-    f = f.withColumn("vol_pct", F.when(F.col("vol").isNotNull(), F.aggregate(below, F.lit(0), lambda a, x: a + F.when(x < F.col("vol"), 1).otherwise(0)) / F.size(below) * 100))
+    f = percent_below(f, {"vol_pct": "vol"}, 365)
     return f.withColumn("dd_before", F.when(F.lag("close", 30).over(w).isNotNull(), F.lag("close", 30).over(w) / F.col("peak") - 1).otherwise(F.col("dd")))
 
 
