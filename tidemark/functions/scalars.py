@@ -47,7 +47,7 @@ def first_at_most(c: Column, steps: list[tuple[float, float]], default: float =
 def two_sided(c: Column, steps: list[tuple[float, float]]) -> Column:
     """Low thresholds (to 50) raise the multiplier, the first that holds; high ones lower it."""
     low = first_at_most(c, [s for s in steps if s[0] <= 50])
-    high = F.least(*[F.when(c >= t, f).otherwise(1.0) for t, f in steps if t > 50], F.lit(1.0))
+    high = F.least(*[F.when(c >= t, f).otherwise(1.0) for t, f in steps if t > 50], F.lit(1.0), F.lit(1.0))
     return F.when(low > 1, low).otherwise(high)
 
 
@@ -138,9 +138,9 @@ def scalar_ramps(spark, sf_dir):
   SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS c, list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS d, len(embedding) AS n FROM embeddings, q)
   SELECT vec_id, round(c, 6) AS cosine, round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / (2 * sqrt(n))), 6) AS similarity FROM s""")
 def scalar_similarity(spark, sf_dir):
-    """Similarity of every vector with one (a single row is broadcast)."""
+    """Similarity of every vector with one (a single row is broadcast, whatever the rows of that id)."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    q = e.filter("vec_id = 0").agg(F.max("embedding").alias("q"))
     return rounded(e.join(F.broadcast(q)).select("vec_id", cosine("embedding", "q").alias("cosine"), similarity("embedding", "q").alias("similarity")), 6)
 
 

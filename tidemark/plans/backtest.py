@@ -11,7 +11,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_at_most
+from ..functions.scalars import first_at_most, two_sided
 from ..registry import query
 from ..sources.frames import DAILY, MULTI, bars_daily, bars_multi, rounded
 
@@ -33,9 +33,26 @@ def is_investment_day(day: Column, frequency: str, start: str, dca_day: int = 1)
     return F.dayofmonth(day) == min(max(dca_day, 1), 28)
 
 
+#: Percentile of mvrv -> factor, in backtests and in the simulator; what low unrealized profit gives; factor by risk level.
+VALUATION_STEPS, SIMULATOR_VALUATION_STEPS = [(15.0, 3.0), (30.0, 2.0), (85.0, 0.5)], [(15.0, 2.0), (30.0, 1.5)]
+LOW_NUPL, NUPL_FACTOR = 0.25, 1.3
+RISK_FACTORS = {"VERY_LOW": 1.3, "LOW": 1.2, "MODERATE": 1.0, "HIGH": 0.5, "VERY_HIGH": 0.3, "EXTREME": 0.2}
+
+
+def valuation_multiplier(percentile: Column, nupl: Column, steps: list[tuple[float, float]] = VALUATION_STEPS) -> Column:
+    """By the percentile of mvrv, and at least NUPL_FACTOR while unrealized profit is low; unknown values say nothing."""
+    by_place = F.when(percentile.isNull(), 1.0).otherwise(two_sided(percentile, steps))
+    return F.when(nupl < LOW_NUPL, F.greatest(by_place, F.lit(NUPL_FACTOR))).otherwise(by_place)
+
+
+def risk_multiplier(risk_level: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RISK_FACTORS.items() for x in kv]), risk_level), F.lit(1.0))
+
+
 def multiplier(strategy: str, close: Column, high: Column, w) -> Column:
     peak, recent = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max(high).over(w.rowsBetween(-89, 0))
-    return {"dip_buy": first_at_most(close / peak - 1, DIP_STEPS), "drawdown_buy": first_at_most(close / recent - 1, DIP_STEPS)}.get(strategy, F.lit(1.0))
+    return {"dip_buy": first_at_most(close / peak - 1, DIP_STEPS), "drawdown_buy": first_at_most(close / recent - 1, DIP_STEPS),
+            "valuation_buy": valuation_multiplier(F.col("pct_mvrv"), F.col("nupl")), "risk_adjusted": risk_multiplier(F.col("risk_level"))}.get(strategy, F.lit(1.0))
 
 
 def vectorized(bars: DataFrame, strategy: str = "fixed_dca", frequency: str = "MONTHLY", amount: float = 100.0, initial: float = 0.0, fee: float = 0.001, slippage: float = 0.0005, next_open: bool = True,

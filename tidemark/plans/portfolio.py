@@ -9,7 +9,7 @@ from ..functions.scalars import first_at_most
 from ..registry import query
 from ..sources.frames import FILLS, MULTI, bars_multi, fills, rounded
 from .alerts import compiled
-from .backtest import SIMULATOR_DIP_STEPS, is_investment_day
+from .backtest import SIMULATOR_DIP_STEPS, SIMULATOR_VALUATION_STEPS, is_investment_day, risk_multiplier, valuation_multiplier
 
 def positions(transactions: DataFrame) -> DataFrame:
     """Per transaction: coins held and average cost after it, coins sold by it, and what it realized. All by running sums.
@@ -57,11 +57,12 @@ def running_totals(transactions: DataFrame) -> DataFrame:
 
 def simulate(bars: DataFrame, strategy: str = "DIP_BUY", amount: float = 100.0, frequency: str = "WEEKLY", day: int = 1, fee: float = 0.001, condition: dict | None = None, factor: float = 2.0) -> DataFrame:
     """A recurring plan bought at the close: symbol, time, spent, coins, held, value. Strategies without feedback are windows;
-    CUSTOM multiplies by factor where a compiled condition is true."""
+    CUSTOM multiplies by factor where a compiled condition is true. VALUATION_BUY reads pct_mvrv and nupl, RISK_ADJUSTED risk_level."""
     w = Window.partitionBy("symbol").orderBy("time")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     gap = F.col("close") / F.max("close").over(run if strategy == "DIP_BUY" else w.rowsBetween(-89, 0)) - 1
-    times = {"DIP_BUY": first_at_most(gap, SIMULATOR_DIP_STEPS), "DRAWDOWN_BUY": first_at_most(gap, SIMULATOR_DIP_STEPS)}.get(strategy, F.lit(1.0))
+    times = {"DIP_BUY": first_at_most(gap, SIMULATOR_DIP_STEPS), "DRAWDOWN_BUY": first_at_most(gap, SIMULATOR_DIP_STEPS), "RISK_ADJUSTED": risk_multiplier(F.col("risk_level")),
+             "VALUATION_BUY": valuation_multiplier(F.col("pct_mvrv"), F.col("nupl"), SIMULATOR_VALUATION_STEPS)}.get(strategy, F.lit(1.0))
     if condition:
         times = F.when(F.coalesce(compiled(condition, lambda m: F.col({"price": "close"}.get(m, m)), w), F.lit(False)), factor).otherwise(1.0)
     s = bars.withColumn("spent", F.when(is_investment_day(F.col("time"), frequency, "1995-01-01", day), F.lit(amount) * times).otherwise(0.0))
