@@ -174,17 +174,20 @@ def verdicts(stats: DataFrame, reach: float = REACH) -> DataFrame:
     spark = stats.sparkSession
     sql = lambda text, **tables: spark.sql(text.replace("EXCLUDING", "EXCEPT"), **tables)
     vectors = sql(VECTOR, stats=stats)
-    fit = vectors.filter(~F.col("base_failed")).select("l", "g", *[f"x{i}" for i in _ALL])
+    # Written down, so that the plan of a step holds the step alone and the driver keeps little of each.
+    fit = materialize(vectors.filter(~F.col("base_failed")).select("l", "g", *[f"x{i}" for i in _ALL]), "quality-vectors")
     medians = materialize(sql(MEDIANS, fit=fit), "quality-medians")
     begin = sql(BEGIN.replace("{all_moments}", ALL_MOMENTS), medians=medians, spreads=sql(SPREADS, fit=fit, medians=medians), fit=fit)
     model = materialize(begin, "quality-start")
-    rows = sql(OF_STARTS, fit=fit)
+    rows, before = materialize(sql(OF_STARTS, fit=fit), "quality-rows"), None
     for step in range(STEPS):
         near = sql(bucketed("{fit}", "{model}"), fit=rows, model=model)
         moments = sql(MOMENTS, bucketed=near, nearest=sql(NEAREST, bucketed=near))
-        before, model = model, materialize(sql(model_of("{moments}"), moments=moments), f"quality-step{step}")
-        if model.exceptAll(before).isEmpty():
+        model = materialize(sql(model_of("{moments}"), moments=moments), f"quality-step{step}")
+        now = model.agg(F.count("*"), F.bit_xor(F.xxhash64(*model.columns))).first()
+        if now == before:
             break
+        before = now
     model = sql(LEAST, model=model)
     judged = sql(distances("{rows}", "{model}"), rows=vectors.filter(~F.col("base_failed")), model=model)
     good = judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", F.col("d2") <= reach * reach)
