@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("warc", "chat", "packing", "line_dedup", "minhash", "quality", "html_text", "toxicity", "topk", "mixing", "divergence", "spelling")
+MODULES = ("warc", "chat", "packing", "line_dedup", "minhash", "quality", "html_text", "toxicity", "topk", "mixing", "divergence", "spelling", "url_filter")
 
 
 def queries() -> dict:
