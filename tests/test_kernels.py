@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import asof, data_quality, relational
-from tidemark.plans import alerts, backtest, engines, indicators, portfolio, recursive
+from tidemark.plans import alerts, backtest, engines, indicators, portfolio
+
 from tidemark.sources import landing
 from tidemark.streaming import alert_state
 
+from . import loops
+
 SF = "/root/testdata/sf0.001"
 DAY0 = datetime(2023, 1, 1)
 
@@ -36,7 +39,7 @@ def wave(n=120):
 def test_smoothing_against_pandas():
     x = np.random.default_rng(1).normal(100, 5, 300)
     want = pd.Series(x).ewm(span=12, adjust=False).mean().to_numpy()
-    got = recursive.ema(x, 12)
+    got = loops.ema(x, 12)
     assert np.isnan(got[:11]).all() and np.allclose(got[11:], want[11:])
 
 
@@ -44,7 +47,7 @@ def test_smoothing_against_pandas():
 @settings(max_examples=60, deadline=None)
 def test_rsi_and_di_bounds(values):
     x = np.array(values)
-    found = recursive.all_of(x * 1.01, x * 0.99, x)
+    found = loops.all_of(x * 1.01, x * 0.99, x)
     for c in ("rsi14", "adx"):
         sound = found[c][np.isfinite(found[c])]
         assert ((sound >= 0) & (sound <= 100 + 1e-9)).all()
@@ -52,10 +55,10 @@ def test_rsi_and_di_bounds(values):
 
 def test_rsi_extremes():
     up = np.linspace(100, 200, 60)
-    assert recursive.all_of(up, up, up)["rsi14"][-1] == 100
-    assert recursive.all_of(up[::-1], up[::-1], up[::-1])["rsi14"][-1] == 0
+    assert loops.all_of(up, up, up)["rsi14"][-1] == 100
+    assert loops.all_of(up[::-1], up[::-1], up[::-1])["rsi14"][-1] == 0
     flat = np.full(60, 5.0)
-    assert recursive.all_of(flat, flat, flat)["rsi14"][-1] == 100
+    assert loops.all_of(flat, flat, flat)["rsi14"][-1] == 100
 
 
 def test_adx_against_a_loop():
@@ -76,7 +79,7 @@ def test_adx_against_a_loop():
     a, p, m = smooth(tr, 0), smooth([u if u > d and u > 0 else 0 for u, d in zip(up, dn, strict=True)], 1), smooth([d if d > u and d > 0 else 0 for u, d in zip(up, dn, strict=True)], 1)
     dx = [abs(p[i] - m[i]) / (p[i] + m[i]) * 100 if i in p else 0 for i in range(200)]
     want = smooth(dx, 14)
-    got = recursive.all_of(h, lo, c)["adx"]
+    got = loops.all_of(h, lo, c)["adx"]
     assert np.isnan(got[:27]).all() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in range(27, 200))
 
 

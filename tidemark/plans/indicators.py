@@ -18,7 +18,7 @@ from ..functions.windows import (
 from ..functions.ranks import expanding_percent_below, percent_below
 from ..registry import query
 from ..sources.frames import DAILY, MULTI, bars_daily, bars_multi, rounded
-from .recursive import FOLDS, folded
+from .recursive import SCANS, scanned
 
 INDICATORS: dict[str, Callable[..., dict[str, Column]]] = {}
 
@@ -62,7 +62,7 @@ def framed_rank(bars: DataFrame, lookback: int | None = None, column: str | None
 
 
 #: Indicators that are no column expressions: code -> f(bars, **params) -> symbol, time and the columns.
-FRAMED = {"tech.percentile_rank": framed_rank} | {name: (lambda bars, name=name, **params: folded(bars, name, **params)) for name in FOLDS}
+FRAMED = {"tech.percentile_rank": framed_rank} | {name: (lambda bars, name=name, **params: scanned(bars, name, **params)) for name in SCANS}
 
 
 def codes() -> list[str]:

@@ -1,116 +1,108 @@
 """Indicators with feedback: exponential and Wilder smoothing, MACD, RSI, ATR, ADX.
 
-y[t] = (1 - a) y[t-1] + a x[t] has no fixed window frame. Each symbol's rows are folded once, in Arrow batches, for all these
-indicators together; symbols are the unit of parallelism.
+y[t] = (1 - a) y[t-1] + a x[t] has no fixed window frame; it is a scan of composed maps (functions.scans). All smoothings of
+one stage share their stretches; MACD's signal line and ADX smooth what a first stage gives, so they are a second one.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.scans import ROWS, numbered, smoothed, sound
 from ..registry import query
 from ..sources.frames import MULTI, bars_multi, rounded
 
 COLUMNS = ("ema50", "rsi14", "macd_line", "signal_line", "histogram", "atr", "atr_percent", "plus_di", "minus_di", "adx")
-SCHEMA = "symbol string, time timestamp_ntz, " + ", ".join(f"{c} double" for c in COLUMNS)
-
-
-def smooth(x: np.ndarray, alpha: float, seed: int) -> np.ndarray:
-    """Recursive smoothing from the first sound value: the mean of the first `seed` values, then x by alpha; unsound values carry on."""
-    out = np.full(len(x), np.nan)
-    sound = np.flatnonzero(np.isfinite(x))
-    if len(sound) < seed:
-        return out
-    first = sound[seed - 1]
-    y = x[sound[:seed]].mean()
-    out[first] = y
-    for i in range(first + 1, len(x)):
-        if np.isfinite(x[i]):
-            y = y * (1 - alpha) + x[i] * alpha
-        out[i] = y
-    return out
-
-
-def ema(x: np.ndarray, span: int) -> np.ndarray:
+
+
+def ema(c: str, span: int) -> tuple:
     """Seeded with the first value; the first span - 1 results stay hidden."""
-    out = smooth(x, 2 / (span + 1), 1)
-    sound = np.flatnonzero(np.isfinite(x))
-    out[: sound[span - 1] if len(sound) >= span else len(out)] = np.nan
-    return out
-
-
-def wilder(x: np.ndarray, period: int) -> np.ndarray:
-    return smooth(x, 1 / period, period)
-
-
-def all_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 14) -> dict[str, np.ndarray]:
-    n = len(close)
-    lag = lambda v: np.concatenate([[np.nan], v[:-1]]) if n else v
-    with np.errstate(divide="ignore", invalid="ignore"):
-        delta = close - lag(close)
-        gain, loss = wilder(np.where(np.isnan(delta), np.nan, np.maximum(delta, 0)), period), wilder(np.where(np.isnan(delta), np.nan, np.maximum(-delta, 0)), period)
-        rsi = np.where(gain + loss > 0, 100 * gain / (gain + loss), np.where(np.isfinite(gain), 100.0, np.nan))
-        line = ema(close, 12) - ema(close, 26)
-        signal = ema(line, 9)
-        before = lag(close)
-        spread = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
-        atr = wilder(spread, period)
-        up, down = high - lag(high), lag(low) - low
-        plus = wilder(np.where(np.isnan(up), np.nan, np.where((up > down) & (up > 0), up, 0.0)), period)
-        minus = wilder(np.where(np.isnan(up), np.nan, np.where((down > up) & (down > 0), down, 0.0)), period)
-        pdi, mdi = np.where(atr > 0, 100 * plus / atr, np.nan), np.where(atr > 0, 100 * minus / atr, np.nan)
-        dx = np.where(pdi + mdi > 0, 100 * np.abs(pdi - mdi) / (pdi + mdi), np.nan)
-        found = np.flatnonzero(np.isfinite(dx))
-        adx = np.full(n, np.nan)
-        if len(found) and np.isfinite(dx[found[0] : found[0] + period]).sum() == period:  # the seed needs an unbroken run
-            adx = wilder(dx, period)
-    return dict(zip(COLUMNS, (ema(close, 50), np.clip(rsi, 0, 100), line, signal, line - signal, atr, np.where(close > 0, atr / close * 100, np.nan), pdi, mdi, adx), strict=True))
-
-
-#: code -> (columns read, parameters, function of their arrays and the parameters -> columns)
-FOLDS = {
-    "tech.ema": (("close",), {"period": 50}, lambda close, period: {"value": ema(close, period)}),
-    "tech.rsi": (("high", "low", "close"), {"period": 14}, lambda high, low, close, period: {"value": all_of(high, low, close, period)["rsi14"]}),
-    "tech.macd": (("close",), {"fast": 12, "slow": 26, "signal": 9}, lambda close, fast, slow, signal: _macd(close, fast, slow, signal)),
-    "tech.atr": (("high", "low", "close"), {"period": 14}, lambda high, low, close, period: {k: v for k, v in zip(("value", "atr_percent"), (all_of(high, low, close, period)[c] for c in ("atr", "atr_percent")), strict=True)}),
-    "tech.adx": (("high", "low", "close"), {"period": 14}, lambda high, low, close, period: {k: v for k, v in zip(("value", "plus_di", "minus_di"), (all_of(high, low, close, period)[c] for c in ("adx", "plus_di", "minus_di")), strict=True)}),
-}
-FOLD_COLUMNS = {"tech.ema": ("value",), "tech.rsi": ("value",), "tech.macd": ("value", "signal", "histogram"), "tech.atr": ("value", "atr_percent"), "tech.adx": ("value", "plus_di", "minus_di")}
+    return c, 2 / (span + 1), 1, span
 
 
-def _macd(close, fast, slow, signal):
-    line = ema(close, fast) - ema(close, slow)
-    smoothed = ema(line, signal)
-    return {"value": line, "signal": smoothed, "histogram": line - smoothed}
+def wilder(c: str, period: int) -> tuple:
+    """Seeded with the mean of the first `period` values, which are hidden before."""
+    return c, 1 / period, period, period
 
 
-def folded(bars: DataFrame, name: str, **params) -> DataFrame:
-    """One recursive indicator with its parameters: symbol, time and its columns."""
-    needs, defaults, f = FOLDS[name]
-    used, columns = defaults | {k: v for k, v in params.items() if v is not None}, FOLD_COLUMNS[name]
+def moves(bars: DataFrame, bucket: str = "year") -> DataFrame:
+    """Numbered bars with what the smoothings read: gain, loss, spread, and the moves up and down."""
+    t = numbered(bars, bucket=bucket, lags=("high", "low", "close"))
+    high, low, close, before = (F.col(c) for c in ("high", "low", "close", "_lag_close"))
+    up, down, delta = high - F.col("_lag_high"), F.col("_lag_low") - low, close - before
+    known = lambda x, on: F.when(on.isNotNull(), x)
+    return t.withColumns({
+        "_gain": known(F.greatest(delta, F.lit(0.0)), delta), "_loss": known(F.greatest(-delta, F.lit(0.0)), delta), "_spread": F.greatest(high - low, F.abs(high - before), F.abs(low - before)),
+        "_up": known(F.when((up > down) & (up > 0), up).otherwise(0.0), up), "_down": known(F.when((down > up) & (down > 0), down).otherwise(0.0), up)})
+
+
+def _rsi() -> Column:
+    gain, both = F.col("_rsi_gain"), F.col("_rsi_gain") + F.col("_rsi_loss")
+    return F.when(both > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * gain / both))).when(gain.isNotNull(), 100.0)
+
+
+def with_rsi(t: DataFrame, period: int, rows: int = ROWS) -> DataFrame:
+    return smoothed(t, {"_rsi_gain": wilder("_gain", period), "_rsi_loss": wilder("_loss", period)}, rows=rows).withColumn("value", _rsi())
 
-    def run(frame):
-        import pandas as pd
 
-        frame = frame.sort_values("time")
-        found = f(*(frame[c].to_numpy(dtype=float) for c in needs), **used)
-        return pd.DataFrame({"symbol": frame.symbol, "time": frame.time} | {k: pd.Series(found[k], index=frame.index).astype(object).where(np.isfinite(found[k]), None) for k in columns})
+def with_atr(t: DataFrame, period: int, rows: int = ROWS) -> DataFrame:
+    return smoothed(t, {"value": wilder("_spread", period)}, rows=rows).withColumn("atr_percent", F.when(F.col("close") > 0, F.col("value") / F.col("close") * 100))
 
-    return bars.select("symbol", "time", *needs).groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz, " + ", ".join(f"{c} double" for c in columns))
 
+def with_macd(t: DataFrame, fast: int, slow: int, signal: int, rows: int = ROWS) -> DataFrame:
+    t = smoothed(t, {"_fast": ema("close", fast), "_slow": ema("close", slow)}, rows=rows).withColumn("value", F.col("_fast") - F.col("_slow"))
+    return smoothed(t, {"signal": ema("value", signal)}, rows=rows).withColumn("histogram", F.col("value") - F.col("signal"))
 
-def recursive_frame(bars: DataFrame, period: int = 14) -> DataFrame:
-    """symbol, time and all recursive indicators; undefined values are NULL."""
 
-    def run(frame):
-        import pandas as pd
+def _directions() -> dict[str, Column]:
+    return {c: F.when(F.col("_atr") > 0, 100 * F.col(s) / F.col("_atr")) for c, s in (("plus_di", "_plus"), ("minus_di", "_minus"))}
 
-        frame = frame.sort_values("time")
-        found = all_of(*(frame[c].to_numpy(dtype=float) for c in ("high", "low", "close")), period)
-        return pd.DataFrame({"symbol": frame.symbol, "time": frame.time} | {k: pd.Series(v, index=frame.index).astype(object).where(np.isfinite(v), None) for k, v in found.items()})
 
-    return bars.select("symbol", "time", "high", "low", "close").groupBy("symbol").applyInPandas(run, SCHEMA)
+def _trend_strength(t: DataFrame, period: int, out: str, rows: int = ROWS) -> DataFrame:
+    """ADX from plus_di and minus_di: null throughout where the values that seed it have a gap."""
+    total = F.col("plus_di") + F.col("minus_di")
+    t = t.withColumn("_dx", sound(F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)))
+    first = t.filter("_dx IS NOT NULL").groupBy("symbol").agg(F.min("_rn").alias("_first"))
+    seeds = t.join(first, "symbol").filter(F.col("_rn") < F.col("_first") + period).groupBy("symbol").agg((F.count("_dx") == period).alias("_unbroken"))
+    return smoothed(t, {out: wilder("_dx", period)}, rows=rows).join(seeds, "symbol", "left").withColumn(out, F.when(F.col("_unbroken"), F.col(out))).drop("_unbroken")
+
+
+def with_adx(t: DataFrame, period: int, rows: int = ROWS) -> DataFrame:
+    t = smoothed(t, {"_atr": wilder("_spread", period), "_plus": wilder("_up", period), "_minus": wilder("_down", period)}, rows=rows).withColumns(_directions())
+    return _trend_strength(t, period, "value", rows)
+
+
+#: code -> (function of moves() and the parameters, parameters, columns)
+SCANS = {
+    "tech.ema": (lambda t, period: smoothed(t, {"value": ema("close", period)}), {"period": 50}, ("value",)),
+    "tech.rsi": (with_rsi, {"period": 14}, ("value",)),
+    "tech.macd": (with_macd, {"fast": 12, "slow": 26, "signal": 9}, ("value", "signal", "histogram")),
+    "tech.atr": (with_atr, {"period": 14}, ("value", "atr_percent")),
+    "tech.adx": (with_adx, {"period": 14}, ("value", "plus_di", "minus_di")),
+}
+
+
+def scanned(bars: DataFrame, name: str, **params) -> DataFrame:
+    """One recursive indicator with its parameters: symbol, time and its columns."""
+    f, defaults, columns = SCANS[name]
+    used = defaults | {k: v for k, v in params.items() if v is not None}
+    read = [c for c in ("high", "low", "close") if c in bars.columns]
+    if name in ("tech.ema", "tech.macd"):
+        t = numbered(bars.select("symbol", "time", "close"))
+    else:
+        t = moves(bars.select("symbol", "time", *read))
+    return f(t, **used).select("symbol", "time", *columns)
+
+
+def recursive_frame(bars: DataFrame, period: int = 14, rows: int = ROWS) -> DataFrame:
+    """symbol, time and all recursive indicators; undefined values are NULL. Two stages, whatever the number of indicators."""
+    t = moves(bars.select("symbol", "time", "high", "low", "close"))
+    first = {"ema50": ema("close", 50), "_fast": ema("close", 12), "_slow": ema("close", 26)}
+    first |= {"_rsi_gain": wilder("_gain", period), "_rsi_loss": wilder("_loss", period), "_atr": wilder("_spread", period), "_plus": wilder("_up", period), "_minus": wilder("_down", period)}
+    t = smoothed(t, first, rows=rows).withColumns({"rsi14": _rsi(), "macd_line": F.col("_fast") - F.col("_slow"), "atr": F.col("_atr"), "atr_percent": F.when(F.col("close") > 0, F.col("_atr") / F.col("close") * 100)} | _directions())
+    t = smoothed(t, {"signal_line": ema("macd_line", 9)}, rows=rows).withColumn("histogram", F.col("macd_line") - F.col("signal_line"))
+    return _trend_strength(t, period, "adx", rows).select("symbol", "time", *COLUMNS)
 
 
 def _w(x, prev, n, at):
@@ -145,14 +137,14 @@ _ADX = """, d AS (SELECT symbol, time, rn, 100 * p / atr AS pdi, 100 * m / atr A
 @query("indicator_tech_adx", _CORE + _ADX + "\n  SELECT e.symbol, e.time, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(adx, 6) AS adx FROM e LEFT JOIN z ON e.symbol = z.symbol AND e.rn = z.rn")
 def indicator_adx(spark, sf_dir):
     """Trend strength, smoothed from the mean of the first unbroken run."""
-    return rounded(folded(bars_multi(spark, sf_dir), "tech.adx").withColumnRenamed("value", "adx"), 6)
+    return rounded(scanned(bars_multi(spark, sf_dir), "tech.adx").withColumnRenamed("value", "adx"), 6)
 
 
 def _register():
     for name, digits, select in (
         ("tech.ema", {"value": 4}, "ema50 AS value"), ("tech.rsi", {"value": 6}, "rsi14 AS value"), ("tech.macd", {"value": 4, "signal": 4, "histogram": 4}, "macd_line AS value, signal_line AS signal, histogram"),
         ("tech.atr", {"value": 4, "atr_percent": 6}, "atr AS value, atr_percent")):
-        query(f"indicator_{name.replace('.', '_')}", f"SELECT symbol, time, {select} FROM ({SQL}) x")(lambda spark, sf_dir, name=name, digits=digits: rounded(folded(bars_multi(spark, sf_dir), name), 4, **digits))
+        query(f"indicator_{name.replace('.', '_')}", f"SELECT symbol, time, {select} FROM ({SQL}) x")(lambda spark, sf_dir, name=name, digits=digits: rounded(scanned(bars_multi(spark, sf_dir), name), 4, **digits))
 
 
 _register()
