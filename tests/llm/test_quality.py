@@ -53,14 +53,20 @@ def numpy_verdicts(rows):
     median = {g: np.median(x[at[g]], axis=0) for g in names}
     mad = {g: np.median(np.abs(x[at[g]] - median[g]), axis=0) for g in names}
     starts = [{g: (median[g], np.diag(np.maximum(1.4826 * mad[g], floors) ** 2)) for g in names}, {g: (median[g], np.diag(floors**2)) for g in names}, estimates(at)]
-    best = {}
-    for model in starts:
-        for _ in range(quality.STEPS):
+    moved = 1
+    while moved >= quality.SETTLED:
+        models = []
+        for model in starts:
             chosen = {}
             for g in names:
                 bucket = np.floor(quality.BINS * np.log(distance(g, model[g], at[g]) + 0.001))
                 chosen[g] = at[g][bucket <= np.sort(bucket)[int(np.ceil(quality.KEPT_PART * len(bucket))) - 1]]
-            model = estimates(chosen)
+            models.append(estimates(chosen))
+        volume = lambda m: np.linalg.slogdet(m[1])[1] / 2
+        moved = max(abs(volume(new[g]) - volume(old[g])) for new, old in zip(models, starts, strict=True) for g in names)
+        starts = models
+    best = {}
+    for model in starts:
         for g in names:
             det = np.linalg.det(model[g][1])
             if g not in best or det < best[g][0] * (1 - 1e-9):

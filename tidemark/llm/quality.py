@@ -3,8 +3,8 @@
 Each document has a vector of five transformed statistics. Per (lang, source) group the minimum-covariance-determinant
 estimate is sought from three starts: median with MAD, median with the least deviations (FLOORS), and the moments of all
 documents. From each, concentration steps (take the three quarters of the group with the smallest Mahalanobis distances,
-estimate mean and covariance from them) are repeated until nothing changes, at most STEPS times; of the three estimates that
-with the least determinant stands. A document whose distance under it exceeds `reach` is rejected; REACH is the distance that
+estimate mean and covariance from them) are repeated until no volume moves by half a bucket of the histogram that finds the nearest
+(or, should subsets take turns, until a state comes again); of the three estimates that with the least determinant stands. A document whose distance under it exceeds `reach` is rejected; REACH is the distance that
 one in a million of normally distributed documents exceeds (TAIL).
 
 The vectors are integers (thousandths), so all sums are exact and do not depend on the order of rows; the three quarters
@@ -31,12 +31,14 @@ from .common import SPACES, materialize, read
 
 P = 5
 KEPT_PART = 0.75  # of a group, in a concentration step
-STARTS, STEPS = 3, 12
+STARTS = 3
+SQL_STEPS = 12  # concentration steps that the SQL spells out; DataFrames take as many as it needs
 PRIOR = 100.0  # documents' worth of the language's moments in a group's
 TAIL = 1e-6  # share of normally distributed documents beyond the largest distance of a kept one
 #: Least standard deviations, in thousandths: ln words, characters a word, symbols, repeated words, repeated lines.
 FLOORS = (300.0, 250.0, 200.0, 80.0, 120.0)
 BINS = 16.0  # of the histogram of distances, per unit of its logarithm
+SETTLED = 0.5 / BINS  # a step that moves no volume by as much as half a bucket is the last
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -110,12 +112,14 @@ def bucketed(rows: str, model: str) -> str:
     return f"SELECT *, CAST(floor({BINS} * ln(d2 + 0.001)) AS BIGINT) AS bucket FROM ({distances(rows, model)}) b"
 
 
-#: Per group: the last bucket of the nearest three quarters.
-NEAREST = f"""SELECT g, min(CASE WHEN upto >= {KEPT_PART} * n THEN bucket END) AS last FROM (
-  SELECT g, bucket, sum(n) OVER (PARTITION BY g ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY g) AS n FROM (
-    SELECT g, bucket, count(*) AS n FROM {{bucketed}} GROUP BY g, bucket) c) u GROUP BY g"""
-MOMENTS = f"""SELECT b.l, b.g, CAST(count(*) AS DOUBLE) AS n, {_cols('CAST(sum(x{i}) AS DOUBLE) AS a{i}')}, {', '.join(f'CAST(sum(x{i} * x{j}) AS DOUBLE) AS a{i}{j}' for i, j in _PAIRS)}
-  FROM {{bucketed}} b JOIN {{nearest}} q ON b.g = q.g WHERE b.bucket <= q.last GROUP BY b.l, b.g"""
+#: Per group and bucket of distances: documents and sums. One pass over the rows; what follows has a few hundred rows a group.
+SUMS = ", ".join([f"sum(x{i}) AS a{i}" for i in _ALL] + [f"sum(x{i} * x{j}) AS a{i}{j}" for i, j in _PAIRS])
+_SUMMED = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {x}" for x in [f"a{i}" for i in _ALL] + [f"a{i}{j}" for i, j in _PAIRS])
+BUCKETS = f"SELECT l, g, bucket, count(*) AS n, {SUMS} FROM {{bucketed}} GROUP BY l, g, bucket"
+#: Per group: the sums of the nearest three quarters, in whole buckets.
+MOMENTS = f"""SELECT l, g, CAST(sum(n) AS DOUBLE) AS n, {_SUMMED} FROM (
+  SELECT *, sum(n) OVER (PARTITION BY g ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY g) AS total FROM {{buckets}}) u
+  WHERE upto - n < {KEPT_PART} * total GROUP BY l, g"""
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -163,6 +167,8 @@ REACH = math.sqrt(quantile(1 - TAIL))
 #: Moments of all rows of the last start, as if all were near.
 ALL_MOMENTS = f"""SELECT concat(l, '#2') AS l, concat(g, '#2') AS g, CAST(count(*) AS DOUBLE) AS n, {_cols('CAST(sum(x{i}) AS DOUBLE) AS a{i}')}, {', '.join(f'CAST(sum(x{i} * x{j}) AS DOUBLE) AS a{i}{j}' for i, j in _PAIRS)}
   FROM {{fit}} GROUP BY l, g"""
+#: How far the volume of any group's ellipsoid has gone in a step, as a logarithm.
+MOVED = f"SELECT max(abs({' + '.join(f'ln(n.l{i}{i} / o.l{i}{i})' for i in _ALL)})) AS moved FROM {{new}} n JOIN {{old}} o ON n.g = o.g"
 BEGIN = f"{_start(0, '1.4826 * s{i}')} UNION ALL {_start(1, '0')} UNION ALL {model_of('({all_moments})')}"
 #: The estimate of least determinant; the determinant is the squared product of the factor's diagonal.
 LEAST = f"""SELECT substring(g, 1, length(g) - 2) AS g, {_cols('m{i}')}, {', '.join(f'l{i}{j}' for i, j in _PAIRS)} FROM (
@@ -179,15 +185,14 @@ def verdicts(stats: DataFrame, reach: float = REACH) -> DataFrame:
     medians = materialize(sql(MEDIANS, fit=fit), "quality-medians")
     begin = sql(BEGIN.replace("{all_moments}", ALL_MOMENTS), medians=medians, spreads=sql(SPREADS, fit=fit, medians=medians), fit=fit)
     model = materialize(begin, "quality-start")
-    rows, before = materialize(sql(OF_STARTS, fit=fit), "quality-rows"), None
-    for step in range(STEPS):
-        near = sql(bucketed("{fit}", "{model}"), fit=rows, model=model)
-        moments = sql(MOMENTS, bucketed=near, nearest=sql(NEAREST, bucketed=near))
-        model = materialize(sql(model_of("{moments}"), moments=moments), f"quality-step{step}")
-        now = model.agg(F.count("*"), F.bit_xor(F.xxhash64(*model.columns))).first()
-        if now == before:
+    rows, seen = materialize(sql(OF_STARTS, fit=fit), "quality-rows"), set()
+    while True:
+        buckets = sql(BUCKETS.replace("{bucketed}", f"({bucketed('{fit}', '{model}')}) k"), fit=rows, model=model)
+        before, model = model, materialize(sql(model_of(f"({MOMENTS})"), buckets=buckets), "quality-step")
+        moved, *state = sql(MOVED.replace("FROM", f", count(*), bit_xor(xxhash64({', '.join(f'n.{c}' for c in model.columns)})) FROM"), new=model, old=before).first()
+        if moved is None or moved < SETTLED or tuple(state) in seen:
             break
-        before = now
+        seen.add(tuple(state))
     model = sql(LEAST, model=model)
     judged = sql(distances("{rows}", "{model}"), rows=vectors.filter(~F.col("base_failed")), model=model)
     good = judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", F.col("d2") <= reach * reach)
@@ -222,10 +227,13 @@ stats_of AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS ba
 vectors AS MATERIALIZED (""".replace("WORD", word) + VECTOR.format(stats="stats_of") + """),
 fit AS MATERIALIZED (SELECT l, g, x1, x2, x3, x4, x5 FROM vectors WHERE NOT base_failed),
 medians AS MATERIALIZED (""" + MEDIANS.format(fit="fit") + "), spreads AS (" + SPREADS.format(fit="fit", medians="medians") + "),\nrows_ AS MATERIALIZED (" + OF_STARTS.format(fit="fit")
-    text += "),\nmodel0 AS MATERIALIZED (" + BEGIN.format(medians="medians", spreads="spreads", all_moments=ALL_MOMENTS.format(fit="fit")) + ")"
-    for k in range(STEPS):
-        text += f",\nnear{k} AS MATERIALIZED ({bucketed('rows_', f'model{k}')}), nearest{k} AS ({NEAREST.format(bucketed=f'near{k}')}), moments{k} AS ({MOMENTS.format(bucketed=f'near{k}', nearest=f'nearest{k}')}),\nmodel{k + 1} AS MATERIALIZED ({model_of(f'moments{k}')})"
-    text += f",\nleast AS MATERIALIZED ({LEAST.format(model=f'model{STEPS}')})"
+    text += "),\nmoved0 AS (SELECT 1 AS moved), model0 AS MATERIALIZED (" + BEGIN.format(medians="medians", spreads="spreads", all_moments=ALL_MOMENTS.format(fit="fit")) + ")"
+    for k in range(SQL_STEPS):
+        text += f",\nbuckets{k} AS MATERIALIZED ({BUCKETS.format(bucketed=f"({bucketed('rows_', f'model{k}')}) k")}),\nstep{k} AS MATERIALIZED ({model_of('(' + MOMENTS.format(buckets=f'buckets{k}') + ')')})"
+        # From the step that moves little on, the model stays.
+        done = f"(SELECT coalesce(moved < {SETTLED}, TRUE) FROM moved{k})"
+        text += f",\nmodel{k + 1} AS MATERIALIZED (SELECT * FROM step{k} WHERE NOT {done} UNION ALL SELECT * FROM model{k} WHERE {done}),\nmoved{k + 1} AS MATERIALIZED ({MOVED.format(new=f'model{k + 1}', old=f'model{k}')})"
+    text += f",\nleast AS MATERIALIZED ({LEAST.format(model=f'model{SQL_STEPS}')})"
     judged = f",\nall_judged AS (SELECT *, d2 <= {REACH * REACH!r} AS kept FROM ({distances('(SELECT * FROM vectors WHERE NOT base_failed)', 'least')}) UNION ALL BY NAME SELECT *, FALSE AS kept FROM vectors WHERE base_failed)"
     return (text + judged).replace("EXCLUDING", "EXCLUDE")
 
