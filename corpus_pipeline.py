@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table. All but the last return the columns of documents; what a stage
 decides is in what it returns: rejected and duplicate documents are gone, repeated lines are cut out of the texts, and the
-mixture holds a document as often as it takes it. Other columns of docs are carried along. Rows of one doc_id are one
+mixture holds a document as often as it takes it whole, and the beginning of one that it takes in part. Other columns of docs are carried along. Rows of one doc_id are one
 document in the stages that drop documents; a null doc_id is never dropped as a duplicate. An empty table passes through.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read
+from tidemark.llm.common import SPACES, materialize, n_words, read
 from tidemark.llm.line_dedup import apply_bitmaps, line_bitmaps
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
@@ -42,10 +42,17 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it, rounded to whole documents."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_copies"))
-    held = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc"))).filter("_copies > 0")
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Each document as often as the mixture takes it whole, and once more its first words where the mixture takes a part, so that every source has its words."""
+    took = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size")).filter("_taken > 0")
+    held = docs.join(took, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("_own", n_words(F.col("text")))
+    # Rows of one doc_id share what it is taken beyond its whole copies by their sizes.
+    held = held.withColumns({"_whole": F.expr("_taken div _size").cast("int"), "_part": F.expr("(_taken % _size) * _own div _size").cast("int")})
+    text = F.ltrim("text", F.lit(SPACES))
+    after = F.get(F.split(text, r"[\x20\x09-\x0D]+", F.col("_part") + 1), F.col("_part"))
+    begin = F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(after)), F.lit(SPACES))
+    cut = held.filter("_part > 0").withColumn("text", F.coalesce(begin, "text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    whole = held.filter("_whole > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole"))))
+    return whole.select(docs.columns).unionByName(cut.select(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
