@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pandas as pd
@@ -17,6 +18,15 @@ def rows_of(df):
     return sorted(map(tuple, df.select(COLUMNS).collect()))
 
 
+def fewest(lengths, room=1024):
+    """A lower bound on the sequences that pieces of these lengths need: no two over half share one, and those under k fit beside none over room - k."""
+    bound = -(-sum(lengths) // room)
+    for k in range(1, room // 2 + 1):
+        alone, large, small = ([x for x in lengths if a < x <= b] for a, b in ((room - k, room), (room // 2, room - k), (k - 1, room // 2)))
+        bound = max(bound, len(alone) + len(large) + max(0, -(-(sum(small) - len(large) * room + sum(large)) // room)))
+    return bound
+
+
 def test_every_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(COLUMNS)
     last = None
@@ -32,13 +42,23 @@ def test_every_stage(spark):
             found = near_components(zip(before.doc_id, before.text, strict=True), 5, 80)
             want = [tuple(r) for r in before.itertuples(index=False) if found[r.doc_id][1] == r.doc_id]
         elif name == "mixing":
-            want = con.execute(mixing.ORACLE.replace("{documents}", "documents") + " SELECT d.* FROM documents d JOIN mixed m USING (doc_id), range(2) c(i) WHERE i < floor(taken / greatest(m.size, 1) + 0.5)").fetchall()
+            want = []
+            for doc_id, taken, size, target, source in con.execute(mixing.ORACLE.replace("{documents}", "documents") + " SELECT doc_id, taken, size, target, source FROM mixed WHERE size > 0").fetchall():
+                own = next(r for r in before.itertuples(index=False) if r.doc_id == doc_id)
+                want += [tuple(own)] * (taken // size)
+                if taken % size:
+                    begin = re.match(r"[\x20\x09-\x0D]*((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]+)" % (taken % size - 1), own.text).group(1)
+                    want.append((doc_id, begin, own.lang, own.source, len(begin)))
+            words, targets = Counter(), dict(con.execute(mixing.ORACLE.replace("{documents}", "documents") + " SELECT DISTINCT source, target FROM mixed").fetchall())
+            for r in after.collect():
+                words[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+            assert all(abs(words[s] - t) <= 1 for s, t in targets.items())
         else:
             last, counts = after.collect(), before.groupby("doc_id").size()
             assert len(last) and set(r.doc_id for r in last) == set(before.doc_id)
             single = {r.doc_id: r.text for r in before.itertuples() if counts[r.doc_id] == 1}
             per_sequence = pd.Series([r.length for r in last]).groupby([r.sequence_id for r in last]).sum()
-            assert per_sequence.max() <= 1024 and len(per_sequence) <= 1.02 * -(-per_sequence.sum() // 1024) + 1
+            assert per_sequence.max() <= 1024 and len(per_sequence) <= 1.02 * fewest([r.length for r in last]) + 1
             # Documents that come once, alone; the next test has all copies.
             alone = stage(spark, docs.join(spark.createDataFrame([(d,) for d in single], "doc_id long"), "doc_id", "left_semi"), SF).collect()
             check_places(alone, single)
