@@ -57,3 +57,52 @@ def all_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 1
         if len(found) and np.isfinite(dx[found[0] : found[0] + period]).sum() == period:  # the seed needs an unbroken run
             adx = wilder(dx, period)
     return dict(zip(COLUMNS, (ema(close, 50), np.clip(rsi, 0, 100), line, signal, line - signal, atr, np.where(close > 0, atr / close * 100, np.nan), pdi, mdi, adx), strict=True))
+
+
+def debounced(rows, advanced, Memory):
+    """rows: (time, phase or None). Per row: state, days."""
+    memory, last, out = None, None, []
+    for time, target in rows:
+        if target is not None:
+            memory = Memory(target) if memory is None else advanced(memory, target, max(0, (time - last).days))
+            last = time
+        out.append((memory.state, memory.days) if memory else (None, 0))
+    return out
+
+
+def cooled_down(times, cooldown, most_per_hour=10**9):
+    """times in seconds: those sent."""
+    sent = []
+    for t in times:
+        if (not sent or t - sent[-1] >= cooldown) and sum(t - s < 3600 for s in sent) < most_per_hour:
+            sent.append(t)
+    return sent
+
+
+def fired(rows, step, *limits):
+    """rows: (time, cond). (time, action) of triggers and recoveries."""
+    now, out = (-1, 0, False, -1), []
+    for time, cond in rows:
+        now, action = step(now, int(time.timestamp()), cond, *limits)
+        if action:
+            out.append((time, action))
+    return out
+
+
+def positions(rows):
+    """rows: (side, amount, price, fee) in order. Coins, average cost and realized result, in Decimal."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 50
+    coins = cost = pnl = Decimal(0)
+    for side, amount, price, fee in rows:
+        amount, fee = Decimal(amount), Decimal(fee)
+        q = amount / Decimal(price)
+        if side == "BUY":
+            coins, cost = coins + q, cost + amount + fee
+        else:
+            sold = min(q, coins)
+            average = cost / coins if coins else Decimal(0)
+            pnl += amount - fee - sold * average
+            coins, cost = coins - sold, cost - sold * average
+    return coins, cost / coins if coins else Decimal(0), pnl

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 300.0
+EXACT = 40.0  # sum of fades of a stretch in smoothed(): the larger, the more digits its weights cost
 ROWS = 8192  # of a stretch, at most
 UNBOUNDED = Window.unboundedPreceding
 
@@ -36,18 +37,19 @@ def with_keys(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(right, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def numbered(df: DataFrame, time: str = "time", by: tuple = ("symbol",), bucket: str | int = "year", lags: tuple = ()) -> DataFrame:
+def numbered(df: DataFrame, time: str = "time", by: tuple = ("symbol",), bucket: str | int = "year", lags: tuple = (), then: tuple = ()) -> DataFrame:
     """df with _rn, the number of rows before it in its key, and _lag_<c>, the value of the row before, for c in lags.
 
-    Counts and last rows per bucket of time go before the rows inside it, so a key is sorted bucket by bucket. Times of a key are distinct.
+    Counts and last rows per bucket of time go before the rows inside it, so a key is sorted bucket by bucket. Rows of one time
+    stand in the order of the columns `then`.
     """
     keys = [*by, "_tb"]
     cut = df.withColumn("_tb", bucket_of(time, bucket))
-    last = F.max_by(F.struct(*lags), time) if lags else F.lit(None).cast("struct<x:int>")
+    last = F.max_by(F.struct(*lags), F.struct(time, *then)) if lags else F.lit(None).cast("struct<x:int>")
     over = Window.partitionBy(*by).orderBy("_tb")
     ends = cut.groupBy(*keys).agg(F.count("*").alias("_n"), last.alias("_last"))
     ends = ends.select(*keys, F.coalesce(F.sum("_n").over(over.rowsBetween(UNBOUNDED, -1)), F.lit(0)).alias("_before"), F.lag("_last").over(over).alias("_last"))
-    inside = Window.partitionBy(*keys).orderBy(time)
+    inside = Window.partitionBy(*keys).orderBy(time, *then)
     out = with_keys(cut, ends, keys).withColumn("_in", F.row_number().over(inside))
     out = out.withColumns({"_rn": F.col("_before") + F.col("_in") - 1} | {f"_lag_{c}": F.when(F.col("_in") == 1, F.col("_last")[c]).otherwise(F.lag(c).over(inside)) for c in lags})
     return out.drop("_tb", "_in", "_before", "_last")
@@ -83,14 +85,20 @@ def _carried(maps: DataFrame, by: tuple, stretch: str) -> DataFrame:
     return m.withColumn("_carry", F.lag("_u").over(along)).select(*by, stretch, "_carry")
 
 
-def counted(df: DataFrame, columns: list[str], by: tuple, stretch: str, place: tuple) -> DataFrame:
-    """df with _n_<c>: how many values of c are not null up to the row, over all stretches of its key."""
-    inside = Window.partitionBy(*by, stretch).orderBy(*place).rowsBetween(UNBOUNDED, 0)
-    before = Window.partitionBy(*by).orderBy(stretch).rowsBetween(UNBOUNDED, -1)
-    totals = df.groupBy(*by, stretch).agg(*[F.count(c).alias(f"_t_{c}") for c in columns])
-    totals = totals.select(*by, stretch, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_t_{c}") for c in columns])
-    out = with_keys(df, totals, [*by, stretch])
-    return out.withColumns({f"_n_{c}": F.col(f"_t_{c}") + F.count(c).over(inside) for c in columns}).drop(*[f"_t_{c}" for c in columns])
+def running(df: DataFrame, columns: dict[str, tuple[str, Column]], by: tuple, stretch: str, place: tuple, before: bool = False) -> DataFrame:
+    """df with running sums, counts or largest values: name -> ("sum", "count" or "max", column), over all stretches of a key.
+
+    before: without the row itself. Totals of the stretches before and a window inside the own one, so no key is one task.
+    """
+    kinds = {"sum": F.sum, "count": F.count, "max": F.max}
+    inside = Window.partitionBy(*by, stretch).orderBy(*place).rowsBetween(UNBOUNDED, -1 if before else 0)
+    earlier = Window.partitionBy(*by).orderBy(stretch).rowsBetween(UNBOUNDED, -1)
+    df = df.withColumns({f"_v_{n}": c for n, (_, c) in columns.items()})
+    totals = df.groupBy(*by, stretch).agg(*[kinds[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in columns.items()])
+    totals = totals.select(*by, stretch, *[(F.max if k == "max" else F.sum)(f"_t_{n}").over(earlier).alias(f"_t_{n}") for n, (k, _) in columns.items()])
+    both = lambda n, k: F.greatest(f"_t_{n}", kinds[k](f"_v_{n}").over(inside)) if k == "max" else F.coalesce(f"_t_{n}", F.lit(0)) + F.coalesce(kinds[k](f"_v_{n}").over(inside), F.lit(0))
+    out = with_keys(df, totals, [*by, stretch]).withColumns({n: both(n, k) for n, (k, _) in columns.items()})
+    return out.drop(*[f"_{x}_{n}" for x in "tv" for n in columns])
 
 
 def sound(x: Column) -> Column:
@@ -105,10 +113,10 @@ def smoothed(df: DataFrame, series: dict[str, tuple[str, float, int, int]], by:
     numbers carry y on.
     """
     rate = {n: -math.log(max(1 - alpha, 1e-16)) for n, (_, alpha, _, _) in series.items()}
-    size = max(1, min(rows, int(LIMIT / max(rate.values()))))
+    size = max(1, min(rows, int(EXACT / max(rate.values()))))
     columns = sorted({c for c, _, _, _ in series.values()})
     t = df.withColumns({"_stretch": F.floor(F.col("_rn") / size)} | {f"_x_{c}": sound(F.col(c).cast("double")) for c in columns})
-    t = counted(t, [f"_x_{c}" for c in columns], by, "_stretch", ("_rn",))
+    t = running(t, {f"_n__x_{c}": ("count", F.col(f"_x_{c}")) for c in columns}, by, "_stretch", ("_rn",))
     terms = {}
     for n, (c, alpha, seed, _) in series.items():
         x, k = F.col(f"_x_{c}"), F.col(f"_n__x_{c}")

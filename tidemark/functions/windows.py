@@ -162,7 +162,9 @@ def window_decayed_mean(spark, sf_dir):
 def decayed_mean(bars: DataFrame, value: str, n: int, factor: float, span: int = 1000) -> DataFrame:
     """bars with the mean of the last n values, weighing factor^age. Weights factor^-place make it two sums of one window frame;
     rows are cut into stretches of `span`, which carry the n - 1 rows before them along, so that no weight grows beyond measure."""
-    numbered = bars.withColumn("_rn", F.row_number().over(W()) - 1)
+    from .scans import numbered as number_rows
+
+    numbered = number_rows(bars)
     own = F.expr(f"_rn div {span}")
     dealt = numbered.withColumn("_b", F.explode(F.when(F.col("_rn") % span >= span - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))))
     last = Window.partitionBy("symbol", "_b").orderBy("_rn").rowsBetween(-(n - 1), 0)

@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.machines import Gate, run_machine
+from ..functions.scans import ROWS, numbered, running
 from ..functions.windows import W, rolling_mean, running_max
 from ..registry import query
 from ..sources.frames import MULTI, bars_multi, rounded
+from ..tables import written
 
 DEPTH = 5
 #: Ready rules (fixed values): name to tree.
@@ -118,21 +121,36 @@ def rule_backtest(bars: DataFrame, tree: dict, horizons: tuple[int, ...] = (7, 3
     return fired
 
 
-def cooled_down(fired: DataFrame, cooldown_seconds: int, most_per_hour: int = 10**9) -> DataFrame:
-    """Of fired rows (symbol, time) those sent: a cooldown after each sent one and a limit per hour. What is sent depends on what was, so it is a fold."""
+def passing(candidates: DataFrame, cooldown: int, by: str = "symbol") -> DataFrame:
+    """Of candidates (key, at in whole seconds, run, _rn; at and run rising along _rn) those that pass, one after the other: none within
+    `cooldown` seconds of the last that passed, and none of its run. Stretches of time of at least 64 cooldowns become maps, which are composed."""
+    cut = candidates.withColumn("_stretch", F.floor((F.col("at") + 2**40) / max(64 * cooldown, 86_400)))
+    return run_machine(cut, Gate(cooldown), ["at", "run"], by, "_stretch", ["_rn"], "_passes").filter("_passes = 1").drop("_passes", "_stretch")
+
+
+def cooled_down(fired: DataFrame, cooldown_seconds: int, most_per_hour: int | None = None) -> DataFrame:
+    """Of fired rows (symbol, time) those sent: a cooldown after each sent one and a limit per hour.
+
+    With a limit the memory is a list of times; rows are then folded between quiet spells, in which nothing fired for as long as
+    cooldown and limit look back, so that they do not depend on each other.
+    """
+    t = numbered(written(fired.select("symbol", "time"), "fired")).withColumns({"at": F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 1_000_000), "run": F.col("_rn").cast("long")})
+    if most_per_hour is None:
+        return passing(t, cooldown_seconds).select("symbol", "time")
+    quiet = max(cooldown_seconds, 3600)
+    t = t.withColumn("_stretch", F.floor(F.col("_rn") / ROWS))
+    t = running(t, {"_before": ("max", F.col("at"))}, ("symbol",), "_stretch", ("_rn",), before=True)
+    t = running(t, {"_spell": ("sum", F.when(F.col("at") - F.col("_before") >= quiet, 1).otherwise(0))}, ("symbol",), "_stretch", ("_rn",))
 
     def run(frame):
-        frame = frame.sort_values("time")
-        sent, keep = [], []
-        for t in frame.time:
-            recent = [s for s in sent if (t - s).total_seconds() < 3600]
-            ok = (not sent or (t - sent[-1]).total_seconds() >= cooldown_seconds) and len(recent) < most_per_hour
-            keep.append(ok)
-            if ok:
-                sent = [*recent, t]
-        return frame[keep]
-
-    return fired.select("symbol", "time").groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz")
+        frame, sent, keep = frame.sort_values("at"), [], []
+        for at in frame["at"]:
+            sent = [s for s in sent if at - s < quiet]
+            keep.append((not sent or at - sent[-1] >= cooldown_seconds) and sum(at - s < 3600 for s in sent) < most_per_hour)
+            sent += [at] if keep[-1] else []
+        return frame[keep][["symbol", "time"]]
+
+    return t.select("symbol", "time", "at", "_spell").groupBy("symbol", "_spell").applyInPandas(run, "symbol string, time timestamp_ntz")
 
 
 METRICS = f"{MULTI}, m AS (SELECT symbol, time, close AS price, CASE WHEN row_number() OVER w >= 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END AS ma20, (close / max(close) OVER w - 1) * 100 AS drawdown_pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time))"

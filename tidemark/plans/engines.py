@@ -1,20 +1,25 @@
 """Scoring engines: cycle, valuation, risk and regime, for all dates at once.
 
-Dates are rows of one wide frame of window features; scores are arithmetic on them, and only the debounced phase is a fold.
+Dates are rows of one wide frame of window features; scores are arithmetic on them, and the debounced phase is a state machine of composed maps.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.machines import Table, run_machine
 from ..functions.ranks import percent_below
 from ..functions.scalars import clamp, level, ramp
+from ..functions.scans import ROWS, numbered, running
 from ..functions.windows import W, full, last_rows, log_return, rolling_mean, running_max
 from ..registry import query
 from ..sources.frames import MULTI, bars_multi, rounded
+from ..tables import written
 
 # Thresholds, weights and transitions of the scores.
 PHASE_LIMITS = [-0.70, -0.40, -0.15, 0.15, 0.45]
@@ -121,20 +126,41 @@ def advanced(m: Memory, target: str, elapsed: int) -> Memory:
     return Memory(target) if times >= (1 if target in FAST else CONFIRMATIONS) else older._replace(wanted=target, times=times)
 
 
-def debounced(phases: DataFrame) -> DataFrame:
-    """The state machine over daily target phases: legal transitions, least age, confirmations. One ordered fold per symbol."""
-
-    def run(frame):
-        memory, last, out = None, None, []
-        frame = frame.sort_values("time")
-        for target, time in zip(frame.phase, frame.time, strict=True):
-            if target is not None:
-                memory = Memory(target) if memory is None else advanced(memory, target, max(0, (time - last).days))
-                last = time
-            out.append((memory.state, memory.days) if memory else (None, 0))
-        return frame.assign(state=[s for s, _ in out], days=[d for _, d in out])[["symbol", "time", "phase", "state", "days"]]
-
-    return phases.select("symbol", "time", "phase").groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz, phase string, state string, days int")
+@cache
+def debouncer() -> Table:
+    """The state machine as a table. A memory is nothing yet, or state, days (capped, as only LEAST_DAYS matters), wanted phase and count
+    (capped at CONFIRMATIONS); an input is a target phase and the days since the last one."""
+    names = list(TRANSITIONS)
+    days = LEAST_DAYS + 1
+    memories = [None, *[Memory(s, d, w, n) for s in names for d in range(days) for w in (None, *names) for n in range(CONFIRMATIONS + 1)]]
+    place = {m: k for k, m in enumerate(memories)}
+    capped = lambda m: m._replace(days=min(m.days, LEAST_DAYS), times=min(m.times, CONFIRMATIONS))
+    table = [[place[Memory(t) if m is None else capped(advanced(m, t, d))] for m in memories] for t in names for d in range(days)]
+    return Table(np.array(table, np.int32), 0)
+
+
+def debounced(phases: DataFrame, rows: int = ROWS) -> DataFrame:
+    """The state machine over daily target phases: legal transitions, least age, confirmations. Maps of stretches of rows are composed, no task folds a symbol."""
+    day = 86_400_000_000
+    t = numbered(written(phases.select("symbol", "time", "phase"), "phases")).withColumn("_stretch", F.floor(F.col("_rn") / rows))
+    known = F.col("phase").isNotNull()
+    by, place = ("symbol",), ("_rn",)
+    t = running(t.withColumn("_us", F.unix_micros(F.col("time").cast("timestamp"))), {"_last": ("max", F.when(known, F.col("_us")))}, by, "_stretch", place, before=True)
+    t = t.withColumn("_gap", F.when(known, F.greatest(F.lit(0), F.coalesce(F.floor((F.col("_us") - F.col("_last")) / day), F.lit(0)))).otherwise(0).cast("long"))
+    names = list(TRANSITIONS)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("phase")) - 1
+    t = t.withColumn("_input", F.when(known, number * (LEAST_DAYS + 1) + F.least(F.col("_gap"), F.lit(LEAST_DAYS))).otherwise(-1).cast("long"))
+    t = written(t.select("symbol", "time", "phase", "_rn", "_stretch", "_gap", "_input"), "phase-inputs")
+    t = written(run_machine(t, debouncer(), ["_input"], "symbol", "_stretch", ["_rn"], "_memory"), "phase-memories")
+    per_state = (LEAST_DAYS + 1) * (len(names) + 1) * (CONFIRMATIONS + 1)
+    state = lambda m: F.when(F.col(m) > 0, F.get(F.array(*map(F.lit, names)), F.expr(f"CAST(({m} - 1) div {per_state} AS INT)")))
+    t = t.withColumns({"state": state("_memory"), "_was": state("_memory_before")})
+    # Days of a state: the days that have gone by less those that had at its beginning.
+    t = running(t, {"_gone": ("sum", F.col("_gap"))}, by, "_stretch", place)
+    began = F.when(F.col("state").isNotNull() & ~F.col("state").eqNullSafe(F.col("_was")), F.col("_gone"))
+    out = running(t, {"_began": ("max", began)}, by, "_stretch", place)
+    days = F.when(F.col("state").isNull(), 0).otherwise(F.col("_gone") - F.col("_began"))
+    return out.select("symbol", "time", "phase", "state", days.cast("int").alias("days"))
 
 
 def state_changes(df: DataFrame, state: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_at_most
+from ..functions.scans import LIMIT, affine
 from ..registry import query
 from ..sources.frames import FILLS, MULTI, bars_multi, fills, rounded
 from .alerts import compiled
@@ -15,8 +16,8 @@ def positions(transactions: DataFrame) -> DataFrame:
     """Per transaction: coins held and average cost after it, coins sold by it, and what it realized. All by running sums.
 
     Coins never go below zero: they are the running sum of what comes and goes, lifted by the deepest point it reached below zero.
-    Between two times at which nothing is held, every sale leaves a share of coins and of cost; with K the product of the shares
-    left so far, the cost is K times the sum of what each purchase cost divided by its own K. So no row waits for another's result.
+    Between two times at which nothing is held, every sale leaves a share of coins and of cost, and every purchase adds its own: the
+    cost is a scan of affine maps, cut where the shares left multiply to less than a number can hold.
     """
     w = Window.partitionBy("user_id").orderBy("time", "event_id")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -29,10 +30,10 @@ def positions(transactions: DataFrame) -> DataFrame:
     t = t.withColumn("coins", F.when(left < 5e-9, 0.0).otherwise(left)).withColumn("_before", F.coalesce(F.lag("coins").over(w), F.lit(0.0)))
     t = t.withColumn("sold", F.when(buy, 0.0).otherwise(F.col("_before") - F.col("coins")))
     t = t.withColumn("_run", F.coalesce(F.sum(F.when(F.col("coins") <= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    share = F.when(~buy & (F.col("coins") > 0), F.log(F.col("_before") / F.col("coins"))).otherwise(0.0)
     inside = Window.partitionBy("user_id", "_run").orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.when(~buy & (F.col("coins") > 0), F.log(F.col("coins") / F.col("_before"))).otherwise(0.0)
-    t = t.withColumn("_k", F.sum(share).over(inside))
-    t = t.withColumn("_cost", F.exp("_k") * F.sum(F.when(buy, (F.col("_amount") + F.col("_fee")) * F.exp(-F.col("_k"))).otherwise(0.0)).over(inside))
+    t = t.withColumn("_sold", share).withColumn("_stretch", F.floor(F.sum("_sold").over(inside) / LIMIT))
+    t = affine(t, {"_cost": (F.col("_sold"), F.when(buy, F.col("_amount") + F.col("_fee")).otherwise(0.0))}, ("user_id", "_run"), "_stretch", ("time", "event_id"))
     t = t.withColumn("avg_cost", F.when(F.col("coins") > 0, F.col("_cost") / F.col("coins")).otherwise(0.0))
     earlier = F.coalesce(F.lag("avg_cost").over(w), F.lit(0.0))
     return t.withColumn("realized", F.when(buy, 0.0).otherwise(F.col("_amount") - F.col("_fee") - F.col("sold") * earlier))

