@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES
 
 MODULES = (
     "sources.frames", "sources.landing", "functions.scalars", "functions.windows", "functions.ranks", "functions.records", "operators.asof", "operators.aggregates", "operators.relational",
-    "operators.data_quality", "operators.scores", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.reports", "plans.engines", "plans.factors", "plans.strategies", "plans.alerts", "streaming.alert_state",
+    "operators.data_quality", "operators.scores", "operators.replay", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.reports", "plans.engines", "plans.factors", "plans.strategies", "plans.patterns", "plans.alerts", "streaming.alert_state",
 )
 
 

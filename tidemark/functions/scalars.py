@@ -67,7 +67,7 @@ def cosine(a: str, b: str) -> Column:
 def similarity(a: str, b: str) -> Column:
     """0.6 of the cosine, scaled to 0..1, and 0.4 of the closeness by distance."""
     gap = F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v))
-    near = F.greatest(F.lit(0.0), 1 - gap / (2 * F.sqrt(F.size(a).cast("double"))))
+    near = F.greatest(F.lit(0.0), 1 - gap / F.sqrt(2.0 * F.size(a)))
     return 0.6 * (cosine(a, b) + 1) / 2 + 0.4 * near
 
 
@@ -136,7 +136,7 @@ def scalar_ramps(spark, sf_dir):
 
 @query("scalar_similarity", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (
   SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS c, list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS d, len(embedding) AS n FROM embeddings, q)
-  SELECT vec_id, round(c, 6) AS cosine, round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / (2 * sqrt(n))), 6) AS similarity FROM s""")
+  SELECT vec_id, round(c, 6) AS cosine, round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / sqrt(2 * n)), 6) AS similarity FROM s""")
 def scalar_similarity(spark, sf_dir):
     """Similarity of every vector with one (a single row is broadcast, whatever the rows of that id)."""
     e = table(spark, sf_dir, "embeddings")

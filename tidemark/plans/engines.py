@@ -221,7 +221,7 @@ def q_probabilities(spark, sf_dir):
 
 @query("engine_similar_periods", f"""WITH {FEATURES}, v AS (SELECT symbol, time, trend, dd, vol, close FROM f4 WHERE trend IS NOT NULL AND vol IS NOT NULL), q AS (SELECT symbol, max(time) AS t, arg_max([trend, dd, vol], time) AS qv FROM v GROUP BY symbol),
   s AS (SELECT v.symbol, v.time, list_cosine_similarity([trend, dd, vol], qv) AS c, list_distance([trend, dd, vol], qv) AS d FROM v JOIN q ON v.symbol = q.symbol AND v.time < q.t - INTERVAL 180 DAY)
-  SELECT symbol, time, round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / (2 * sqrt(3))), 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / (2 * sqrt(3))), 9) DESC, time) <= 3""")
+  SELECT symbol, time, round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / sqrt(6)), 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(0.6 * (c + 1) / 2 + 0.4 * greatest(0, 1 - d / sqrt(6)), 9) DESC, time) <= 3""")
 def q_similar(spark, sf_dir):
     """The three earlier days most like the last one, per symbol: one row per symbol joins its own history."""
     from ..functions.scalars import similarity

@@ -411,18 +411,6 @@ def q_phase_rules(spark, sf_dir):
     return ruled_phase(cycle_scores(valuation_dimensions(metrics(bars_multi(spark, sf_dir))))).select("symbol", "time", "base_phase", "ruled_phase")
 
 
-@query("engine_posterior_phase", f"""WITH {SQL_PHASES}, q AS (SELECT symbol, time, cycle, ruled_phase, lag(base_phase, 30) OVER w AS b1, lag(base_phase, 60) OVER w AS b2, lag(base_phase, 90) OVER w AS b3 FROM ph {_W}),
-  z AS (SELECT *, {_PROB} AS total FROM q), k AS (SELECT symbol, time, ruled_phase, b3, unnest([{', '.join(f"{{'n': '{p}', 'p': round(0.8 * exp(-pow(cycle - ({x}), 2) / 0.18) * {0.15 if p in ('DISTRIBUTION', 'TOP_RISK', 'DECLINE') else 1.0} / total + 0.2 * ((CASE WHEN b1 = '{p}' THEN 1 ELSE 0 END) + (CASE WHEN b2 = '{p}' THEN 1 ELSE 0 END) + (CASE WHEN b3 = '{p}' THEN 1 ELSE 0 END)) / 3.0, 9)}}" for p, x in PHASE_CENTERS.items())}], recursive := true) FROM z)
-  SELECT symbol, time, CASE WHEN any_value(b3) IS NULL THEN any_value(ruled_phase) ELSE arg_max(n, (p, n)) END AS posterior FROM k GROUP BY symbol, time""")
-def q_posterior_phase(spark, sf_dir):
-    """The prior is the share of each phase 30, 60 and 90 rows before."""
-    f = ruled_phase(cycle_scores(valuation_dimensions(metrics(bars_multi(spark, sf_dir)))))
-    before = F.array(*[known_before("base_phase", n) for n in (30, 60, 90)])
-    prior = F.map_from_entries(F.transform(F.array_distinct("_b"), lambda p: F.struct(p, (F.size(F.filter("_b", lambda x: x == p)) / 3).alias("v"))))
-    f = f.withColumn("_b", F.when(known_before("base_phase", 90).isNotNull(), before)).withColumn("_prior", F.when(c("_b").isNotNull(), prior))
-    return f.select("symbol", "time", posterior_phase(phase_probabilities(c("cycle")), c("_prior"), c("ruled_phase")).alias("posterior"))
-
-
 _LEGAL = ", ".join(f"'{a}>{b}'" for a, to in TRANSITIONS.items() for b in sorted(to))
 _OLD = f"(greatest(r.days, n.gap) >= CASE WHEN r.state = 'TOP_RISK' THEN {TOP_RISK_DAYS} ELSE {LEAST_DAYS} END)"
 _MOVES = f"(n.phase <> r.state AND n.legal AND {_OLD} AND CASE WHEN r.wanted = n.phase THEN r.times + 1 ELSE 1 END >= CASE WHEN n.phase IN ({', '.join(map(repr, sorted(FAST)))}) THEN 1 ELSE {CONFIRMATIONS} END)"

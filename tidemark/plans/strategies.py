@@ -77,7 +77,7 @@ _V = "[cyc_onchain, cyc_capital_flow, cyc_derivative, cyc_macro, cyc_sentiment]"
 
 
 @query("engine_similar_cycles", f"""WITH {SQL_CYCLE}, u AS (SELECT symbol, time, close, {_V} AS v FROM c WHERE cyc_onchain IS NOT NULL AND cyc_capital_flow IS NOT NULL AND cyc_derivative IS NOT NULL AND cyc_macro IS NOT NULL AND cyc_sentiment IS NOT NULL),
-  q AS (SELECT symbol, max(time) AS t, arg_max(v, time) AS qv FROM u GROUP BY 1 HAVING count(*) >= 30), s AS (SELECT u.*, round(0.6 * (list_cosine_similarity(v, qv) + 1) / 2 + 0.4 * greatest(0, 1 - list_distance(v, qv) / (2 * sqrt(5))), 9) AS similarity FROM u JOIN q ON u.symbol = q.symbol AND u.time < q.t - INTERVAL 180 DAY),
+  q AS (SELECT symbol, max(time) AS t, arg_max(v, time) AS qv FROM u GROUP BY 1 HAVING count(*) >= 30), s AS (SELECT u.*, round(0.6 * (list_cosine_similarity(v, qv) + 1) / 2 + 0.4 * greatest(0, 1 - list_distance(v, qv) / sqrt(10)), 9) AS similarity FROM u JOIN q ON u.symbol = q.symbol AND u.time < q.t - INTERVAL 180 DAY),
   k AS (SELECT symbol, time, close, similarity FROM s WHERE similarity >= 0.55 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY similarity DESC, time) <= 3),
   a AS (SELECT k.*, b.close AS c30 FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.time + INTERVAL 30 DAY >= b.time), b2 AS (SELECT a.*, b.close AS c90 FROM a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.time + INTERVAL 90 DAY >= b.time),
   d AS (SELECT b2.*, b.close AS c180 FROM b2 ASOF LEFT JOIN bars b ON b2.symbol = b.symbol AND b2.time + INTERVAL 180 DAY >= b.time)
