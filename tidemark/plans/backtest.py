@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_at_most, two_sided
+from ..functions.scans import ROWS, numbered, running
 from ..registry import query
 from ..sources.frames import DAILY, MULTI, bars_daily, bars_multi, rounded
+from ..tables import written
 
 #: Drawdown thresholds and multipliers (fixed values): of the backtest, and of the portfolio simulator.
 DIP_STEPS = [(-0.40, 2.0), (-0.30, 1.5), (-0.20, 1.2), (-0.10, 1.0)]
 SIMULATOR_DIP_STEPS = [(-0.40, 2.5), (-0.30, 2.0), (-0.20, 1.5), (-0.10, 1.2)]
-RISK_MULTIPLIERS = {"VERY_LOW": 1.3, "LOW": 1.2, "MODERATE": 1.0, "HIGH": 0.5, "VERY_HIGH": 0.3, "EXTREME": 0.2}
 YEAR_DAYS, RISK_FREE = 365.0, 0.02
 
 
@@ -56,8 +57,12 @@ def multiplier(strategy: str, close: Column, high: Column, w) -> Column:
 
 
 def vectorized(bars: DataFrame, strategy: str = "fixed_dca", frequency: str = "MONTHLY", amount: float = 100.0, initial: float = 0.0, fee: float = 0.001, slippage: float = 0.0005, next_open: bool = True,
-               dca_day: int = 1, start: str = "1995-01-01", keys: tuple[str, ...] = ("symbol",), max_single: float | None = None) -> DataFrame:
-    """Equity curve per key: keys, time, price, signal, amount, qty, fee, btc, invested, cash, avg_cost, value."""
+               dca_day: int = 1, start: str = "1995-01-01", keys: tuple[str, ...] = ("symbol",), max_single: float | None = None, capital: float | None = None, deposit: Column | None = None, reserve: float = 0.0) -> DataFrame:
+    """Equity curve per key: keys, time, price, signal, amount, qty, fee, btc, invested, cash, avg_cost, value.
+
+    capital: cash at hand before the first bar (None: as much as is asked for); deposit: what each bar adds; reserve: cash that no
+    purchase may touch. A signal is then cut to what is left above the reserve.
+    """
     w = Window.partitionBy(*keys).orderBy("time")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     due = is_investment_day(F.col("time"), frequency, start, dca_day)
@@ -65,16 +70,39 @@ def vectorized(bars: DataFrame, strategy: str = "fixed_dca", frequency: str = "M
     signal = F.when((row == 1) & F.lit(initial > 0), F.lit(initial)).when(due, F.lit(amount) * multiplier(strategy, F.col("close"), F.col("high"), w)).otherwise(0.0)
     signal = F.least(signal, F.lit(max_single)) if max_single else signal
     b = bars.withColumn("signal", signal).withColumn("_row", row)
+    if capital is not None:
+        b = affordable(b, keys, capital, F.lit(0.0) if deposit is None else deposit, reserve)
     b = b.withColumn("amount", F.coalesce(F.lag("signal").over(w), F.lit(0.0)) if next_open else F.col("signal")).withColumn("_ref", F.col("open") if next_open else F.col("close"))
     fill = F.col("_ref") * (1 + slippage)
     b = b.withColumn("fee", F.when((F.col("amount") > 0) & (F.col("_ref") > 0), F.col("amount") * fee).otherwise(0.0))
     b = b.withColumn("qty", F.when((F.col("amount") > 0) & (F.col("_ref") > 0), (F.col("amount") - F.col("fee")) / fill).otherwise(0.0))
     cash = F.when((F.col("_row") < (2 if next_open else 1)) & F.lit(initial > 0), F.lit(initial)).otherwise(0.0)
+    if capital is not None:
+        cash = F.col("_paid_in") - F.coalesce(F.sum("amount").over(run), F.lit(0.0))
     b = b.withColumn("btc", F.sum("qty").over(run)).withColumn("invested", F.sum("amount").over(run)).withColumn("cash", cash)
     return b.select(*keys, "time", F.col("close").alias("price"), "signal", "amount", "qty", "fee", "btc", "invested", "cash",
                     F.when(F.col("btc") > 0, F.col("invested") / F.col("btc")).otherwise(0.0).alias("avg_cost"), (F.col("cash") + F.col("btc") * F.col("close")).alias("value"))
 
 
+def affordable(b: DataFrame, keys: tuple[str, ...], capital: float, deposit: Column, reserve: float) -> DataFrame:
+    """b with signal cut to the cash above the reserve, and _paid_in, capital and deposits so far.
+
+    In whole cents, with W the sum of what is wanted and J that of what may be spent (never below 0), both so far, the sum spent is
+    W less the largest lead of W over J up to the row: running sums and a running maximum, no row waits for another's result.
+    """
+    cents = lambda c: F.floor(c * 100 + 0.5).cast("long")
+    t = numbered(b, by=keys).withColumns({"_stretch": F.floor(F.col("_rn") / ROWS), "_want": cents(F.col("signal")), "_add": cents(deposit)})
+    t = written(t, "signals")
+    t = running(t, {"_w": ("sum", F.col("_want")), "_j": ("sum", F.col("_add"))}, keys, "_stretch", ("_rn",))
+    paid = F.col("_j") + F.lit(round(capital * 100))
+    lead = F.col("_w") - F.greatest(F.lit(0), paid - F.lit(round(reserve * 100)))
+    t = running(t.withColumn("_lead", lead), {"_top": ("max", F.col("_lead"))}, keys, "_stretch", ("_rn",))
+    t = running(t, {"_top0": ("max", F.col("_lead"))}, keys, "_stretch", ("_rn",), before=True)
+    over = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    spent = F.col("_want") - over("_top") + over("_top0")
+    return t.withColumns({"signal": spent / 100.0, "_paid_in": paid / 100.0}).select(*b.columns, "_paid_in")
+
+
 def trades(curve: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return curve.filter("qty > 0").select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("time")).alias("seq"), "time", "amount", "qty", "fee", "btc", "invested", "avg_cost")
 
@@ -232,6 +260,26 @@ def q_vectorized(spark, sf_dir):
     return rounded(vectorized(bars_multi(spark, sf_dir), "dip_buy").select("symbol", "time", "amount", "qty", "btc", "invested", "value"), 4, qty=9, btc=8)
 
 
+def _month_deposit(bars: DataFrame, amount: float) -> DataFrame:
+    """bars with deposit: the amount on a symbol's first bar of each month."""
+    first = bars.groupBy("symbol", F.date_trunc("month", "time").alias("_month")).agg(F.min("time").alias("_first"))
+    t = bars.withColumn("_month", F.date_trunc("month", "time")).join(first, ["symbol", "_month"])
+    return t.withColumn("deposit", F.when(F.col("time") == F.col("_first"), amount).otherwise(0.0)).drop("_month", "_first")
+
+
+@query("backtest_cash_floor", f"""WITH RECURSIVE {MULTI}, k AS (SELECT *, row_number() OVER w AS rn, max(high) OVER w AS ath, CASE WHEN lag(date_trunc('month', time)) OVER w IS DISTINCT FROM date_trunc('month', time) THEN 45000 ELSE 0 END AS paid FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+  s AS (SELECT *, CAST(CASE WHEN isodow(time) = 1 THEN least(round(10000 * {{dip}}), 18000) ELSE 0 END AS BIGINT) AS wanted FROM k),
+  r AS (SELECT symbol, time, rn, close, greatest(0, least(wanted, 300000 + paid - 100000)) AS spent, 300000 + paid - greatest(0, least(wanted, 300000 + paid - 100000)) AS cash FROM s WHERE rn = 1
+   UNION ALL SELECT s.symbol, s.time, s.rn, s.close, greatest(0, least(s.wanted, r.cash + s.paid - 100000)), r.cash + s.paid - greatest(0, least(s.wanted, r.cash + s.paid - 100000)) FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1),
+  q AS (SELECT *, spent / 100.0 * 0.999 / (close * 1.0005) AS qty FROM r)
+  SELECT symbol, time, round(spent / 100.0, 2) AS amount, round(cash / 100.0, 2) AS cash, round(sum(qty) OVER (PARTITION BY symbol ORDER BY time), 8) AS btc FROM q""".replace("{dip}", DIP_SQL))
+def q_cash_floor(spark, sf_dir):
+    """Weekly purchases that grow with the fall, at most 180 each, from 3000 and 450 a month, of which 1000 stay untouched."""
+    bars = _month_deposit(bars_multi(spark, sf_dir), 450.0)
+    curve = vectorized(bars, "dip_buy", "WEEKLY", next_open=False, max_single=180.0, capital=3000.0, deposit=F.col("deposit"), reserve=1000.0)
+    return curve.select("symbol", "time", F.round("amount", 2).alias("amount"), F.round("cash", 2).alias("cash"), F.round("btc", 8).alias("btc"))
+
+
 @query("backtest_trades", f"WITH {_curve_sql()} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY time) AS INT) AS seq, time, round(amount, 4) AS amount, round(qty, 9) AS qty, round(fee, 6) AS fee FROM curve WHERE qty > 0")
 def q_trades(spark, sf_dir):
     return rounded(trades(vectorized(bars_multi(spark, sf_dir))).select("symbol", "seq", "time", "amount", "qty", "fee"), 4, qty=9, fee=6)
