@@ -108,10 +108,10 @@ def normalized(documents: DataFrame, rules: tuple = RULES) -> DataFrame:
     one = F.array("_root")
     # An array is a list of points, or one point if its first element is neither an object nor an array.
     points = F.when(F.col("_root").startswith("["), F.when(F.get(texts, 0).startswith("{") | F.get(texts, 0).startswith("["), texts).otherwise(one)).when(F.col("_root").isNotNull(), one)
-    p = d.withColumn("_root", F.trim(found)).select("id", "provider", "category", "kind", "payload", "r", F.posexplode_outer(points).alias("point", "_p"))
-    places = F.from_json("_p", "array<string>")
-    keyed = F.when(F.col("_p").startswith("["), F.map_from_entries(F.transform(places, lambda v, i: F.struct(i.cast("string"), v)))).otherwise(F.from_json("_p", "map<string,string>"))
-    p = p.withColumn("_m", keyed)
+    entries = lambda x: F.transform(F.from_json(x, "array<string>"), lambda v, i: F.struct(i.cast("string"), v))
+    keyed = lambda x: F.when(x.startswith("["), F.map_from_entries(entries(x))).otherwise(F.from_json(x, "map<string,string>"))
+    # Parsed before the explode, so that the plan has each point's map as a column and not as an expression to repeat.
+    p = d.withColumn("_root", F.trim(found)).select("id", "provider", "category", "kind", "payload", "r", F.posexplode_outer(F.transform(points, keyed)).alias("point", "_m"))
     given = lambda s: F.nullif(F.trim(F.col("_m")[s]), F.lit(""))
     first = lambda sources: F.get(F.filter(sources, lambda s: given(s).isNotNull()), 0)
     picked = F.transform("r.fields", lambda f: F.struct(f["target"].alias("target"), f["digits"].alias("digits"), f["required"].alias("required"), first(f["sources"]).alias("source")))
@@ -162,10 +162,10 @@ def _rules_sql() -> str:
     return " UNION ALL ".join(f"SELECT '{r.provider}' AS provider, '{r.category}' AS category, '{r.kind}' AS kind, '{r.path}' AS path, {quoted(r.times)} AS times, {fields(r)} AS fields" for r in RULES)
 
 
-_AT = lambda s: f"(CASE WHEN json_type(p) = 'ARRAY' THEN nullif(trim(json_extract_string(p, concat('$[', {s}, ']'))), '') ELSE nullif(trim(json_extract_string(p, concat('$.', {s}))), '') END)"
+_AT = lambda s: f"(CASE WHEN json_type(p) = 'ARRAY' THEN nullif(trim(json_extract_string(p, concat('$[', CASE WHEN regexp_matches({s}, '^[0-9]+$') THEN {s} ELSE '999' END, ']'))), '') ELSE nullif(trim(json_extract_string(p, ('$.' || {s}))), '') END)"
 _NUMBER = "regexp_replace(raw, '[,%]', '', 'g')"
 _TIME = "(CASE WHEN n = 0 THEN NULL WHEN n >= 1e14 THEN make_timestamp(CAST(n AS BIGINT)) WHEN n >= 1e11 THEN make_timestamp(CAST(n AS BIGINT) * 1000) WHEN n IS NOT NULL THEN make_timestamp(CAST(n * 1000000 AS BIGINT)) ELSE try_cast(t AS TIMESTAMP) END)"
-NORMALIZED = f"""d AS (SELECT {', '.join(document_columns('epoch_ms(ts)', 'epoch_ms(ts) // 1000', 'CAST(ts AS DATE)'))} FROM events), rules AS ({_rules_sql()}),
+NORMALIZED = f"""d AS (SELECT {', '.join(document_columns('epoch_us(ts) // 1000', 'epoch_us(ts) // 1000000', 'CAST(ts AS DATE)'))} FROM events), rules AS ({_rules_sql()}),
   m AS (SELECT d.*, coalesce(e.provider, g.provider) AS rp, coalesce(e.path, g.path) AS path, coalesce(e.times, g.times) AS times, coalesce(e.fields, g.fields) AS fields FROM d
     LEFT JOIN rules e ON e.provider = d.provider AND e.category = d.category AND e.kind = d.kind LEFT JOIN rules g ON g.provider = '*' AND g.category = d.category AND g.kind = d.kind),
   roots AS (SELECT *, json_extract(payload, path) AS root FROM m),
