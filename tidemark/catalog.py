@@ -5,8 +5,8 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES
 
 MODULES = (
-    "sources.frames", "sources.landing", "functions.scalars", "functions.windows", "functions.ranks", "functions.records", "functions.normalize", "operators.asof", "operators.aggregates", "operators.relational",
-    "operators.data_quality", "operators.scores", "operators.replay", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.reports", "plans.engines", "plans.factors", "plans.strategies", "plans.patterns", "plans.alerts", "streaming.alert_state",
+    "sources.frames", "sources.landing", "sources.incremental", "functions.scalars", "functions.windows", "functions.ranks", "functions.records", "functions.normalize", "operators.asof", "operators.aggregates", "operators.relational",
+    "operators.data_quality", "operators.scores", "operators.replay", "plans.indicators", "plans.recursive", "plans.backtest", "plans.portfolio", "plans.reports", "plans.engines", "plans.factors", "plans.strategies", "plans.patterns", "plans.alerts", "streaming.alert_state", "streaming.timed",
 )
 
 
