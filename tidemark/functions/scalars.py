@@ -160,3 +160,14 @@ def scalar_calendar(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("day")).distinct()
     slot = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("day").cast("timestamp")) / 604800) * 604800)
     return d.select("day", (F.weekday("day") + 1).alias("iso_weekday"), F.dayofmonth("day").alias("month_day"), slot.cast("timestamp_ntz").alias("week_slot"))
+
+
+_TEXTS = "CASE event_id % 7 WHEN 0 THEN concat('(', {v}, '.5)') WHEN 1 THEN concat('$1,', 100 + event_id % 900, '.25') WHEN 2 THEN '-' WHEN 3 THEN ' ' WHEN 4 THEN 'n.a.' WHEN 5 THEN 'about 3' ELSE concat('', {v}) END"
+
+
+@query("scalar_flow_numbers", f"""WITH t AS (SELECT event_id, {_TEXTS.format(v='CAST(floor(value) AS BIGINT)')} AS t FROM events), c AS (SELECT *, trim(regexp_replace(t, '[,$]', '', 'g')) AS x FROM t)
+  SELECT event_id, try_cast(t AS DOUBLE) AS lenient, CASE WHEN lower(x) IN ('n.a.', 'na', 'n/a') THEN NULL WHEN x IN ('', '-') THEN 0 WHEN x LIKE '(%' THEN -try_cast(regexp_replace(x, '[()]', '', 'g') AS DOUBLE) * 1e6 ELSE try_cast(x AS DOUBLE) * 1e6 END AS flow FROM c""")
+def scalar_flow_numbers(spark, sf_dir):
+    """Text as numbers: lenient, and as flows in millions with brackets, blanks and dashes."""
+    t = table(spark, sf_dir, "events").selectExpr("event_id", f"{_TEXTS.format(v='CAST(floor(value) AS BIGINT)')} AS t")
+    return t.select("event_id", to_double("t").alias("lenient"), flow_number(F.col("t")).alias("flow"))

@@ -203,3 +203,23 @@ def q_digest(spark, sf_dir):
     last = b.groupBy("symbol").agg(F.max("time").alias("last"))
     week = b.join(last, "symbol").filter(F.col("time") > F.col("last") - F.expr("INTERVAL 7 DAYS"))
     return week.groupBy("symbol").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.round(F.max_by("close", "time") / F.min_by("close", "time") - 1, 6).alias("change"), F.count("*").alias("days"), F.sum("volume").alias("volume"))
+
+
+#: Conditions on a rank and on a state.
+STATE_CONDITIONS = {
+    "low_rank": {"type": "percentile", "metric": "rank", "operator": "lt", "value": 10}, "any_change": {"type": "state_change", "metric": "state"},
+    "fell": {"type": "state_change", "metric": "state", "from": "NEAR_PEAK", "to": "FALLEN"}, "deep": {"type": "state_change", "metric": "state", "to": "DEEP"},
+}
+
+
+@query("alert_state_conditions", f"""WITH {METRICS}, l AS (SELECT *, list(price) OVER (PARTITION BY symbol ORDER BY time ROWS 364 PRECEDING) AS last, CASE WHEN round(drawdown_pct, 9) < -50 THEN 'DEEP' WHEN round(drawdown_pct, 9) < -20 THEN 'FALLEN' ELSE 'NEAR_PEAK' END AS state FROM m),
+  s AS (SELECT symbol, time, state, lag(state) OVER (PARTITION BY symbol ORDER BY time) AS was, CASE WHEN len(last) >= 30 THEN 100.0 * len(list_filter(last, lambda x: x < price)) / len(last) END AS rank FROM l)
+  SELECT symbol, time, rank < 10 AS low_rank, was <> state AS any_change, CASE WHEN was IS NOT NULL THEN was = 'NEAR_PEAK' AND state = 'FALLEN' END AS fell, CASE WHEN was IS NOT NULL THEN was <> state AND state = 'DEEP' END AS deep FROM s""")
+def q_state_conditions(spark, sf_dir):
+    """Low percentile ranks and changes of a state, from and to given ones."""
+    from ..functions.ranks import percent_below
+    from ..functions.scalars import level
+
+    m = metrics_frame(bars_multi(spark, sf_dir)).withColumn("state", level(F.round("drawdown_pct", 9), [-50, -20], ["DEEP", "FALLEN", "NEAR_PEAK"]))
+    m = percent_below(m, {"rank": "price"}, 365, 30)
+    return m.select("symbol", "time", *[compiled(t).alias(n) for n, t in STATE_CONDITIONS.items()])

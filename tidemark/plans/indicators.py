@@ -310,3 +310,9 @@ def q_percentile_rank(spark, sf_dir):
     b = bars_multi(spark, sf_dir)
     whole, part = calculate(b, "tech.percentile_rank"), calculate(b, "tech.percentile_rank", lookback=90).withColumnRenamed("value", "last_90")
     return rounded(whole.join(part, ["symbol", "time"]), 6)
+
+
+@query("indicator_tech_wma", f"""WITH {MULTI} SELECT symbol, time, round(CASE WHEN row_number() OVER w >= 50 THEN ({' + '.join(f'{50 - k}.0 * lag(close, {k}) OVER w' for k in range(50))}) / 1275 END, 4) AS value
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)""")
+def q_wma(spark, sf_dir):
+    return rounded(calculate(bars_multi(spark, sf_dir), "tech.wma").select("symbol", "time", "value"))
