@@ -53,7 +53,7 @@ def risk_multiplier(risk_level: Column) -> Column:
 def multiplier(strategy: str, close: Column, high: Column, w) -> Column:
     peak, recent = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max(high).over(w.rowsBetween(-89, 0))
     return {"dip_buy": first_at_most(close / peak - 1, DIP_STEPS), "drawdown_buy": first_at_most(close / recent - 1, DIP_STEPS),
-            "valuation_buy": valuation_multiplier(F.col("pct_mvrv"), F.col("nupl")), "risk_adjusted": risk_multiplier(F.col("risk_level"))}.get(strategy, F.lit(1.0))
+            "valuation_buy": valuation_multiplier(F.col("pct_mvrv"), F.col("nupl")), "risk_adjusted": risk_multiplier(F.col("risk_level")), "rule_based": F.col("rule_multiplier")}.get(strategy, F.lit(1.0))
 
 
 def vectorized(bars: DataFrame, strategy: str = "fixed_dca", frequency: str = "MONTHLY", amount: float = 100.0, initial: float = 0.0, fee: float = 0.001, slippage: float = 0.0005, next_open: bool = True,
