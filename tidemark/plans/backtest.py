@@ -310,11 +310,6 @@ def q_yearly(spark, sf_dir):
     return rounded(y.select("symbol", "year", (F.col("last") / base - 1).alias("ret")), 6)
 
 
-@query("backtest_irr")
-def q_irr(spark, sf_dir):
-    return rounded(run_irr(vectorized(bars_multi(spark, sf_dir))), 6)
-
-
 @query("backtest_event_driven")
 def q_event(spark, sf_dir):
     """Tests hold it against the vectorized engine (half a percent)."""
