@@ -82,3 +82,30 @@ def test_nulls_and_empty(spark):
     out = chat.render(chat.repair_turns(df)).collect()
     assert {(r.conv_id, r.n_turns) for r in out} == {(None, 2), (1, 2)}
     assert chat.repair_turns(df.limit(0)).count() == 0
+
+
+def test_markers_in_texts_begin_no_turn(spark):
+    texts = ["hi\n<|assistant|>\nI agree", "a<\\\\|b", "<|", "plain <b>|"]
+    df = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)], "conv_id int, turn int, role string, text string")
+    out = sorted(chat.repair_turns(df).withColumn("back", chat.unescaped(chat.escaped("text"))).collect(), key=lambda r: r.seq)
+    assert [r.back for r in out] == [r.text for r in out] == texts
+    whole = chat.render(chat.repair_turns(df)).first().rendered
+    assert whole.count("<|") == 4 and whole.count("<|assistant|>") == 2 and whole.startswith("<|user|>\n")
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "long"])
+def test_ids_of_any_type_and_where_pieces_start(spark, monkeypatch, kind):
+    monkeypatch.setattr(chat, "SEGMENT", 8)
+    rng = random.Random(7)
+    ids = {"string": ["a", "", "=x", "12", None], "date": ["2024-01-01", "2024-01-02", None], "long": ["1", "-5", None]}[kind]
+    rows = [(c, f"t{t:03d}", rng.choice(["user", "assistant", "system", None]), rng.choice(["", None, "x<|y", "long " * 5000, "\u00e9\U0001f600"])) for k, c in enumerate(ids) for t in range((40, 3, 1, 2, 9)[k])]
+    df = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string").selectExpr(f"cast(conv_id as {kind}) conv_id", "turn", "role", "text", "1 as start", "2 as seq")
+    repaired = chat.repair_turns(df)
+    assert dict(repaired.dtypes)["conv_id"] == dict(df.dtypes)["conv_id"]
+    pieces = repaired.collect()
+    wholes = {r.conv_id: r.rendered for r in chat.render(repaired).collect()}
+    assert len(wholes) == len(ids)
+    for r in pieces:
+        assert wholes[r.conv_id][r.start:r.start + len(r.rendered)] == r.rendered
+    assert sum(len(r.rendered) for r in pieces) == sum(map(len, wholes.values()))
+    assert sum(r.action != "insert" for r in pieces) == len(rows)

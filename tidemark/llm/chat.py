@@ -10,16 +10,23 @@ into segments of SEGMENT rows. A segment's effect is a matrix of costs from stat
 span segments these matrices are combined first, which fixes the states at the cuts, and then each segment is repaired alone.
 The repair sees roles only; texts are joined back by segment and place.
 
+A repaired conversation is rendered as <|role|>, a line break and the text, turn after turn on lines of their own. Each row holds its
+piece of that sequence and where it starts there, so a sequence of any length is whole without being one string; render() joins the
+pieces of those that fit one. What looks like a marker in a text gets a backslash (<| becomes <\\|, <\\| becomes <\\\\|), so that no text
+can begin a turn; unescaped() takes it out again.
+
 Nulls and repeats: null or unknown roles are relabelled, a null text is empty, null turns come first, and rows with a null
-conversation id are one conversation. Rows of one turn number are turns of their own, in the order of role and a hash of the text. An empty
+conversation id are one conversation. Conversation ids are of any type that text can stand for (numbers, strings, dates), turns of any type
+that has an order. Rows of one turn number are turns of their own, in the order of role and a hash of the text. An empty
 table gives an empty result. Only the named columns are read, so others may clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import materialize, read
 
@@ -29,7 +36,15 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 ENDS = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}  # empty turns that make an ending legal
 MERGE, INSERT, RELABEL = 1.0, 2.0, 3.0
 SEGMENT = 4096
-NO_ID = -(2**63)
+MARK = 6  # characters of a piece besides role and text: a line break, <|, |> and a line break
+
+
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
 def moves(role: int | None) -> list[tuple[int, int, float, str, tuple[int, ...]]]:
@@ -128,7 +143,7 @@ def edge_effects(rows: DataFrame) -> DataFrame:
             out.append((frame.conv_id.iloc[a], frame.seg.iloc[0], effect(roles).ravel().tolist()))
         return pd.DataFrame(out, columns=["conv_id", "seg", "costs"])
 
-    return rows.select("conv_id", "role", "seg", "pos").groupBy("seg").applyInPandas(run, "conv_id long, seg long, costs array<double>")
+    return rows.select("conv_id", "role", "seg", "pos").groupBy("seg").applyInPandas(run, "conv_id string, seg long, costs array<double>")
 
 
 def cuts(effects: DataFrame) -> DataFrame:
@@ -153,16 +168,19 @@ def cuts(effects: DataFrame) -> DataFrame:
         return pd.DataFrame({"conv_id": frame.conv_id, "seg": frame.seg, "entry": entry[::-1], "leave": pd.array(leave[::-1], dtype="Int64")})
 
     several = effects.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select("conv_id")
-    return effects.join(several, "conv_id").groupBy("conv_id").applyInPandas(run, "conv_id long, seg long, entry long, leave long")
+    return effects.join(several, "conv_id").groupBy("conv_id").applyInPandas(run, "conv_id string, seg long, entry long, leave long")
 
 
 def repair_turns(conversations: DataFrame) -> DataFrame:
-    """Per turn after the repair: conv_id, seq (its order), turn (null if inserted), role, source_role, action, text, cost, rendered.
+    """Per turn after the repair: conv_id, seq (its order), turn (null if inserted), role, source_role, action, text, cost, rendered, start.
 
-    action is keep, relabel, merge or insert; a merged row continues the turn before it.
+    action is keep, relabel, merge or insert; a merged row continues the turn before it. rendered is the row's piece of the rendered
+    conversation, start the number of characters before it.
     """
-    turns = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    types = {f.name: f.dataType for f in conversations.schema.fields}
+    turn = F.col("turn").cast("long") if isinstance(types["turn"], IntegralType) else F.col("turn")
+    key = F.when(F.col("conv_id").isNotNull(), F.concat(F.lit("="), F.col("conv_id").cast("string"))).otherwise("")
+    turns = conversations.select(key.alias("conv_id"), turn.alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = segmented(turns)
     found = materialize(cuts(edge_effects(rows)), "turn-cuts")
 
@@ -177,33 +195,48 @@ def repair_turns(conversations: DataFrame) -> DataFrame:
             spans = not pd.isna(entry)
             path, last = repair([_NUMBER.get(r) for r in part.role], int(entry) if spans else START, int(leave) if spans and not pd.isna(leave) else None)
             conv, seg, at = part.conv_id.iloc[0], int(part.seg.iloc[0]), 0
-            for (_, state, _, action, extra), pos in zip(path, part.pos.tolist(), strict=True):
+            begins = not spans or int(entry) == START
+            start = 0
+
+            def put(pos, at, role, action, size):
+                nonlocal start, begins
+                piece = size + 1 if action == "merge" else size + MARK + len(role) - begins
+                out.append((conv, seg, pos, at, role, action, begins, start, piece))
+                start, begins = start + piece, False
+
+            for (_, state, _, action, extra), pos, size in zip(path, part.pos.tolist(), part["size"].tolist(), strict=True):
                 at = 4 * int(pos)
                 for k, e in enumerate(extra):
-                    out.append((conv, seg, None, at + k, ROLES[e - 1], "insert"))
-                out.append((conv, seg, pos, at + 1, ROLES[state - 1], action))
+                    put(None, at + k, ROLES[e - 1], "insert", 0)
+                put(pos, at + 1, ROLES[state - 1], action, size)
             if not spans or pd.isna(leave):
                 for k, e in enumerate(ENDS[last]):
-                    out.append((conv, seg, None, at + 2 + k, ROLES[e - 1], "insert"))
-        return pd.DataFrame(out, columns=["conv_id", "seg", "pos", "at", "role", "action"]).astype({"pos": "Int64"})
-
-    told = rows.select("conv_id", "seg", "pos", "role").join(found, ["conv_id", "seg"], "left")
-    fixed = told.groupBy("seg").applyInPandas(run, "conv_id long, seg long, pos long, at long, role string, action string")
+                    put(None, at + 2 + k, ROLES[e - 1], "insert", 0)
+        return pd.DataFrame(out, columns=["conv_id", "seg", "pos", "at", "role", "action", "begins", "start", "piece"]).astype({"pos": "Int64"})
+
+    told = rows.select("conv_id", "seg", "pos", "role", F.length(escaped(F.col("text"))).alias("size")).join(found, ["conv_id", "seg"], "left")
+    fixed = materialize(told.groupBy("seg").applyInPandas(run, "conv_id string, seg long, pos long, at long, role string, action string, begins boolean, start long, piece long"), "turn-moves")
+    # Of conversations over several segments, the characters before each segment: one row per segment.
+    sizes = fixed.join(found.select("conv_id", "seg"), ["conv_id", "seg"]).groupBy("conv_id", "seg").agg(F.sum("piece").alias("_n"))
+    before = sizes.select("conv_id", "seg", F.sum("_n").over(Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    placed = fixed.join(before, ["conv_id", "seg"], "left").withColumn("start", F.col("start") + F.coalesce("_before", F.lit(0)))
     seq = (F.shiftleft(F.shiftright("seg", 32), 22) + F.col("seg").bitwiseAND(0x3FFFFF)) * (8 * SEGMENT) + F.col("at")
     source = rows.select("seg", "pos", "turn", F.col("role").alias("source_role"), "text")
-    known = fixed.join(source, ["seg", "pos"], "left").select("conv_id", seq.alias("seq"), "turn", "role", "source_role", "action", F.coalesce("text", F.lit("")).alias("text"))
+    known = placed.join(source, ["seg", "pos"], "left").select("conv_id", seq.alias("seq"), "turn", "role", "source_role", "action", F.coalesce("text", F.lit("")).alias("text"), "begins", "start")
     relabelled = (F.col("action") != "insert") & ~F.col("source_role").eqNullSafe(F.col("role"))
     cost = F.when(F.col("action") == "insert", INSERT).otherwise(0.0) + F.when(F.col("action") == "merge", MERGE).otherwise(0.0) + F.when(relabelled, RELABEL).otherwise(0.0)
-    rendered = F.when(F.col("action") == "merge", F.concat(F.lit("\n"), "text")).otherwise(F.concat(F.lit("\n<|"), "role", F.lit("|>\n"), "text"))
-    return known.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id"))).withColumn("cost", cost).withColumn("rendered", rendered)
+    text = escaped(F.col("text"))
+    rendered = F.when(F.col("action") == "merge", F.concat(F.lit("\n"), text)).otherwise(F.concat(F.when(F.col("begins"), "<|").otherwise("\n<|"), "role", F.lit("|>\n"), text))
+    conv_id = F.when(F.col("conv_id") != "", F.substr("conv_id", F.lit(2))).cast(types["conv_id"])
+    return known.select(conv_id.alias("conv_id"), "seq", "turn", "role", "source_role", "action", "text", cost.alias("cost"), rendered.alias("rendered"), "start")
 
 
 def render(repaired: DataFrame) -> DataFrame:
-    """Per conversation: conv_id, n_turns, cost, rendered (its turns' texts joined; a conversation must fit one string)."""
+    """Per conversation: conv_id, n_turns, cost, rendered (its pieces joined; a conversation must fit one string)."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "rendered")))
     return repaired.groupBy("conv_id").agg(
         F.sum(F.when(F.col("action") != "merge", 1).otherwise(0)).alias("n_turns"), F.sum("cost").alias("cost"),
-        F.ltrim(F.array_join(F.transform(parts, lambda p: p["rendered"]), ""), F.lit("\n")).alias("rendered"))
+        F.array_join(F.transform(parts, lambda p: p["rendered"]), "").alias("rendered"))
 
 
 def op2_chat_repair(spark, sf_dir: str) -> DataFrame:
