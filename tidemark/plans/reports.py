@@ -69,6 +69,13 @@ def q_daily(spark, sf_dir):
     return rounded(daily_measures(bars_multi(spark, sf_dir).select("symbol", "time", F.col("close").alias("value"))), 5, max_drawdown=6)
 
 
+def contracts(quotes: DataFrame) -> DataFrame:
+    """One row per contract from all its quotes: open interest and volume summed, volatility and delta as means, gamma weighted by open interest."""
+    return quotes.groupBy("underlying", "kind", "strike", "expiry").agg(
+        F.sum("open_interest").alias("open_interest"), F.sum("volume").alias("volume"), F.avg("iv").alias("iv"), F.avg("delta").alias("delta"),
+        F.try_divide(F.sum(F.col("gamma") * F.col("open_interest")), F.sum("open_interest")).alias("gamma"), F.max("spot").alias("spot"))
+
+
 def option_analytics(options: DataFrame) -> DataFrame:
     """options (kind C or P, strike, expiry, open_interest, volume, iv, delta, gamma, spot), per underlying: open interest and volume, put/call ratio,
     at-the-money volatility (mean of the two nearest strikes of the nearest expiry), 25-delta skew there, gamma exposure and number of expiries."""
@@ -86,8 +93,9 @@ def option_analytics(options: DataFrame) -> DataFrame:
     return m.withColumn("skew_25", interpolated(F.col("_p"), at, "d", "iv") - interpolated(F.col("_c"), at, "d", "iv")).drop("_p", "_c")
 
 
-OPTIONS = """opts AS (SELECT 'BTC' AS underlying, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS kind, 50000.0 + (p_partkey % 41) * 2500 AS strike, make_timestamp(2025, CAST(3 * (p_partkey % 4) + 3 AS BIGINT), 27, 8, 0, 0.0) AS expiry, p_retailprice AS oi, p_size AS volume,
-  0.4 + (p_partkey % 41) * 0.01 AS iv, ((p_partkey % 41) + 1) / 42.0 AS delta, 1e-6 * (1 + p_partkey % 7) AS gamma, 100000.0 AS spot FROM part WHERE p_partkey <= 164)"""
+OPTIONS = """quotes AS (SELECT 'BTC' AS underlying, CASE WHEN (p_partkey // 4) % 2 = 0 THEN 'C' ELSE 'P' END AS kind, 50000.0 + (p_partkey % 41) * 2500 AS strike, make_timestamp(2025, CAST(3 * (p_partkey % 4) + 3 AS BIGINT), 27, 8, 0, 0.0) AS expiry, p_retailprice AS oi, p_size AS volume,
+  0.4 + (p_partkey % 41) * 0.01 + CASE WHEN (p_partkey // 4) % 2 = 0 THEN 0 ELSE 0.03 END AS iv, ((p_partkey % 41) + 1) / 42.0 AS delta, 1e-6 * (1 + p_partkey % 7) AS gamma, 100000.0 AS spot FROM part),
+  opts AS (SELECT underlying, kind, strike, expiry, sum(oi) AS oi, sum(volume) AS volume, avg(iv) AS iv, avg(delta) AS delta, sum(gamma * oi) / sum(oi) AS gamma, max(spot) AS spot FROM quotes GROUP BY 1, 2, 3, 4)"""
 
 
 @query("option_analytics", f"""WITH {OPTIONS}, n AS (SELECT *, row_number() OVER (ORDER BY abs(strike - spot), strike, kind) AS r FROM opts WHERE expiry = (SELECT min(expiry) FROM opts)), k AS (SELECT kind, delta, any_value(iv) AS iv FROM n GROUP BY 1, 2),
@@ -98,11 +106,11 @@ def q_options(spark, sf_dir):
     """Names such as BTC-27JUN25-100000-C are taken apart; sizes and volatilities are stand-ins from the parts table."""
     k = F.col("p_partkey")
     months = F.element_at(F.array(*[F.lit(m) for m in ("27MAR25", "27JUN25", "27SEP25", "27DEC25")]), (k % 4 + 1).cast("int"))
-    name = F.concat(F.lit("BTC-"), months, F.lit("-"), (50000 + (k % 41) * 2500).cast("string"), F.when(k % 2 == 0, "-C").otherwise("-P"))
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 164").withColumn("name", name)
-    o = p.select(*[c.alias(n) for n, c in option_parts(F.col("name")).items()], F.col("p_retailprice").alias("open_interest"), F.col("p_size").cast("long").alias("volume"), (0.4 + (k % 41) * 0.01).alias("iv"), (((k % 41) + 1) / 42.0).alias("delta"),
+    name = F.concat(F.lit("BTC-"), months, F.lit("-"), (50000 + (k % 41) * 2500).cast("string"), F.when(F.floor(k / 4) % 2 == 0, "-C").otherwise("-P"))
+    p = table(spark, sf_dir, "part").withColumn("name", name)
+    o = p.select(*[c.alias(n) for n, c in option_parts(F.col("name")).items()], F.col("p_retailprice").alias("open_interest"), F.col("p_size").cast("long").alias("volume"), (0.4 + (k % 41) * 0.01 + F.when(F.floor(k / 4) % 2 == 0, 0.0).otherwise(0.03)).alias("iv"), (((k % 41) + 1) / 42.0).alias("delta"),
                  (1e-6 * (1 + k % 7)).alias("gamma"), F.lit(100000.0).alias("spot"))
-    return rounded(option_analytics(o).select("underlying", "open_interest", "volume", "put_call_ratio", "atm_iv", "skew_25", "gamma_exposure", "expiries"), 6, open_interest=3, gamma_exposure=3)
+    return rounded(option_analytics(contracts(o)).select("underlying", "open_interest", "volume", "put_call_ratio", "atm_iv", "skew_25", "gamma_exposure", "expiries"), 6, open_interest=3, gamma_exposure=3)
 
 
 @query("futures_analytics", """WITH e AS (SELECT date_trunc('day', ts) AS day, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS longs, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS shorts, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS buys, sum(value) AS total, arg_max(value, (ts, event_id)) AS mark, arg_min(value, (ts, event_id)) AS spot FROM events GROUP BY 1)
