@@ -3,10 +3,12 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import scans
 from tidemark.plans import recursive
 
@@ -58,6 +60,25 @@ def test_indicators_equal_the_loops(spark, rows):
             near([r[c] for r in got[s]], want[c])
 
 
+def test_rsi_keeps_six_digits(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    prices = {"A": rng.uniform(900, 500_000, 1300).round(2), "B": np.concatenate([rng.uniform(1, 9, 30), np.full(600, 5.0)]), "C": rng.uniform(1, 9, 9)}
+    rows = [(n, p, s, DAY0 + timedelta(days=k)) for n, (s, k, p) in enumerate((s, k, float(p)) for s, x in prices.items() for k, p in enumerate(x))]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    sql = {r[:2]: r[2] for r in con.execute(catalog.oracle_sql()["indicator_tech_rsi"]).fetchall()}
+    got = {}
+    for r in catalog.queries()["indicator_tech_rsi"](spark, str(tmp_path)).orderBy("time").collect():
+        assert r.value == sql.pop((r.symbol, r.time))
+        got.setdefault(r.symbol, []).append(r.value)
+    assert not sql
+    for s, x in prices.items():
+        want = loops.all_of(x, x, x)["rsi14"]
+        assert len(got[s]) == len(want)
+        assert all((g is None and np.isnan(w)) or abs(g - w) <= 0.51e-6 for g, w in zip(got[s], want, strict=True))
+
+
 @pytest.mark.parametrize(("span", "rows"), [(1, 8192), (2, 40), (2000, 7), (5000, 8192)])
 def test_fast_and_slow_smoothing(spark, span, rows):
     """Fast ones are cut early so that no weight overflows; slow ones carry over very many stretches."""
