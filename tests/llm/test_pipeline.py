@@ -117,3 +117,15 @@ def test_own_columns_are_carried_along(spark):
         assert out.columns == docs.columns
         found = out.collect()
         assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
+def test_mixing_stage_has_a_small_plan_and_reads_its_documents_once(spark):
+    """Of what the mixture takes nothing is planned twice; rows of one doc_id with empty, null and cut texts come as often as they are taken."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(COLUMNS)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    mixed = plan(corpus_pipeline.mixing(spark, docs, SF))
+    assert mixed.count("Exchange") <= 3 and mixed.count("Scan parquet") == 2
+    assert plan(mixing.mix(docs)).count("Exchange") <= 12
+    rows = [(1, "a b c d e f g h i j", "en", "s", 19), (1, "", "en", "s", 0), (1, None, "en", "s", None), (2, "k", "en", "t", 1), (3, "", "en", "t", 0)]
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"), SF).collect())
+    assert got == {(1, "a b c d e f g h i j", 19): 1, (1, "a b c d e", 9): 1, (1, "", 0): 1, (1, None, None): 1, (2, "k", 1): 2}

@@ -74,9 +74,9 @@ def slot_schedule(spark, wanted: DataFrame, total: float, block: int) -> DataFra
     whole = F.sum("target").over(Window.partitionBy())
     upto = F.sum("target").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
     until = wanted.select("src", F.round(upto / whole * FIB_46).cast("long").alias("hi"))
+    # Written down, as the slots' plan has all of this twice.
     spans = (
-        until.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("src")), F.lit(0).cast("long")))
-        .filter("hi > lo")
+        materialize(until.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("src")), F.lit(0).cast("long"))).filter("hi > lo"), "mix-spans")
         .withColumn("bin", F.explode(F.sequence(F.expr(f"lo div {BIN_WIDTH}"), F.expr(f"(hi - 1) div {BIN_WIDTH}"))))
     )
     points = spark.range(n).select(
@@ -113,13 +113,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     sized = materialize(sizes(docs), "mix-sizes")
     wanted = materialize(targets(sized, weights, share, most), "mix-targets")
     total = wanted.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    # Slots and takes are a few rows a block; written down, they are not planned and run again wherever they are read.
+    slots = materialize(slot_schedule(spark, wanted, total, block), "mix-slots")
+    times = materialize(slot_times(slots, wanted, block), "mix-times")
     known = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select(
         "doc_id", sized["source"], "size", "place", "src", "source_size", "target", F.substring("place", 1, 3).alias("bucket"))
     placed = exclusive_prefix(known.filter("size > 0"), ["src"], "bucket", ["place", "doc_id", "size"], "size", "start")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     ends = lambda words: F.least(F.col("start") + F.col("size"), F.col("block") * block + words) - F.greatest(F.col("start"), F.col("block") * block)
     taken = (
-        pieces.join(slot_times(slot_schedule(spark, wanted, total, block), wanted, block), ["src", "block"], "left")
+        pieces.join(times, ["src", "block"], "left")
         .withColumn("words", ends(F.lit(block)) * F.coalesce("times", F.lit(0)) + F.greatest(F.lit(0), ends(F.coalesce("cut", F.lit(0)))))
         .groupBy("src", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
     )
